@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventsieve.llm import simhash
+from eventsieve.llm import mixing, secrets, simhash
 from eventsieve.plans.tables import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_simhash,)}
+    return {f.__name__: f for f in (op2_mixing, op8_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
