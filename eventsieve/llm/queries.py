@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventsieve.llm import mixing, secrets, simhash
+from eventsieve.llm import contamination, mixing, secrets, simhash
 from eventsieve.plans.tables import table
 
 
@@ -12,6 +12,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,7 +25,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op8_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op2_mixing, op3_decontamination, op8_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,3 +40,80 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) ->
             start, held, size = i + 1, [], 0
     if held:
         yield start, held
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+_BLOCK = 1 << 20
+#: ASCII punctuation and control bytes become spaces, so that "word," and "WORD!!" meet.
+_PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def plain(text: bytes | None) -> bytes:
+    """Lower case (all scripts), with ASCII punctuation as spaces."""
+    return (text or b"").decode("utf-8", "replace").lower().encode().translate(_PLAIN)
+
+
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit moves every output bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    known = _powers.known
+    if len(known[0]) < size:
+        for i, factor in enumerate((_FACTOR, _INVERSE)):
+            steps = np.full(max(size, _BLOCK + 1), factor, dtype=np.uint64)
+            steps[0] = 1
+            known[i] = np.multiply.accumulate(steps)
+    return known[0], known[1]
+
+
+_powers.known = [np.empty(0, dtype=np.uint64)] * 2
+
+
+def _hashed_block(block: bytes) -> np.ndarray:
+    raw = np.frombuffer(block, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], raw != 32, [False]]).view(np.int8)))
+    begin, end = edges[0::2], edges[1::2]
+    up, down = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    return scrambled((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text whose words are split by single-byte spaces.
+
+    Works in blocks that end at a space, so that memory stays near 8 bytes a
+    word however long the text is.
+    """
+    parts, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > _BLOCK:
+            end = text.find(b" ", at + _BLOCK)
+            end = len(text) if end < 0 else end
+        parts.append(_hashed_block(text[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
+
+
+_SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+
+
+def hashed(texts: list, form=plain) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ends): the word hashes of all texts in a row, and where each text's words end."""
+    formed = [form(t) for t in texts]
+    hashes = [word_hashes(t) for t in formed] if sum(map(len, formed)) > 4 * _BLOCK else None
+    if hashes is None:
+        # one pass for many short texts; a text's words are counted from its own bytes
+        raw = b" ".join(formed)
+        counts = [len(t.split()) for t in formed]
+        return word_hashes(raw), np.cumsum(counts, dtype=np.int64)
+    return (
+        np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64),
+        np.cumsum([len(h) for h in hashes], dtype=np.int64),
+    )
