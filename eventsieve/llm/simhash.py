@@ -142,8 +142,10 @@ def near_duplicates(
         .agg(F.min("head").alias("least"))
     )
     moved = reached.join(least, "component").select(F.col("node").alias("fp"), "least")
-    named = heads.join(moved, "fp", "left").select(
-        "fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("head")).alias("component_id")
+    # written out, so that the join below stands alone and a crowded fingerprint can be split
+    named = materialize(
+        heads.join(moved, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id")),
+        "components",
     )
     return prints.join(named, "fp").select(
         F.col("id").alias(id_col),
