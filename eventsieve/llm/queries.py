@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventsieve.llm import contamination, mixing, secrets, simhash
+from eventsieve.llm import contamination, mixing, secrets, simhash, urlrules
 from eventsieve.plans.tables import table
 
 
@@ -16,6 +16,44 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+URL_RULES = """
+    SELECT * FROM VALUES
+      ('com', '/', 'allow'),
+      ('example.com', '/en/', 'block'),
+      ('www.example.com', '/en/', 'allow'),
+      ('net', '/es/', 'block'),
+      ('net', '/fr/', 'block')
+    AS rules(host, path, verdict)
+"""
+
+
+def op7_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judged(table(spark, sf_dir, "pages"), spark.sql(URL_RULES))
+
+
+OP7_SQL = r"""
+    WITH rules(host, path, verdict) AS (VALUES
+      ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+      ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+    after AS (
+      SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+      FROM pages),
+    parsed AS (
+      SELECT page_id,
+        translate(regexp_extract(rest, '^[^/?#]*'),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+      FROM after),
+    fits AS (
+      SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+        row_number() OVER (
+          PARTITION BY p.page_id ORDER BY length(r.host) + length(r.path) DESC, length(r.host) DESC) AS n
+      FROM parsed p LEFT JOIN rules r
+        ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,8 +63,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_decontamination, op8_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op2_mixing, op3_decontamination, op7_urlrules, op8_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_urlrules": OP7_SQL}
