@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventsieve.llm import contamination, mixing, secrets, simhash, urlrules
+from eventsieve.llm import contamination, mixing, secretscan, simhash, urlrules
 from eventsieve.plans.tables import table
 
 
@@ -59,7 +59,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+    return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
