@@ -23,8 +23,8 @@ DIMENSIONS = 1 << 13
 CENTROIDS = 4
 #: Rows of each language that the centroids are fitted on: those with the least hash of their id.
 SAMPLE = 400
-#: A text is rejected if its cosine is below this share of what its number of trigrams lets expect.
-REJECT_SHARE = 0.25
+#: A text is rejected if its cosine is below this share of what its number of different trigrams lets expect.
+REJECT_SHARE = 0.15
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 _BLOCK = 1 << 21
 
@@ -63,7 +63,7 @@ def _clustered(vectors: np.ndarray, most: int, rounds: int = 12) -> np.ndarray:
 
 
 def _expected(grams) -> np.ndarray:
-    """How the cosine of a text grows with its number of trigrams, before scaling to 1."""
+    """How the cosine of a text grows with its number of different trigrams, up to a factor."""
     grams = np.asarray(grams, dtype=np.float64)
     return np.sqrt(grams / (grams + 400.0))
 
@@ -78,7 +78,7 @@ class Model:
         scores = self.centres @ _unit(np.log1p(counts) * self.idf).astype(np.float32)
         best = int(np.argmax(scores))
         score = float(min(max(scores[best], 0.0), 1.0))
-        return best, score, score < REJECT_SHARE * self.level * float(_expected(counts.sum()))
+        return best, score, score < REJECT_SHARE * self.level * float(_expected(np.count_nonzero(counts)))
 
 
 def fit(
@@ -127,7 +127,7 @@ def fit(
     for row in rows.select(F.explode("places").alias("place")).groupBy("place").count().collect():
         idf[row["place"]] = np.log((size + 1) / (row["count"] + 1)) + 1
 
-    def cluster(key, group: pd.DataFrame) -> pd.DataFrame:
+    def cluster(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.head(sample)
         vectors = np.zeros((len(group), DIMENSIONS), dtype=np.float32)
         for i, (places, counts) in enumerate(zip(group["places"], group["counts"])):
@@ -135,7 +135,7 @@ def fit(
         vectors = _unit(vectors)
         centres = _clustered(vectors, centroids)
         best = (vectors @ centres.T).max(axis=1)
-        level = np.median(best / _expected([c.sum() for c in group["counts"]]))
+        level = np.median(best / _expected([len(c) for c in group["counts"]]))
         return pd.DataFrame({"lang": key[0], "level": float(level), "centre": list(centres.astype(np.float32))})
 
     found = rows.groupBy("lang").applyInPandas(cluster, "lang string, level double, centre array<float>")
@@ -149,7 +149,7 @@ def fit(
 
 
 def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark, lang_pred, score, rejected) of every row of docs.
+    """(id_col, mark, lang_pred, score, rejected) of every row of docs.
 
     lang_pred is a language of the model, or "und" for a text that is null or
     holds no letter, or if the model is None; score is the cosine of the nearest
@@ -164,10 +164,11 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
         F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("letters"),
         docs[text_col].cast("binary").alias("text"),
     )
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    parts = model and (model.langs, model.idf, model.centres, model.level)
+    sent = docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches):
-        judge = sent.value
+        judge = sent.value and Model(*sent.value)
         for batch in batches:
             letters = batch.column("letters").to_pylist()
             langs, scores, rejected = [], [], []
@@ -186,4 +187,5 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
             )
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, mark long, lang_pred string, score double, rejected boolean")
+    found = source.mapInArrow(run, f"id {kind}, mark long, lang_pred string, score double, rejected boolean")
+    return found.withColumnRenamed("id", id_col)

@@ -3,11 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventsieve.llm import contamination, mixing, secretscan, simhash, urlrules
+from eventsieve.llm import contamination, language, mixing, quality, secretscan, simhash, urlrules
+from eventsieve.llm.text import training_rows
 from eventsieve.plans.tables import table
 
 
+def _held_out(folds: int, fold: int):
+    return F.coalesce(~training_rows("doc_id", folds, fold), F.lit(False)).alias("held_out")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(training_rows("doc_id", 5, 0)))
+    return quality.scored(docs, model).select(
+        "doc_id",
+        _held_out(5, 0),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -16,6 +33,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(training_rows("doc_id", 5, 0)), "doc_id", "text", "lang")
+    return language.predicted(docs, model).select("doc_id", _held_out(5, 0), "lang_pred", "score", "rejected")
+
+
 URL_RULES = """
     SELECT * FROM VALUES
       ('com', '/', 'allow'),
@@ -63,7 +86,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_decontamination, op7_urlrules, op8_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op7_urlrules, op8_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
