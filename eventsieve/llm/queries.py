@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsieve.llm import contamination, language, mixing, quality, secretscan, simhash, urlrules
+from eventsieve.llm import contamination, kneserney, language, mixing, quality, secretscan, simhash, urlrules
 from eventsieve.llm.text import training_rows
 from eventsieve.plans.tables import table
 
@@ -39,6 +39,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(docs, model).select("doc_id", _held_out(5, 0), "lang_pred", "score", "rejected")
 
 
+def op5_kneserney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneserney.fit(docs.where(training_rows("doc_id", 7, 2)))
+    return kneserney.scored(docs, model).select(
+        "doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 URL_RULES = """
     SELECT * FROM VALUES
       ('com', '/', 'allow'),
@@ -86,7 +94,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op7_urlrules, op8_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op5_kneserney, op7_urlrules, op8_simhash, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -74,46 +74,44 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 _powers.known = [np.empty(0, dtype=np.uint64)] * 2
 
 
-def _hashed_block(block: bytes) -> np.ndarray:
+def _hashed_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(block, dtype=np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], raw != 32, [False]]).view(np.int8)))
     begin, end = edges[0::2], edges[1::2]
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return scrambled((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    return begin, scrambled((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text whose words are split by single-byte spaces.
-
-    Works in blocks that end at a space, so that memory stays near 8 bytes a
-    word however long the text is.
-    """
-    parts, at = [], 0
-    while at < len(text):
-        end = len(text)
-        if end - at > _BLOCK:
-            end = text.find(b" ", at + _BLOCK)
-            end = len(text) if end < 0 else end
-        parts.append(_hashed_block(text[at:end]))
-        at = end
-    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
+_SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 
-_SPACES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+def lower_words(text: bytes | None) -> bytes:
+    """A-Z lower-cased, white space as spaces."""
+    return (text or b"").lower().translate(_SPACES)
 
 
 def hashed(texts: list, form=plain) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, ends): the word hashes of all texts in a row, and where each text's words end."""
+    """(hashes, ends): 64-bit hashes of all words in a row, and where each text's words end.
+
+    form turns a text into bytes whose words are split by spaces. Hashing runs
+    in blocks that end at a space, so memory stays near 16 bytes a word however
+    long a text is.
+    """
     formed = [form(t) for t in texts]
-    hashes = [word_hashes(t) for t in formed] if sum(map(len, formed)) > 4 * _BLOCK else None
-    if hashes is None:
-        # one pass for many short texts; a text's words are counted from its own bytes
-        raw = b" ".join(formed)
-        counts = [len(t.split()) for t in formed]
-        return word_hashes(raw), np.cumsum(counts, dtype=np.int64)
-    return (
-        np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64),
-        np.cumsum([len(h) for h in hashes], dtype=np.int64),
-    )
+    bounds = np.cumsum([len(t) + 1 for t in formed], dtype=np.int64)
+    raw = b" ".join(formed)
+    begins, hashes, at = [], [], 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > _BLOCK:
+            end = raw.find(b" ", at + _BLOCK)
+            end = len(raw) if end < 0 else end
+        begin, found = _hashed_block(raw[at:end])
+        begins.append(begin + at)
+        hashes.append(found)
+        at = end
+    if not hashes:
+        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), bounds)
