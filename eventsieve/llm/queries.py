@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsieve.llm import contamination, kneserney, language, mixing, quality, secretscan, simhash, urlrules
+from eventsieve.llm import contamination, kneserney, language, mixing, quality, secretscan, simhash, topk, urlrules
 from eventsieve.llm.text import training_rows
 from eventsieve.plans.tables import table
 
@@ -89,13 +89,35 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+OP9_SQL = """
+    WITH v AS (
+      SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS e
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len([x for x in embedding if x IS NULL OR NOT isfinite(x::DOUBLE)]) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id,
+        list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+    ranked AS (
+      SELECT query_id, CAST(row_number() OVER (
+        PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+      FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op5_kneserney, op7_urlrules, op8_simhash, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op5_kneserney, op7_urlrules, op8_simhash, op9_topk, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urlrules": OP7_SQL}
+    return {"op7_urlrules": OP7_SQL, "op9_topk": OP9_SQL}
