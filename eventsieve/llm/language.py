@@ -189,3 +189,24 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
     kind = source.schema["id"].dataType.simpleString()
     found = source.mapInArrow(run, f"id {kind}, mark long, lang_pred string, score double, rejected boolean")
     return found.withColumnRenamed("id", id_col)
+
+
+def without_rejected(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text the model does not reject, with their columns; see predicted()."""
+    schema, flag = docs.schema, "letters"
+    while flag in docs.columns:
+        flag += "_"
+    parts = model and (model.langs, model.idf, model.centres, model.level)
+    sent = docs.sparkSession.sparkContext.broadcast(parts)
+
+    def run(batches):
+        judge = sent.value and Model(*sent.value)
+        for batch in batches:
+            letters, texts = batch.column(flag).to_pylist(), batch.column(text_col).cast(pa.binary())
+            kept = [
+                bool(judge is not None and has and not judge(text.as_py())[2]) for has, text in zip(letters, texts)
+            ]
+            yield batch.drop_columns([flag]).filter(pa.array(kept, pa.bool_()))
+
+    marked = docs.withColumn(flag, F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)))
+    return marked.mapInArrow(run, schema)

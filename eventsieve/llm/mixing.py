@@ -95,20 +95,21 @@ def mix(
     most: float = MOST_COPIES,
     seed: int = 42,
 ) -> DataFrame:
-    """(id, size, source_size, target, taken, copies) of every row of docs.
+    """(id, mark, source, size, source_size, target, taken, copies) of every row of docs.
 
     size counts the words of the whole text, 0 for null; taken is size times
-    copies. Null sources are one source of their own. Rows of equal source,
-    size and id are interchangeable, so reruns agree. A source without words has
+    copies; mark is a hash of the text. Null sources are one source of their own.
+    Rows of equal source, id and text are interchangeable, so reruns agree. A source without words has
     target 0 and no copies; an empty table gives an empty result; further
     columns are ignored.
     """
     sized = docs.select(
         docs[id_col].alias("id"),
+        F.xxhash64(docs[text_col]).alias("mark"),
         docs[source_col].alias("source"),
         F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("id")]
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("id"), F.col("mark")]
     dealt = materialize(
         sized.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix"
     )
@@ -121,7 +122,7 @@ def mix(
     known = cells.join(
         shares.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))
     ).drop("name")
-    place = F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "id"))
+    place = F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "id", "mark"))
     placed = dealt.withColumn("place", place).alias("d").join(
         known.alias("k"),
         (F.col("d.part") == F.col("k.part")) & F.col("d.source").eqNullSafe(F.col("k.source")),
@@ -129,7 +130,7 @@ def mix(
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     placed = materialize(
         placed.select(
-            "d.id", "d.source", "size", "source_size", "target",
+            "d.id", "mark", "d.source", "size", "source_size", "target",
             step.alias("step"), (F.col("before") + F.col("place")).alias("at"),
         ),
         "mix",
@@ -157,9 +158,34 @@ def mix(
     taken = copies(F.col("offset"))
     return placed.select(
         F.col("id").alias(id_col),
+        "mark",
+        "source",
         "size",
         "source_size",
         "target",
         (F.col("size") * taken).alias("taken"),
         taken.alias("copies"),
     )
+
+
+def emitted(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
+    """The mix itself: each row of docs as often as mix() takes it, numbered from 1 in the column copy."""
+    mixed = mix(docs, id_col, text_col, source_col, **options)
+    taken = materialize(
+        mixed.groupBy(F.col(id_col).alias("mix_id"), F.col("mark").alias("mix_mark"), F.col("source").alias("mix_source"))
+        .agg(F.sum("copies").cast("int").alias("mix_copies"), F.count(F.lit(1)).alias("rows"))
+        .where("mix_copies > 0"),
+        "taken",
+    )
+    # repeated rows are emitted together: the second shuffle of texts is for tables that hold some
+    rows = docs if taken.where("rows > 1").isEmpty() else docs.dropDuplicates([id_col, text_col, source_col])
+    same = (
+        rows[id_col].eqNullSafe(F.col("mix_id"))
+        & (F.xxhash64(rows[text_col]) == F.col("mix_mark"))
+        & rows[source_col].eqNullSafe(F.col("mix_source"))
+    )
+    return rows.join(taken.drop("rows"), same).select(
+        *[rows[c] for c in rows.columns], F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("copy")
+    )

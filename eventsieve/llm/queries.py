@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsieve.llm import contamination, kneserney, language, mixing, quality, secretscan, simhash, topk, urlrules
+from eventsieve.llm import contamination, kneserney, language, licences, mixing, quality, secretscan, simhash, topk, urlrules
 from eventsieve.llm.text import training_rows
 from eventsieve.plans.tables import table
 
@@ -26,7 +26,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("mark", "source")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,16 @@ def op5_kneserney(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files <source>/<lang>/<thousand>/<doc_id>.txt; each fiftieth is a licence file of <source>/<lang>."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    path = F.when(F.col("doc_id") % 50 == 0, F.concat_ws("/", folder, F.concat(F.lit("LICENSE."), "doc_id"))).otherwise(
+        F.concat_ws("/", folder, F.expr("doc_id div 1000"), F.concat("doc_id", F.lit(".txt")))
+    )
+    return licences.licensed(docs.select("doc_id", "text", path.alias("path")))
+
+
 URL_RULES = """
     SELECT * FROM VALUES
       ('com', '/', 'allow'),
@@ -116,7 +126,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op5_kneserney, op7_urlrules, op8_simhash, op9_topk, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op5_kneserney, op6_licences, op7_urlrules, op8_simhash, op9_topk, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventsieve.llm.automaton import Automaton, compile_rules
-from eventsieve.llm.text import slices
+from eventsieve.llm.text import id_and_text, slices
 
 
 @dataclass(frozen=True)
@@ -123,26 +123,6 @@ def scan(
     as they go in, with their ids, null ones too; an empty table gives an
     empty result; further columns are ignored.
     """
-    found = _run(docs, id_col, text_col, rules, None)
-    return found.select(F.col("id").alias(id_col), "spans")
-
-
-def redact(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    rules: tuple[Rule, ...] = RULES,
-    mark: str = "[SECRET]",
-) -> DataFrame:
-    """(id, spans, redacted): as scan(), and the text with each run of spans replaced by mark.
-
-    A null text stays null.
-    """
-    found = _run(docs, id_col, text_col, rules, mark.encode())
-    return found.select(F.col("id").alias(id_col), "spans", F.col("redacted").cast("string"))
-
-
-def _run(docs, id_col, text_col, rules, mark):
     scanner = Scanner(rules)
     kinds = [r.kind for r in rules]
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -154,35 +134,63 @@ def _run(docs, id_col, text_col, rules, mark):
         before = lambda at: int(seen[at - 1]) if at else 0
         return [{"kind": kinds[r], "start": before(s), "end": before(e)} for s, r, e in found]
 
+    def run(batches):
+        scanner.open()
+        for batch in batches:
+            spans = [
+                points(text, scanner(text)) if text else [] for _, texts in slices(batch) for text in texts
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, span_type)], ["id", "spans"])
+
+    source = id_and_text(docs, id_col, text_col)
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(run, f"id {kind}, spans {SPAN}").withColumnRenamed("id", id_col)
+
+
+def redacted(
+    docs: DataFrame,
+    text_col: str = "text",
+    length_col: str | None = None,
+    rules: tuple[Rule, ...] = RULES,
+    mark: str = "[SECRET]",
+) -> DataFrame:
+    """All rows and columns of docs, with each run of overlapping spans replaced by mark.
+
+    length_col, if given, is set to the length in code points of a text that changed. Null texts stay null.
+    """
+    scanner = Scanner(rules)
+
     def cut(text: bytes, found: list) -> bytes:
         out, at = [], 0
         for start, _, end in found:
             if start >= at:
-                out += [text[at:start], mark]
+                out += [text[at:start], mark.encode()]
             at = max(at, end)
         return b"".join([*out, text[at:]])
 
     def run(batches):
         scanner.open()
         for batch in batches:
-            spans, texts_out = [], []
-            for _, texts in slices(batch):
-                for text in texts:
-                    found = scanner(text) if text else []
-                    spans.append(points(text, found))
-                    if mark is not None:
-                        texts_out.append(cut(text, found) if text is not None else None)
-            columns = [batch.column("id"), pa.array(spans, span_type)]
-            names = ["id", "spans"]
-            if mark is not None:
-                columns.append(pa.array(texts_out, pa.binary()))
-                names.append("redacted")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, spans {SPAN}" + (", redacted binary" if mark is not None else "")
-    return source.mapInArrow(run, schema)
+            names = batch.schema.names
+            texts, kind = batch.column(text_col), batch.schema.field(text_col).type
+            lengths = batch.column(length_col).to_pylist() if length_col else None
+            out = []
+            for i, text in enumerate(texts.cast(pa.binary())):
+                text = text.as_py()
+                found = scanner(text) if text else []
+                if found:
+                    text = cut(text, found)
+                    if lengths:
+                        lengths[i] = len(text.decode("utf-8", "replace"))
+                out.append(text)
+            columns = list(batch.columns)
+            columns[names.index(text_col)] = pa.array(out, pa.binary()).cast(kind)
+            if lengths:
+                at = names.index(length_col)
+                columns[at] = pa.array(lengths, batch.schema.types[at])
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventsieve.llm.text import id_and_text, slices
+from eventsieve.llm.text import slices
 from eventsieve.operators.components import connected_components
 from eventsieve.plans.tables import materialize
 
@@ -52,19 +52,23 @@ def fingerprint_of(text: bytes | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) -> DataFrame:
-    """(id, fp long) of every row; fp holds the 64 bits as a signed number."""
+    """(id, mark, fp) of every row: mark is a hash of the text, fp the 64 bits as a signed number."""
 
     def run(batches):
         for batch in batches:
-            found = [
-                fingerprint_of(text, width) for _, texts in slices(batch) for text in texts
-            ]
+            found = [fingerprint_of(text, width) for _, texts in slices(batch) for text in texts]
             values = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values)], ["id", "fp"])
-
-    source = id_and_text(docs, id_col, text_col)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("mark"), pa.array(values)], ["id", "mark", "fp"]
+            )
+
+    source = docs.select(
+        docs[id_col].alias("id"),
+        F.xxhash64(docs[text_col]).alias("mark"),
+        docs[text_col].cast("binary").alias("text"),
+    )
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, fp long")
+    return source.mapInArrow(run, f"id {kind}, mark long, fp long")
 
 
 def _segment_variants(fps: DataFrame) -> DataFrame:
@@ -120,6 +124,28 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return cold.union(fine).distinct()
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, bucket: int) -> DataFrame:
+    """(id, mark, fp, component_id, first) of every row; first is the component's first row by id, then mark."""
+    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")
+    heads = materialize(prints.groupBy("fp").agg(F.min("id").alias("head"), F.min(row).alias("row")), "heads")
+    reached = connected_components(links(heads.select("fp"), bucket), "a", "b")
+    least = (
+        reached.join(heads, F.col("node") == heads["fp"])
+        .groupBy("component")
+        .agg(F.min("head").alias("least"), F.min("row").alias("least_row"))
+    )
+    moved = reached.join(least, "component").select(F.col("node").alias("fp"), "least", "least_row")
+    # written out, so that the join below stands alone and a crowded fingerprint can be split
+    named = materialize(
+        heads.join(moved, "fp", "left").select(
+            "fp", F.coalesce("least", "head").alias("component_id"), F.coalesce("least_row", "row").alias("first")
+        ),
+        "components",
+    )
+    return prints.join(named, "fp")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET
 ) -> DataFrame:
@@ -132,23 +158,31 @@ def near_duplicates(
     null component_id. Repeated rows come out as often as they go in; an empty
     table gives an empty result; further columns are ignored.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    heads = materialize(prints.groupBy("fp").agg(F.min("id").alias("head")), "heads")
-    edges = links(heads.select("fp"), bucket)
-    reached = connected_components(edges, "a", "b")
-    least = (
-        reached.join(heads, F.col("node") == heads["fp"])
-        .groupBy("component")
-        .agg(F.min("head").alias("least"))
-    )
-    moved = reached.join(least, "component").select(F.col("node").alias("fp"), "least")
-    # written out, so that the join below stands alone and a crowded fingerprint can be split
-    named = materialize(
-        heads.join(moved, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id")),
-        "components",
-    )
-    return prints.join(named, "fp").select(
+    return _components(docs, id_col, text_col, bucket).select(
         F.col("id").alias(id_col),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET
+) -> DataFrame:
+    """The rows of docs that stand first in their component, with their columns.
+
+    First is the least id, rows without one last. Of rows that repeat both id and text one stays.
+    """
+    found = _components(docs, id_col, text_col, bucket)
+    first = found.where(
+        F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
+    )
+    kept = materialize(
+        first.groupBy(F.col("id").alias("kept_id"), F.col("mark").alias("kept_mark")).agg(F.count(F.lit(1)).alias("rows")),
+        "kept",
+    )
+    mark = F.xxhash64(docs[text_col])
+    rows = docs.join(
+        kept.drop("rows"), docs[id_col].eqNullSafe(F.col("kept_id")) & (mark == F.col("kept_mark")), "left_semi"
+    )
+    # the second shuffle of texts is for tables with repeated rows only
+    return rows if kept.where("rows > 1").isEmpty() else rows.dropDuplicates([id_col, text_col])
