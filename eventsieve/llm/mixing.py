@@ -110,6 +110,8 @@ def mix(
         F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("id"), F.col("mark")]
+    # written first: dealing by range reads its input twice, once to find the bounds
+    sized = materialize(sized, "sizes")
     dealt = materialize(
         sized.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix"
     )
