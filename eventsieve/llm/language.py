@@ -22,7 +22,7 @@ UNKNOWN = "und"
 DIMENSIONS = 1 << 13
 CENTROIDS = 4
 #: Rows of each language that the centroids are fitted on: those with the least hash of their id.
-SAMPLE = 400
+SAMPLE = 1000
 #: A text is rejected if its cosine is below this share of what its number of different trigrams lets expect.
 REJECT_SHARE = 0.15
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -49,16 +49,13 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _clustered(vectors: np.ndarray, most: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means, begun from rows that are each the farthest from those before."""
-    chosen = [0]
-    near = vectors @ vectors[0]
-    while len(chosen) < min(most, len(vectors)):
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, vectors @ vectors[chosen[-1]])
-    centres = vectors[chosen]
+    """Spherical k-means, begun from quantiles of the similarity to the mean, so that no outlier begins a cluster."""
+    order = np.argsort(vectors @ vectors.sum(axis=0), kind="stable")
+    centres = _unit(np.array([vectors[part].sum(axis=0) for part in np.array_split(order, min(most, len(order)))]))
     for _ in range(rounds):
         own = np.argmax(vectors @ centres.T, axis=1)
-        centres = _unit(np.array([vectors[own == k].sum(axis=0) if (own == k).any() else c for k, c in enumerate(centres)]))
+        sums = [vectors[own == k].sum(axis=0) if (own == k).any() else c for k, c in enumerate(centres)]
+        centres = _unit(np.array(sums))
     return centres
 
 
@@ -93,11 +90,17 @@ def fit(
 
     Fitting moves `sample` rows a language; the driver receives the centroids only.
     """
-    known = docs.where(
-        docs[lang_col].isNotNull() & docs[text_col].rlike(r"\p{L}")
-    ).select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].cast("binary").alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = known.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    known = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(
+        docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].cast("binary").alias("text")
+    )
+    # hashes are even, so twice the share leaves enough rows of each language and few to rank
+    place = F.shiftrightunsigned(F.xxhash64("id"), 1) / float(1 << 63)
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    near = known.select("id", "lang", place.alias("place")).join(sizes, "lang").where(
+        F.col("place") * F.col("size") < 2.0 * sample
+    )
+    order = Window.partitionBy("lang").orderBy("place", "id")
+    picked = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
     picked = picked.select("id", "lang").distinct()
 
     def count(batches):
@@ -117,7 +120,8 @@ def fit(
     rows = materialize(
         known.join(picked, ["id", "lang"], "left_semi")
         .select("lang", "text")
-        .mapInArrow(count, "lang string, places array<int>, counts array<long>"),
+        .mapInArrow(count, "lang string, places array<int>, counts array<long>")
+        .where("size(places) > 0"),
         "trigrams",
     )
     size = rows.count()
