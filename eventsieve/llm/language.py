@@ -23,6 +23,8 @@ DIMENSIONS = 1 << 13
 CENTROIDS = 4
 #: Rows of each language that the centroids are fitted on: those with the least hash of their id.
 SAMPLE = 1000
+#: Ids of the sample that may be broadcast: some 10 MB. More are joined by a shuffle.
+BROADCAST_IDS = 200_000
 #: A text is rejected if its cosine is below this share of what its number of different trigrams lets expect.
 REJECT_SHARE = 0.15
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -101,7 +103,9 @@ def fit(
     )
     order = Window.partitionBy("lang").orderBy("place", "id")
     picked = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
-    picked = picked.select("id", "lang").distinct()
+    picked = materialize(picked.select("id", "lang").distinct(), "picked")
+    # at most `sample` ids a language: sent to all tasks if few, so that no text is shuffled
+    few = F.broadcast(picked) if picked.count() <= BROADCAST_IDS else picked
 
     def count(batches):
         for batch in batches:
@@ -118,7 +122,7 @@ def fit(
                 )
 
     rows = materialize(
-        known.join(picked, ["id", "lang"], "left_semi")
+        known.join(few, ["id", "lang"], "left_semi")
         .select("lang", "text")
         .mapInArrow(count, "lang string, places array<int>, counts array<long>")
         .where("size(places) > 0"),
