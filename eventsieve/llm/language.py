@@ -97,7 +97,8 @@ def fit(
     )
     # hashes are even, so twice the share leaves enough rows of each language and few to rank
     place = F.shiftrightunsigned(F.xxhash64("id"), 1) / float(1 << 63)
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
     near = known.select("id", "lang", place.alias("place")).join(sizes, "lang").where(
         F.col("place") * F.col("size") < 2.0 * sample
     )
