@@ -8,13 +8,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from eventsieve.functions.lexicon import DEFAULT, NUMBER, TOKEN, Lexicon
 
 QUOTES, PLAIN_QUOTES = "’‘“”", "''\"\""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 
@@ -56,7 +57,10 @@ def words(text: Column, lexicon: Lexicon = DEFAULT, nfkc: bool = True) -> Column
 
 
 def short_number(value: Column) -> Column:
-    """A number with six significant digits and no trailing zeros, as C's %g writes it."""
+    """A number with six significant digits and no trailing zeros, as C's %g writes it.
+
+    A seventh digit of exactly 5 rounds up here; C rounds by the binary value, which may lie just below.
+    """
     raw = F.format_string("%.5e", value)
     mantissa, power = F.split_part(raw, F.lit("e"), F.lit(1)), F.split_part(raw, F.lit("e"), F.lit(2))
     exponent = power.cast("int")

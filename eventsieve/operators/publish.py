@@ -137,9 +137,9 @@ def merged_components(heads: DataFrame, head_prints: DataFrame, groups: DataFram
     ends = ends.join(named.withColumnRenamed("component", "u"), "n").join(
         named.select(F.col("n").alias("m"), F.col("component").alias("v")), "m"
     )
-    reached = connected_components(ends, "u", "v")
+    reached = connected_components(ends, "u", "v").withColumnRenamed("component", "least")
     return heads.join(reached, F.col("component") == F.col("node"), "left").select(
-        heads["component"], F.coalesce(reached["component"], heads["component"]).alias("merged")
+        "component", F.coalesce("least", "component").alias("merged")
     )
 
 
