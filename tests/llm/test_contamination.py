@@ -1,0 +1,70 @@
+import random
+
+from eventsieve.llm import contamination
+from eventsieve.llm.text import plain
+
+
+def brute(doc, item, window=13, similarity=0.8):
+    ours, theirs = plain((doc or "").encode()).split(), plain((item or "").encode()).split()
+    need = min(window, len(theirs))
+    if need < 8:
+        return False
+    for i in range(len(ours) - need + 1):
+        for j in range(len(theirs) - need + 1):
+            if sum(a == b for a, b in zip(ours[i : i + need], theirs[j : j + need])) >= similarity * need:
+                return True
+    return False
+
+
+def cases(prose):
+    items = [(i, prose(20 + i, 900 + i)) for i in range(8)] + [(50, prose(9, 77)), (51, "too short"), (52, None), (53, "")]
+    items += [(60, items[0][1])]
+    docs, n = [], 0
+    draw = random.Random(3)
+    for i, (_, item) in enumerate(items[:9]):
+        words = item.split()
+        for changes in range(0, 8):
+            part = list(words)
+            for at in draw.sample(range(len(part)), min(changes, len(part))):
+                part[at] = f"changed{at}"
+            docs.append((n, f"{prose(30, n)} {' '.join(part).upper()}!! {prose(30, n + 500)}"))
+            n += 1
+        docs.append((n, f"{prose(5, n)} {' '.join(words[:12])} {prose(9, n + 1)}"))
+        docs.append((n + 1, f"{prose(5, n)}, {', '.join(words[3:16])}. {prose(9, n + 1)}"))
+        n += 2
+    docs += [(n + k, prose(200, 5000 + k)) for k in range(20)]
+    return docs, items
+
+
+def test_matches_brute_force(spark, prose):
+    docs, items = cases(prose)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: r for r in contamination.judged(d, t).collect()}
+    assert len(found) == len(docs)
+    missed = 0
+    for key, text in docs:
+        hit = [i for i, item in items if brute(text, item)]
+        # up to two substitutions in 13 words are sure to be hit, which is what similarity 0.8 allows
+        assert found[key].contaminated == bool(hit), (key, text, hit)
+        if hit:
+            distinct = {min(i for i, x in items if x == item) for i, item in items if i in hit}
+            assert found[key].items == len(distinct) and found[key].best_item in distinct
+    assert missed == 0
+    kept = contamination.without_tests(d, t)
+    assert kept.columns == d.columns
+    assert {r.doc_id for r in kept.collect()} == {k for k, r in found.items() if not r.contaminated}
+
+
+def test_awkward_rows(spark, awkward, empty, prose):
+    tests = spark.createDataFrame([(1, LAZY), (None, LAZY), (2, None)], "item_id long, text string")
+    found = contamination.judged(awkward, tests)
+    assert found.count() == awkward.count()
+    assert {r.doc_id for r in found.where("contaminated").collect()} == {1, 2}
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert contamination.judged(awkward, none).where("contaminated").count() == 0
+    assert contamination.judged(empty, tests).count() == 0
+    assert contamination.without_tests(awkward, tests).count() == awkward.count() - 3
+
+
+LAZY = "The quick brown fox jumps over the lazy dog."
