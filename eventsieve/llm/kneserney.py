@@ -66,7 +66,7 @@ def _sent(keys, counts, shard_of) -> pa.RecordBatch:
     shard = shard_of(keys)
     order = np.argsort(shard, kind="stable")
     names, starts = np.unique(shard[order], return_index=True)
-    cuts = np.split(order, starts[1:])
+    cuts = np.split(order, starts[1:]) if len(names) else []
     return pa.RecordBatch.from_arrays(
         [pa.array(names.astype(np.int64)), pa.array([_packed(keys[c], *(x[c] for x in counts)) for c in cuts], pa.binary())],
         ["shard", "blob"],
@@ -351,7 +351,7 @@ class Scorer:
         order = np.lexsort((keys, shard))
         names, starts = np.unique(shard[order], return_index=True)
         counts = np.zeros(len(keys), dtype=np.int64)
-        for name, own in zip(names, np.split(order, starts[1:])):
+        for name, own in zip(names, np.split(order, starts[1:]) if len(names) else []):
             known = self.files(f"pairs-{name}")
             if known is None:
                 continue
