@@ -33,7 +33,11 @@ def fold(text: Column, nfkc: bool = True) -> Column:
 def with_phrases(folded: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """The lexicon's rewrites, one after the other, each over the whole text."""
     for pattern, replacement in lexicon.phrases:
-        folded = F.regexp_replace(folded, f"(?U){pattern}", replacement)
+        if pattern.startswith(r"\b") and pattern.endswith(r"\b"):
+            # one boundary test for all words instead of one for each
+            pattern = rf"\b(?:{pattern[2:-2].replace(r'\b|\b', '|')})\b"
+        wide = "(?U)" if re.search(r"\\[bsw]", pattern) else ""
+        folded = F.regexp_replace(folded, wide + pattern, replacement)
     return folded
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from eventsieve.functions.lexicon import DEFAULT, Lexicon
 from eventsieve.functions.text import anchors, any_date, lead, words
-from eventsieve.plans.tables import materialize
+from eventsieve.plans.tables import materialize, spread
 
 THRESHOLD = 0.34
 MODEL_FLOOR = 0.12
@@ -39,13 +39,17 @@ def fingerprints(
     nfkc: bool = True,
 ) -> DataFrame:
     """(id, title, body, nums, day) of every row; word lists are sorted, day may be null."""
-    first = lead(extract, lead_words)
-    read = items.select(
-        items[id_col].alias("id"),
-        F.sort_array(words(title, lexicon, nfkc)).alias("title"),
-        words(first, lexicon, nfkc).alias("rest"),
-        F.sort_array(anchors(F.concat_ws(" ", F.coalesce(title, F.lit("")), first), nfkc)).alias("nums"),
-        any_date(when).alias("day"),
+    # only the lead of a text travels
+    short = items.select(
+        items[id_col].alias("id"), title.alias("head"), lead(extract, lead_words).alias("lead"), when.alias("when")
+    )
+    both = F.concat_ws(" ", F.coalesce("head", F.lit("")), "lead")
+    read = spread(short).select(
+        "id",
+        F.sort_array(words(F.col("head"), lexicon, nfkc)).alias("title"),
+        words(F.col("lead"), lexicon, nfkc).alias("rest"),
+        F.sort_array(anchors(both, nfkc)).alias("nums"),
+        any_date(F.col("when")).alias("day"),
     )
     return read.select("id", "title", F.sort_array(F.array_union("title", "rest")).alias("body"), "nums", "day")
 
@@ -69,9 +73,11 @@ def weight(n: Column, df: Column) -> Column:
 
 
 def weighted(grouped: DataFrame, counts: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Adds tw, bw: arrays of (columns, token) for title and body, heaviest first.
+    """Adds tw, bw (arrays of (columns, token) for title and body, heaviest first), their coded forms tc, bc, and sums.
 
     columns are the weights by name, over df (null where the word was never counted); the first decides the order.
+    A coded entry is one string of token and weights. As a word's weights are the same everywhere, coded entries are
+    equal exactly if their words are, so an intersection of coded arrays carries its weights. Sums are named as tw_w.
     """
     tokens = grouped.select("class_id", F.explode("body").alias("token"), "title")
     entry = F.struct(*[c.alias(k) for k, c in columns.items()], F.col("token"))
@@ -87,9 +93,17 @@ def weighted(grouped: DataFrame, counts: DataFrame, columns: dict[str, Column])
         F.transform("es", lambda x: x["e"]).alias("bw"),
     )
     empty = F.lit([]).cast(listed.schema["bw"].dataType)
-    return grouped.join(listed, "class_id", "left").withColumns(
+    found = grouped.join(listed, "class_id", "left").withColumns(
         {"tw": F.coalesce("tw", empty), "bw": F.coalesce("bw", empty)}
     )
+    code = lambda c: F.transform(c, lambda e: F.concat_ws(":", e["token"], *[e[k].cast("string") for k in columns]))
+    sums = {f"{c}_{k}": total(F.col(c), k) for c in ("tw", "bw") for k in columns}
+    return found.withColumns({"tc": code("tw"), "bc": code("bw"), **sums})
+
+
+def coded_total(entries: Column, place: int = 1) -> Column:
+    """The sum of the weight at a place of coded entries."""
+    return F.aggregate(entries, F.lit(0.0), lambda s, e: s + F.split_part(e, F.lit(":"), F.lit(place + 1)).cast("double"))
 
 
 def total(entries: Column, name: str = "w") -> Column:
@@ -151,11 +165,11 @@ def _near(a: DataFrame, b: DataFrame, window_days: int | None, ordered: bool) ->
     return ids[0].union(ids[1]).union(ids[2]).distinct()
 
 
-def _dice(a: Column, b: Column) -> Column:
-    b_tokens = F.transform(b, lambda e: e["token"])
-    shared = total(F.filter(a, lambda e: F.array_contains(b_tokens, e["token"])))
-    both = total(a) + total(b)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * shared / both)
+def _dice(field: str) -> Column:
+    """The weighted Dice overlap of the sides a and b."""
+    a, b = F.col(f"a_{field}w_w"), F.col(f"b_{field}w_w")
+    shared = coded_total(F.array_intersect(f"a_{field}c", f"b_{field}c"))
+    return F.when((a == 0) | (b == 0), 0.0).otherwise(2 * shared / (a + b))
 
 
 def _bonus(a_nums: Column, b_nums: Column) -> Column:
@@ -192,12 +206,9 @@ def similar_classes(
     keys = _keys(sets, threshold)
     pairs = _near(keys, keys, window_days, ordered=True)
     side = lambda p: sets.select(
-        *[F.col(c).alias(f"{p}_{n}") for c, n in (("class_id", "id"), ("tw", "tw"), ("bw", "bw"), ("nums", "nums"))]
-    )
-    score = (
-        (_dice(F.col("a_tw"), F.col("b_tw")) + _dice(F.col("a_bw"), F.col("b_bw"))) / 2
-        + _bonus(F.col("a_nums"), F.col("b_nums"))
+        F.col("class_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("tc", "bc", "tw_w", "bw_w", "nums")]
     )
+    score = (_dice("t") + _dice("b")) / 2 + _bonus(F.col("a_nums"), F.col("b_nums"))
     return (
         pairs.join(side("a"), "a_id")
         .join(side("b"), "b_id")
@@ -235,29 +246,24 @@ def best_published(
     n, counts = corpus(old)
     df = F.coalesce("df", F.lit(0))
     w_in, w_out = F.log(F.lit(n + 2) / (df + 2)) + 1, F.log(F.lit(n + 2) / (df + 1)) + 1
-    mine = materialize(weighted(grouped, counts, {"w": w_in}), "weighted")
-    theirs = materialize(weighted(old, counts, {"w": w_in, "o": w_out}), "weighted")
+    both = {"w": w_in, "o": w_out}
+    mine = materialize(weighted(grouped, counts, both), "weighted")
+    theirs = materialize(weighted(old, counts, both), "weighted")
     pairs = _near(_keys(mine, threshold), _keys(theirs, None), window_days, ordered=False)
-    a = mine.select(
-        F.col("class_id").alias("a_id"), "tw", "bw", F.col("nums").alias("a_nums"),
-        F.transform("bw", lambda e: e["token"]).alias("own"),
-    )
+    a = mine.select(F.col("class_id").alias("a_id"), "tc", "bc", "tw_w", "bw_w", F.col("nums").alias("a_nums"))
     b = theirs.select(
-        F.col("class_id").alias("b_id"), "pos",
-        F.col("tw").alias("otw"), F.col("bw").alias("obw"), F.col("nums").alias("b_nums"),
+        F.col("class_id").alias("b_id"), "pos", F.col("nums").alias("b_nums"),
+        *[F.col(c).alias(f"o{c}") for c in ("tc", "bc", "tw_o", "bw_o")],
     )
 
-    def dice(ours: Column, others: Column) -> Column:
-        in_mine = F.filter(others, lambda e: F.array_contains("own", e["token"]))
-        tokens = F.transform(ours, lambda e: e["token"])
-        shared = total(F.filter(others, lambda e: F.array_contains(tokens, e["token"])))
-        weight_theirs = total(others, "o") - total(in_mine, "o") + total(in_mine)
-        some = (F.size(ours) > 0) & (F.size(others) > 0)
-        return F.when(some, 2 * shared / (total(ours) + weight_theirs)).otherwise(0.0)
+    def dice(f: str) -> Column:
+        in_mine = F.array_intersect(f"o{f}c", "bc")
+        weight_theirs = F.col(f"o{f}w_o") - coded_total(in_mine, 2) + coded_total(in_mine)
+        some = (F.size(f"{f}c") > 0) & (F.size(f"o{f}c") > 0)
+        shared = coded_total(F.array_intersect(f"{f}c", f"o{f}c"))
+        return F.when(some, 2 * shared / (F.col(f"{f}w_w") + weight_theirs)).otherwise(0.0)
 
-    score = (dice(F.col("tw"), F.col("otw")) + dice(F.col("bw"), F.col("obw"))) / 2 + _bonus(
-        F.col("a_nums"), F.col("b_nums")
-    )
+    score = (dice("t") + dice("b")) / 2 + _bonus(F.col("a_nums"), F.col("b_nums"))
     scored = (
         pairs.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "pos", F.round(score, DIGITS).alias("score"))
     ).where(F.col("score") >= threshold)

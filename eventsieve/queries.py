@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eventsieve.functions import lexicon, text, urls
 from eventsieve.operators import knowledge, publish, similarity, visitors
-from eventsieve.plans.tables import materialize, table
+from eventsieve.plans.tables import materialize, spread, table
 
 SITE_RULES = lexicon.Lexicon(primary_domains=("example.org",), aggregator_domains=("spam", "cheap-"))
 
@@ -39,7 +39,7 @@ def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_words(spark, sf_dir):
     found = F.sort_array(text.words(F.col("text")))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.size(found).alias("n_words"), F.md5(F.array_join(found, " ").cast("binary")).alias("words_md5")
     )
 
@@ -53,7 +53,7 @@ def stem_tokens(spark, sf_dir):
 def phrase_canon(spark, sf_dir):
     told = F.concat(F.lit("Tonnes of record-high Shipments: European Union raises cuts. "), F.col("text"))
     canon = text.with_phrases(text.fold(told, nfkc=False))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.length(canon).alias("n_chars_canon"), F.md5(canon.cast("binary")).alias("canon_md5")
     )
 
@@ -66,7 +66,8 @@ def anchors_numbers(spark, sf_dir):
         F.col("l_linenumber").cast("string"), F.lit(",500% or x9.5 on line "), F.col("l_linenumber").cast("string"),
     )
     found = F.sort_array(text.anchors(told, nfkc=False))
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return spread(lines).select(
         "l_orderkey", "l_linenumber", F.array_join(found, ",").alias("anchors")
     )
 
