@@ -92,7 +92,8 @@ def anchors(text: Column, nfkc: bool = True) -> Column:
 
 def lead(text: Column, count: int) -> Column:
     """The first words of a text, split at white space and joined by single spaces."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
+    # splitting stops after the words asked for; leading white space leaves one empty part
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", count + 2), lambda p: p != "")
     return F.array_join(F.slice(parts, 1, count), " ")
 
 

@@ -119,7 +119,7 @@ def merged_components(heads: DataFrame, head_prints: DataFrame, groups: DataFram
     grouped = materialize(similarity.classes(head_prints), "classes")
     classes_of = similarity.members(head_prints, grouped)
     edges = similarity.similar_classes(grouped, None, similarity.MODEL_FLOOR, context)
-    told = groups.select(F.monotonically_increasing_id().alias("g"), F.explode("group").alias("n")).distinct()
+    told = groups.select(F.xxhash64("group").alias("g"), F.explode("group").alias("n")).distinct()
     told = materialize(told.join(classes_of, F.col("n") == F.col("id")).select("g", "n", "class_id"), "told")
     # heads of one class are alike in every word: a chain from the first is enough
     first = told.groupBy("g", "class_id").agg(F.min("n").alias("first"))

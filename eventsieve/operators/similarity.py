@@ -132,12 +132,11 @@ def telling(entries: Column, threshold: float, name: str = "w") -> Column:
     return F.transform(F.slice(entries, F.lit(1), F.size(entries) - walked["cut"]), lambda e: e["token"])
 
 
-def _keys(sets: DataFrame, threshold: float | None) -> DataFrame:
-    """(class_id, day, field, token) of the words to join on; all words if threshold is None."""
-    pick = lambda c: F.transform(c, lambda e: e["token"]) if threshold is None else telling(F.col(c), threshold)
+def _keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """(class_id, day, field, token) of the words to join on."""
     fields = F.array(
-        F.struct(F.lit("t").alias("field"), pick("tw").alias("tokens")),
-        F.struct(F.lit("b").alias("field"), pick("bw").alias("tokens")),
+        F.struct(F.lit("t").alias("field"), telling(F.col("tw"), threshold).alias("tokens")),
+        F.struct(F.lit("b").alias("field"), telling(F.col("bw"), threshold).alias("tokens")),
     )
     return sets.select("class_id", "day", F.explode(fields).alias("f")).select(
         "class_id", "day", "f.field", F.explode("f.tokens").alias("token")
@@ -249,7 +248,8 @@ def best_published(
     both = {"w": w_in, "o": w_out}
     mine = materialize(weighted(grouped, counts, both), "weighted")
     theirs = materialize(weighted(old, counts, both), "weighted")
-    pairs = _near(_keys(mine, threshold), _keys(theirs, None), window_days, ordered=False)
+    # an old article weighs at least its w_in, so the bound holds for its side too
+    pairs = _near(_keys(mine, threshold), _keys(theirs, threshold), window_days, ordered=False)
     a = mine.select(F.col("class_id").alias("a_id"), "tc", "bc", "tw_w", "bw_w", F.col("nums").alias("a_nums"))
     b = theirs.select(
         F.col("class_id").alias("b_id"), "pos", F.col("nums").alias("b_nums"),
