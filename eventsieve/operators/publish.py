@@ -66,12 +66,14 @@ def also_reported(items: DataFrame, rank: list[Column], value: str, most: int =
 def split_repeats(items: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fresh, repeats) of items with (component, id, ord): a component repeats if any member matches.
 
+    ord is anything that orders the members: a number, or a struct of rank columns, which spares sorting the groups.
+
     fresh keeps the rows of the other components. repeats has (component, primary_id, old_id): the match of the
     first member that has one.
     """
     matched = items.select("component", "id", "ord").join(matches.select("id", "old_id"), "id")
     first = matched.groupBy("component").agg(F.min_by("old_id", "ord").alias("old_id"))
-    heads = items.where("ord = 1").select("component", F.col("id").alias("primary_id"))
+    heads = items.groupBy("component").agg(F.min_by("id", "ord").alias("primary_id"))
     return items.join(first, "component", "left_anti"), heads.join(first, "component")
 
 
@@ -173,12 +175,12 @@ def assemble_issue(items: DataFrame, history: DataFrame | None, rank: list[Colum
             history = history.where(F.col("day").isNull() | (F.col("day") >= F.lit(since)))
     found = cluster(items.select("id", "title", "body", "nums", "day"), context=history).withColumnRenamed("id", "own")
     joined = materialize(items.join(found, F.col("id") == F.col("own")).drop("own"), "issue")
-    order = ranked(joined, rank)
-    if history is None:
-        return order.where("ord = 1").drop("ord")
-    matches = published_matches(joined.select("id", "title", "body", "nums", "day"), history)
-    fresh, _ = split_repeats(order, materialize(matches, "matches"))
-    return fresh.where("ord = 1").drop("ord")
+    fresh = joined
+    if history is not None:
+        matches = published_matches(joined.select("id", "title", "body", "nums", "day"), history)
+        ordered = joined.withColumn("ord", F.struct(*rank, F.col("pos")))
+        fresh = split_repeats(ordered, materialize(matches, "matches"))[0].drop("ord")
+    return primaries(fresh, rank).drop("size").select(*joined.columns)
 
 
 def publish_issues(items: DataFrame, issue: str, rank: list[Column], look_back_days: int | None = None) -> DataFrame:
