@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventsieve.llm.text import hashed, scrambled, slices
+from eventsieve.llm.text import bounded, hashed, scrambled, slices
 
 #: Word positions that count; the others may be substituted.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -171,7 +171,7 @@ def overlaps(
     session = docs.sparkSession
     seeds = test_seeds(tests, test_id, test_text, window)
     table = session.sparkContext.broadcast(seed_table(seeds))
-    source = docs.select(
+    source = bounded(docs).select(
         docs[id_col].alias("id"),
         F.xxhash64(docs[text_col]).alias("mark"),
         docs[text_col].cast("binary").alias("text"),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventsieve.llm.text import hashed, lower_words, scrambled, slices
+from eventsieve.llm.text import bounded, hashed, lower_words, scrambled, slices
 from eventsieve.plans.tables import shared_path
 
 #: Pairs that a shard may hold on average, and entries that a task gathers before it sends them.
@@ -308,7 +308,7 @@ def fit(training: DataFrame, text_col: str = "text") -> dict:
     """
     spark = training.sparkSession
     folder = mounted_path(spark)
-    source = training.select(training[text_col].cast("binary").alias("text"))
+    source = bounded(training).select(training[text_col].cast("binary").alias("text"))
     word_shards = _power(source.rdd.getNumPartitions(), _MOST_WORD_SHARDS)
     found = sorted(_count_words(source, folder, word_shards))
     texts = sum(r["texts"] for r in found)
@@ -415,7 +415,7 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     count. Rows come out as often as they go in; an empty table gives an empty
     result; further columns are ignored.
     """
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
+    source = bounded(docs).select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
 
     def run(batches):
         scorer = Scorer(model)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventsieve.llm.text import slices
+from eventsieve.llm.text import bounded, slices
 from eventsieve.plans.tables import materialize
 
 UNKNOWN = "und"
@@ -92,7 +92,7 @@ def fit(
 
     Fitting moves `sample` rows a language; the driver receives the centroids only.
     """
-    known = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(
+    known = bounded(docs).where(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(
         docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].cast("binary").alias("text")
     )
     # hashes are even, so twice the share leaves enough rows of each language and few to rank
@@ -167,7 +167,7 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
     count, whatever their length; rows come out as often as they go in; an empty
     table gives an empty result; further columns are ignored.
     """
-    source = docs.select(
+    source = bounded(docs).select(
         docs[id_col].alias("id"),
         F.xxhash64(docs[text_col]).alias("mark"),
         F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("letters"),
@@ -217,5 +217,5 @@ def without_rejected(docs: DataFrame, model: Model | None, text_col: str = "text
             ]
             yield batch.drop_columns([flag]).filter(pa.array(kept, pa.bool_()))
 
-    marked = docs.withColumn(flag, F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)))
+    marked = bounded(docs).withColumn(flag, F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventsieve.llm.text import hashed, scrambled, slices
+from eventsieve.llm.text import bounded, hashed, scrambled, slices
 
 SLOTS = 1 << 18
 #: Labelled rows that weights are learned from: those with the least hash of their id.
@@ -132,7 +132,7 @@ def fit(
         .orderBy(F.xxhash64("id"), "id")
         .limit(sample)
     )
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text")).join(
+    rows = bounded(docs).select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text")).join(
         F.broadcast(known), "id"
     )
 
@@ -189,7 +189,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
     score of no words. Rows come out as often as they go in; an empty table gives an
     empty result; further columns are never read.
     """
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
+    source = bounded(docs).select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

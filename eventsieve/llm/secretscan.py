@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventsieve.llm.automaton import Automaton, compile_rules
-from eventsieve.llm.text import id_and_text, slices
+from eventsieve.llm.text import bounded, id_and_text, slices
 
 
 @dataclass(frozen=True)
@@ -190,7 +190,7 @@ def redacted(
                 columns[at] = pa.array(lengths, batch.schema.types[at])
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame, base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:

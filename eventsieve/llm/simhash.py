@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventsieve.llm.text import slices
+from eventsieve.llm.text import bounded, slices
 from eventsieve.operators.components import connected_components
 from eventsieve.plans.tables import materialize
 
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) ->
                 [batch.column("id"), batch.column("mark"), pa.array(values)], ["id", "mark", "fp"]
             )
 
-    source = docs.select(
+    source = bounded(docs).select(
         docs[id_col].alias("id"),
         F.xxhash64(docs[text_col]).alias("mark"),
         docs[text_col].cast("binary").alias("text"),

@@ -18,9 +18,22 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch: what a worker holds at once, however long the texts are.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, with its session set to send rows to Python in batches of BATCH_BYTES at most.
+
+    The setting must hold when a lazy result runs, so it stays.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns (id, text) whatever else the table holds; text as binary, null kept."""
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
+    return bounded(docs).select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
 
 
 def training_rows(id_col: str, folds: int, fold: int):
