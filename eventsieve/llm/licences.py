@@ -17,8 +17,15 @@ from eventsieve.llm.text import bounded, hashed, slices
 from eventsieve.plans.tables import materialize
 
 SIMILARITY = 0.7
-#: Template words in under this share of the files, or in few files, begin a stretch; this many words at most lie between two.
-COMMON, FEW, GAP = 0.05, 20, 4
+#: This many words at most lie between two words that hold a stretch together.
+GAP = 4
+#: Template words of everyday texts: alone they begin no stretch. Fixed, so that it doesn't matter how many files carry a notice.
+EVERYDAY = frozenset(
+    "a above all an and any anyone are as at be by can charge code com deal do either express fee file files following for"
+    " form forms free general http if in including into is it kind language later law library list may met must not of on one"
+    " option or org other person persons program public purpose required see sell shall so source specific subject that"
+    " the this to under unless use was whom with without work writing www you your 0 1 2 3 4 v".split()
+)
 LICENCE_FILE = r"(?i)^(licen[cs]es?|copying|copyright|unlicense|notice)([.\-_].*)?$"
 
 # Notices and opening passages of public licences.
@@ -95,7 +102,7 @@ TEMPLATES = (
 
 
 class Templates:
-    """Template words by hash, and counts of each in each template."""
+    """Template words by hash, counts of each in each template, which are telling, and which pairs follow each other."""
 
     def __init__(self, templates=TEMPLATES):
         self.names = [name for name, _ in templates]
@@ -103,7 +110,10 @@ class Templates:
         self.words, where = np.unique(hashes, return_inverse=True)
         of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         self.counts = np.zeros((len(templates), len(self.words)))
-        np.add.at(self.counts, (of, where.reshape(-1)), 1)
+        where = where.reshape(-1)
+        np.add.at(self.counts, (of, where), 1)
+        self.telling = ~np.isin(self.words, hashed([" ".join(EVERYDAY).encode()])[0])
+        self.pairs = np.unique((where[:-1] * len(self.words) + where[1:])[of[:-1] == of[1:]])
 
 
 def _places(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -141,12 +151,10 @@ def _frequencies(source: DataFrame, templates: Templates) -> tuple[np.ndarray, i
 class Matcher:
     """Best template of each text of a run."""
 
-    def __init__(self, names, words, counts, files, total):
-        self.words, self.names = words, names
+    def __init__(self, known: Templates, files, total):
+        self.words, self.names, self.telling, self.pairs = known.words, known.names, known.telling, known.pairs
         self.idf = np.log((total + 1) / (files + 1)) + 1
-        self.rare_idf = np.log(total + 1) + 1
-        self.begins = files < max(COMMON * total, FEW)
-        weighted = counts * self.idf
+        weighted = known.counts * self.idf
         self.templates = weighted / np.linalg.norm(weighted, axis=1, keepdims=True)
 
     def __call__(self, texts: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -160,10 +168,10 @@ class Matcher:
         line = np.repeat(np.arange(len(lines)), np.diff(ends, prepend=0))
         of = np.array(line_of, dtype=np.int64)[line] if len(line) else line
         place = _places(self.words, hashes)
-        seeds = np.flatnonzero((place >= 0) & self.begins[place])
         best, score = np.full(len(texts), -1, dtype=np.int64), np.zeros(len(texts))
         # a notice may be one line among others, or run over lines: look at both
         for parts in (line, of):
+            seeds = self._seeds(place, parts)
             if not len(seeds):
                 break
             cut = (np.diff(seeds) > GAP + 1) | (parts[seeds[1:]] != parts[seeds[:-1]])
@@ -178,12 +186,26 @@ class Matcher:
                 best[text[better]], score[text[better]] = number[better], cosine[better]
         return best, score
 
+    def _seeds(self, place, parts):
+        """Where telling words stand, and the words beside them that follow each other as in a template."""
+        told = (place >= 0) & self.telling[place]
+        if not told.any():
+            return np.empty(0, dtype=np.int64)
+        follow = (place[:-1] >= 0) & (place[1:] >= 0) & (parts[:-1] == parts[1:])
+        at = np.flatnonzero(follow)
+        follow[at] = np.isin(place[at] * len(self.words) + place[at + 1], self.pairs)
+        run = np.cumsum(np.concatenate([[0], ~follow]))
+        return np.flatnonzero(np.bincount(run, weights=told)[run] > 0)
+
     def _compared(self, place, first, last, similarity, chunk: int = 2048):
-        """(template, cosine, stretch) of the stretches first..last that reach similarity."""
+        """(template, cosine, stretch) of the stretches first..last that reach similarity.
+
+        A word of no template weighs as much as the stretch's rarest template word, however many files carry the notice.
+        """
         inside = np.concatenate([[0], np.cumsum(place < 0)])
         for at in range(0, len(first), chunk):
             a, b = first[at : at + chunk], last[at : at + chunk] + 1
-            others = (inside[b] - inside[a]) * self.rare_idf**2
+            others = inside[b] - inside[a]
             size = b - a
             run = np.repeat(np.arange(len(a)), size)
             where = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
@@ -191,7 +213,8 @@ class Matcher:
             counts = np.zeros((len(a), len(self.idf)))
             np.add.at(counts, (run[word >= 0], word[word >= 0]), 1)
             vectors = counts * self.idf
-            length = np.sqrt((vectors**2).sum(axis=1) + others)
+            rarest = ((counts > 0) * self.idf).max(axis=1)
+            length = np.sqrt((vectors**2).sum(axis=1) + others * rarest**2)
             cosine = (vectors @ self.templates.T) / length[:, None]
             number = np.argmax(cosine, axis=1)
             found = np.minimum(cosine[np.arange(len(a)), number], 1.0)
@@ -207,7 +230,7 @@ def detected(
         files[id_col].alias("id"), files[path_col].alias("path"), files[text_col].cast("binary").alias("text")
     )
     known = Templates(templates)
-    parts = (known.names, known.words, known.counts, *_frequencies(source, known))
+    parts = (known, *_frequencies(source, known))
 
     def run(batches):
         match = Matcher(*parts)

@@ -41,6 +41,27 @@ def test_every_template_names_itself(spark):
     assert all(found[100 + i].licence is None for i in range(200))
 
 
+def detected(spark, texts):
+    files = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licences.licensed(files.selectExpr("doc_id", "concat('f', doc_id) AS path", "text"))
+    return {r.doc_id: r.licence for r in found.collect()}
+
+
+def test_a_notice_in_every_file(spark, prose):
+    for count in (1, 19, 25, 30):
+        texts = [f"{APACHE}\n{prose(40, i)}" for i in range(count)]
+        assert set(detected(spark, texts).values()) == {"Apache-2.0"}, count
+    changed = "Licensed under the Apache Software License, Version 2.0."
+    assert set(detected(spark, [f"{prose(20, i)}\n{changed}" for i in range(30)]).values()) == {"Apache-2.0"}
+
+
+def test_a_notice_in_a_third_of_the_files(spark, prose):
+    for notice, name in ((APACHE, "Apache-2.0"), (GPL, "GPL-2.0"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0")):
+        texts = [f"{prose(9, i)}\n{notice}\n{prose(9, i + 1)}" if i % 3 == 0 else f"the version of {prose(9, i)}" for i in range(1000)]
+        found = detected(spark, texts)
+        assert all(found[i] == (name if i % 3 == 0 else None) for i in range(1000)), name
+
+
 def test_awkward_rows(awkward, empty):
     from pyspark.sql import functions as F
 
