@@ -2,7 +2,8 @@
 
 A seed is the hash of the words that a fixed mask selects from a stretch; the
 other positions may differ. Both masks together hit every stretch of 13 words
-in which at most two are substituted. Training seeds are compared with test
+in which at most two are substituted; two more, for items of 8 to 12 words, hit every
+such item in which 80 % of the words are equal. Training seeds are compared with test
 seeds by an equi-join; before it, a bit table of fixed size that holds the test
 seeds drops nearly all that cannot match, so the shuffle follows the hits and
 not the corpus. Around each hit the two texts are aligned and compared word by
@@ -20,7 +21,10 @@ from eventsieve.llm.text import bounded, hashed, scrambled, slices
 
 #: Word positions that count; the others may be substituted.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
-SPAN = 8
+#: More masks for items of fewer than WINDOW words: with those above they leave no placement of the substitutions unseen.
+SHORT_MASKS = ((0, 1, 2, 4, 5), (0, 1, 7, 8, 9))
+#: Words of the narrowest mask, and of the least item.
+SPAN, SHORTEST = 6, 8
 WINDOW = 13
 SIMILARITY = 0.8
 #: log2 of the bits in the table of test seeds: 8 MB whatever the benchmark's size.
@@ -28,14 +32,15 @@ TABLE_BITS = 26
 _CHUNK = 1 << 15
 
 
-def _seeds(hashes: np.ndarray, ends: np.ndarray, window: int):
-    """(text, position, seed) of every mask at every position that lies within one text."""
+def _seeds(hashes: np.ndarray, ends: np.ndarray, short: np.ndarray):
+    """(text, position, seed) of every mask at every position that lies within one text; SHORT_MASKS in the texts that are short."""
     text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    size = len(hashes) - SPAN + 1
-    if size <= 0:
-        return
-    at = np.flatnonzero(text[:size] == text[SPAN - 1 :])
-    for number, mask in enumerate(MASKS):
+    for number, mask in enumerate(MASKS + SHORT_MASKS if short.any() else MASKS):
+        size = len(hashes) - mask[-1]
+        if size <= 0:
+            continue
+        inside = text[:size] == text[mask[-1] :]
+        at = np.flatnonzero(inside & short[text[:size]] if number >= len(MASKS) else inside)
         seed = np.full(size, number + 1, dtype=np.uint64)
         for k, offset in enumerate(mask):
             seed += hashes[offset : offset + size] * np.uint64(2 * (0x9E3779B1 + 97 * k) ** 2 + 1)
@@ -65,9 +70,11 @@ def test_seeds(tests: DataFrame, id_col: str, text_col: str, window: int = WINDO
         for batch in batches:
             for first, texts in slices(batch, most=1 << 20):
                 hashes, ends = hashed(texts)
-                need = np.minimum(np.diff(ends, prepend=0), window).astype(np.int32)
+                size = np.diff(ends, prepend=0)
+                need = np.minimum(size, window).astype(np.int32)
+                short = (size >= SHORTEST) & (need < WINDOW)
                 ids = batch.column("id").slice(first, len(texts))
-                for text, at, seed in _seeds(hashes, ends, window):
+                for text, at, seed in _seeds(hashes, ends, short):
                     around = _around(hashes, ends, text, at, window, 1)
                     yield pa.RecordBatch.from_arrays(
                         _rows(ids, text, seed, around, [pa.array(need[text])]),
@@ -81,23 +88,25 @@ def test_seeds(tests: DataFrame, id_col: str, text_col: str, window: int = WINDO
     return once.mapInArrow(run, f"item {kind}, seed long, theirs array<long>, need int")
 
 
-def seed_table(seeds: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
-    """A bit for each value of a seed's low bits that occurs; 2^bits bits in all."""
+def seed_table(seeds: DataFrame, bits: int = TABLE_BITS) -> tuple[np.ndarray, bool]:
+    """A bit for each value of a seed's low bits that occurs, 2^bits bits in all; and if any item is short."""
     low = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
     width = 1 << 15
     parts = (
-        seeds.select(F.floor(low / width).alias("part"), (low % width).alias("bit"))
+        seeds.select(F.floor(low / width).alias("part"), (low % width).alias("bit"), "need")
         .groupBy("part")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        .agg(F.bitmap_construct_agg("bit").alias("bits"), F.min("need").alias("need"))
     )
+    short = False
     table = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for row in parts.toLocalIterator():
         table[row["part"] * (width >> 3) :][: width >> 3] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return table
+        short |= row["need"] < WINDOW
+    return table, short
 
 
-def hits(docs: DataFrame, table, window: int, bits: int = TABLE_BITS) -> DataFrame:
-    """(id, mark, seed, ours) of the training seeds of docs (id, mark, text) that the table holds."""
+def hits(docs: DataFrame, table, short: bool, window: int, bits: int = TABLE_BITS) -> DataFrame:
+    """(id, mark, seed, ours) of the training seeds of docs (id, mark, text) that the table holds; of all masks if short."""
 
     def run(batches):
         known = table.value
@@ -106,7 +115,7 @@ def hits(docs: DataFrame, table, window: int, bits: int = TABLE_BITS) -> DataFra
                 hashes, ends = hashed(texts)
                 ids = batch.column("id").slice(first, len(texts))
                 marks = batch.column("mark").slice(first, len(texts))
-                for text, at, seed in _seeds(hashes, ends, window):
+                for text, at, seed in _seeds(hashes, ends, np.full(len(ends), short)):
                     low = seed & np.uint64((1 << bits) - 1)
                     held = np.flatnonzero(known[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
                     for i in range(0, len(held), _CHUNK):
@@ -160,8 +169,9 @@ def overlaps(
 
     A document holds a test item if a stretch of `window` of the item's words
     (the whole item if it is shorter) stands in it, with at least `similarity` of the
-    words equal at their places. Case and ASCII punctuation don't count. Items
-    of fewer than 8 words can't prove a leak and are passed over. mark is a hash of the
+    words equal at their places. With the default window and similarity none is missed.
+    Case and ASCII punctuation don't count. Items of
+    fewer than 8 words can't prove a leak and are passed over. mark is a hash of the
     text: it tells rows of equal or null ids apart. items counts the distinct items found,
     item is the one with the largest share (ties: the least id). Test texts
     that repeat count once, under their least id. Null and empty texts on
@@ -170,13 +180,14 @@ def overlaps(
     """
     session = docs.sparkSession
     seeds = test_seeds(tests, test_id, test_text, window)
-    table = session.sparkContext.broadcast(seed_table(seeds))
+    held, short = seed_table(seeds)
+    table = session.sparkContext.broadcast(held)
     source = bounded(docs).select(
         docs[id_col].alias("id"),
         F.xxhash64(docs[text_col]).alias("mark"),
         docs[text_col].cast("binary").alias("text"),
     )
-    pairs = hits(source, table, window).join(seeds, "seed")
+    pairs = hits(source, table, short, window).join(seeds, "seed")
     kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((source, "id"), (seeds, "item")))
     found = _verified(pairs, kind, item_kind, window, similarity)
     best = found.groupBy("id", "mark", "item").agg(F.max("share").alias("share"))

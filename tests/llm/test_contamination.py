@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from eventsieve.llm import contamination
@@ -56,6 +57,25 @@ def test_matches_brute_force(spark, prose):
     assert {r.doc_id for r in kept.collect()} == {k for k, r in found.items() if not r.contaminated}
 
 
+def test_every_placement_of_substitutions(spark):
+    allowed = {7: 1, 8: 1, 9: 1, 10: 2, 11: 2, 12: 2, 13: 2}
+    items = {n: [f"item{n}word{i}" for i in range(n)] for n in allowed}
+    docs, expected = [], []
+    for n, most in allowed.items():
+        # one change more than allowed is no leak; nor is anything in seven words
+        for k in range(most + 2):
+            for changed in itertools.combinations(range(n), k):
+                words = [f"other{i}" if i in changed else w for i, w in enumerate(items[n])]
+                front = "so " * (len(docs) % 9)
+                docs.append((len(docs), f"{front}{' '.join(words)}{' and on' * (len(docs) % 4)}"))
+                expected.append(n >= 8 and k <= most)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    found = {r.doc_id: r.contaminated for r in contamination.judged(d, t).collect()}
+    missed = [text for key, text in docs if found[key] != expected[key]]
+    assert len(found) == len(docs) and not missed, (len(missed), missed[:5])
+
+
 def test_awkward_rows(spark, awkward, empty, prose):
     tests = spark.createDataFrame([(1, LAZY), (None, LAZY), (2, None)], "item_id long, text string")
     found = contamination.judged(awkward, tests)
