@@ -52,15 +52,21 @@ def primaries(items: DataFrame, rank: list[Column], pos: str = "pos") -> DataFra
     return best.select("component", "size", "best.*")
 
 
-def also_reported(items: DataFrame, rank: list[Column], value: str, most: int = 1000, pos: str = "pos") -> DataFrame:
-    """(component, also): what stands behind the primary, in order.
+def also_reported(items: DataFrame, rank: list[Column], value: str, pos: str = "pos") -> DataFrame:
+    """(component, also): all that stands behind the primary, in order.
 
-    Lists hold `most` entries at most, as a report's line does; the rest stays in ranked().
+    Items are dealt by ranges of (component, rank, place), so that a crowded component is sorted in parts, which are
+    then put one behind the other.
     """
-    listed = ranked(items, rank, pos).where((F.col("ord") > 1) & (F.col("ord") <= most + 1))
-    return listed.groupBy("component").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", value))), lambda x: x[value]).alias("also")
+    dealt = items.repartitionByRange("component", *rank, pos).withColumn("part", F.spark_partition_id())
+    parts = dealt.groupBy("component", "part").agg(
+        F.array_sort(F.collect_list(F.struct(F.struct(*rank, F.col(pos)).alias("place"), F.col(value).alias("value")))).alias("rows")
     )
+    parts = parts.select("component", "part", F.col("rows.value").alias("values"))
+    behind = parts.groupBy("component").agg(
+        F.flatten(F.array_sort(F.collect_list(F.struct("part", "values")))["values"]).alias("all")
+    )
+    return behind.where(F.size("all") > 1).select("component", F.slice("all", F.lit(2), F.size("all") - 1).alias("also"))
 
 
 def split_repeats(items: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:

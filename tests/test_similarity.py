@@ -132,6 +132,25 @@ def test_reprints_make_one_card_and_stages_stay_apart(spark):
     assert [r.also for r in also] == [["https://www.msn.com/a"]]
 
 
+def test_also_reported_keeps_all_of_a_crowded_component(spark):
+    draw = random.Random(2)
+    rows = [(i, 7 if i < 2500 else 10000 + i // 2, draw.randrange(5), draw.choice([None, 1, 2])) for i in range(3000)]
+    draw.shuffle(rows)
+    items = spark.createDataFrame(rows, "pos long, component long, rank long, other long").withColumn("id", F.col("pos") * 2)
+    expected = {}
+    for pos, component, *_ in sorted(rows, key=lambda r: (r[2], r[3] is not None, r[3] or 0, r[0])):
+        expected.setdefault(component, []).append(pos * 2)
+    expected = {c: ids[1:] for c, ids in expected.items() if len(ids) > 1}
+    # whether the ranges are joined again or not
+    for joined in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", joined)
+        try:
+            found = publish.also_reported(items, [F.col("rank"), F.col("other")], "id").collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(found) == len(expected) and {r.component: r.also for r in found} == expected
+
+
 def test_same_statistic_a_month_apart_is_no_repeat(spark):
     a = item(0, "Inflation eases to 3.5% on cheaper food", "Prices grew slower.", "2026-08-05")
     b = item(1, "Inflation eases to 3.5% on cheaper food", "Prices grew slower.", "2026-09-05")
