@@ -23,11 +23,13 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 def fold(text: Column, nfkc: bool = True) -> Column:
     """NFKC, lower case, straight quotes; null becomes empty.
 
-    NFKC is the one step without a built-in. nfkc=False leaves it out, which
-    keeps the whole expression in the JVM where inputs are known to be in that form.
+    NFKC is the one step without a built-in: only texts that are not ASCII are sent to Python for it. nfkc=False leaves it
+    out, which keeps the whole expression in the JVM where inputs are known to be in that form.
     """
     text = F.coalesce(text, F.lit(""))
-    return F.translate(F.lower(_nfkc(text) if nfkc else text), QUOTES, PLAIN_QUOTES)
+    if nfkc:
+        text = F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.translate(F.lower(text), QUOTES, PLAIN_QUOTES)
 
 
 def with_phrases(folded: Column, lexicon: Lexicon = DEFAULT) -> Column:

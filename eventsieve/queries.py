@@ -31,10 +31,10 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints, written once. The tables hold no text that NFKC changes."""
+    """Fingerprints, written once."""
     items = _articles(spark, sf_dir)
     columns = (F.col("headline"), F.col("extract"), F.col("date"))
-    return materialize(similarity.fingerprints(items, "id", *columns, nfkc=False), "prints")
+    return materialize(similarity.fingerprints(items, "id", *columns), "prints")
 
 
 def fold_words(spark, sf_dir):
@@ -52,7 +52,7 @@ def stem_tokens(spark, sf_dir):
 
 def phrase_canon(spark, sf_dir):
     told = F.concat(F.lit("Tonnes of record-high Shipments: European Union raises cuts. "), F.col("text"))
-    canon = text.with_phrases(text.fold(told, nfkc=False))
+    canon = text.with_phrases(text.fold(told))
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.length(canon).alias("n_chars_canon"), F.md5(canon.cast("binary")).alias("canon_md5")
     )
@@ -65,7 +65,7 @@ def anchors_numbers(spark, sf_dir):
         F.col("l_quantity").cast("int").cast("string"), F.lit(" million units in 1998 at "),
         F.col("l_linenumber").cast("string"), F.lit(",500% or x9.5 on line "), F.col("l_linenumber").cast("string"),
     )
-    found = F.sort_array(text.anchors(told, nfkc=False))
+    found = F.sort_array(text.anchors(told))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     return spread(lines).select(
         "l_orderkey", "l_linenumber", F.array_join(found, ",").alias("anchors")
@@ -230,7 +230,7 @@ def cluster_audit(spark, sf_dir):
 def benchmark_overlap(spark, sf_dir):
     tests = table(spark, sf_dir, "benchmark")
     none = F.lit(None).cast("date")
-    old = similarity.fingerprints(tests, "item_id", text.lead(F.col("text"), 12), F.col("text"), none, nfkc=False)
+    old = similarity.fingerprints(tests, "item_id", text.lead(F.col("text"), 12), F.col("text"), none)
     old = materialize(old.withColumn("pos", F.col("id")), "tests")
     found = publish.published_matches(_prints(spark, sf_dir), old)
     return found.select("id", "old_id", F.round("score", 6).alias("score"))
@@ -259,7 +259,7 @@ def page_faq(spark, sf_dir):
         F.lit(" &amp; more</p></details><summary>Q</summary><p>A</p>"),
     )
     pages = table(spark, sf_dir, "pages").withColumn("html", F.concat(F.col("html"), more))
-    asked = knowledge.questions(F.col("html"), knowledge.common_unescape)
+    asked = knowledge.questions(F.col("html"))
     return pages.select("page_id", F.posexplode(asked).alias("pos", "qa")).select("page_id", "pos", "qa.q", "qa.a")
 
 

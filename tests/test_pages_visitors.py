@@ -1,4 +1,5 @@
 import datetime
+import html
 import json
 
 from pyspark.sql import functions as F
@@ -104,3 +105,30 @@ def test_sessions_logs_and_ids(spark):
     assert [tuple(h) for h in last.history] == [("assistant", "m2"), ("user", "m3")]
     ids = spark.createDataFrame([("a" * 24,), ("A" * 24,), (None,)], "sid string")
     assert [x.count() for x in visitors.split_session_ids(ids, "sid")] == [1, 2]
+
+
+def test_entities_are_read_as_html_does(spark):
+    texts = [
+        "caf&eacute; &hellip; it&#8217;s &#x27;q&#x27; &copy; 1", "&amp;lt; &amp;amp; &nbsp;&quot;", "a & b && c &; &# &", "&copy 2024 &ampx &notit; &#39 &#x",
+        "&middot; &ndash; &mdash; &apos;&lt;&gt;", "&COPY; &Quot;", "&unknown; &", "plain", "", None, "x &\n&amp;\r&copy",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    expected = [t if t is None else html.unescape(t) for t in texts]
+    assert [r[0] for r in rows.select(knowledge.decoded(F.col("t"))).collect()] == expected
+
+
+def test_page_queries_read_all_entities(spark, tmp_path):
+    from eventsieve import queries
+
+    page = (
+        '<html lang="en"><head><title>Caf&eacute;</title><meta name="description" content="It&#8217;s"></head><body>'
+        "<article><h1>More&hellip;</h1><p>&#x27;A&#x27; &amp; B</p><details><summary>Wh&agrave;t?</summary><p>&euro;5</p></details></article></body></html>"
+    )
+    pages = spark.createDataFrame([(1, "https://a.example/x", page)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.page_fields(spark, str(tmp_path)).first()
+    assert (found.title, found.description, found.h1) == ("Café", "It’s", "More…")
+    record = queries._page_records(spark, str(tmp_path)).first()
+    assert "'A' & B" in record.facts and (record.faq[0].q, record.faq[0].a) == ("Whàt?", "€5")
+    asked = {r.q: r.a for r in queries.page_faq(spark, str(tmp_path)).collect()}
+    assert asked["Whàt?"] == "€5" and asked["About Café?"] == "See page 1 & more"

@@ -30,6 +30,22 @@ def test_words_traps(spark):
     assert values(spark, text.words, ["rice imports"], lexicon=own) == [["imports"]]
 
 
+def test_queries_fold_compatibility_forms(spark, tmp_path):
+    from eventsieve import queries
+
+    plain = ["fish office exports 5.5 million units to china", "Café prices rise", None, ""]
+    wide = ["\ufb01sh o\ufb03ce exports \uff15.\uff15 million units to \uff43\uff48ina", "Cafe\u0301 prices rise", None, ""]
+    shown = []
+    for name, texts in (("plain", plain), ("wide", wide)):
+        rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        prints = queries._prints(spark, f"{tmp_path}/{name}").orderBy("id").collect()
+        canon = queries.phrase_canon(spark, f"{tmp_path}/{name}").orderBy("doc_id").collect()
+        shown.append((prints, canon))
+    assert shown[0] == shown[1]
+    assert "5.5" in shown[1][0][0].nums
+
+
 @pytest.mark.parametrize("nfkc", [True, False])
 def test_anchors(spark, nfkc):
     cases = {
