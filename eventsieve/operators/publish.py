@@ -126,7 +126,6 @@ def merged_components(heads: DataFrame, head_prints: DataFrame, groups: DataFram
     """
     grouped = materialize(similarity.classes(head_prints), "classes")
     classes_of = similarity.members(head_prints, grouped)
-    edges = similarity.similar_classes(grouped, None, similarity.MODEL_FLOOR, context)
     told = groups.select(F.xxhash64("group").alias("g"), F.explode("group").alias("n")).distinct()
     told = materialize(told.join(classes_of, F.col("n") == F.col("id")).select("g", "n", "class_id"), "told")
     # heads of one class are alike in every word: a chain from the first is enough
@@ -134,12 +133,9 @@ def merged_components(heads: DataFrame, head_prints: DataFrame, groups: DataFram
     alike = told.join(first, ["g", "class_id"]).where("n <> first")
     worded = grouped.where(F.size("body") > 0).select("class_id")
     alike = alike.join(worded, "class_id", "left_semi").select("n", F.col("first").alias("m"))
-    pairs = (
-        edges.join(first.select("g", F.col("class_id").alias("a_id"), F.col("first").alias("n")), "a_id")
-        .join(first.select(F.col("g").alias("h"), F.col("class_id").alias("b_id"), F.col("first").alias("m")), "b_id")
-        .where("g = h")
-        .select("n", "m")
-    )
+    edges = similarity.similar_within(first.select("g", "class_id"), grouped, similarity.MODEL_FLOOR, context)
+    end = lambda c, n: first.select("g", F.col("class_id").alias(c), F.col("first").alias(n))
+    pairs = edges.join(end("a_id", "n"), ["g", "a_id"]).join(end("b_id", "m"), ["g", "b_id"]).select("n", "m")
     named = heads.select("n", "component")
     ends = alike.union(pairs)
     ends = ends.join(named.withColumnRenamed("component", "u"), "n").join(

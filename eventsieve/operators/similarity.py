@@ -8,12 +8,16 @@ overlaps of titles and of bodies, and 0.1 more if they share a number.
 Articles with equal fingerprints form a class. Joins run between classes, so a
 text that is reprinted a million times costs one row and no pairs of copies.
 Candidates come from an equi-join on words, on each side only those words that
-a pair over the threshold cannot avoid sharing; frequent words drop out there
-wherever rarer ones carry enough weight. Scores are then computed exactly.
+a pair over the threshold cannot avoid sharing: a rare word alone, a frequent one
+together with one or two more, so that the pairs grow with the articles and not
+with their square. Scores are then computed exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,9 @@ MODEL_FLOOR = 0.12
 NUMBER_BONUS = 0.1
 LEAD_WORDS = 30
 DIGITS = 12
+#: A word that more classes hold, or a pair of words that more are expected to hold, is joined on with a further word. Both
+#: ways are exact.
+FEW, FEW_EXPECTED = 32, 8
 
 
 def fingerprints(
@@ -62,113 +69,166 @@ def classes(prints: DataFrame) -> DataFrame:
 
 
 def word_counts(grouped: DataFrame) -> DataFrame:
-    """(token, df): in how many articles a word stands, from classes and their sizes."""
-    return (
-        grouped.select(F.explode("body").alias("token"), "size").groupBy("token").agg(F.sum("size").alias("df"))
-    )
+    """(token, df, held): in how many articles and in how many classes a word stands, from classes and their sizes."""
+    tokens = grouped.select(F.explode("body").alias("token"), "size", "own")
+    return tokens.groupBy("token").agg(F.sum("size").alias("df"), F.count_if("own").alias("held"))
 
 
 def weight(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
-def weighted(grouped: DataFrame, counts: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Adds tw, bw (arrays of (columns, token) for title and body, heaviest first), their coded forms tc, bc, and sums.
+def weighted(grouped: DataFrame, counts: DataFrame, columns: dict[str, Callable[[Column], Column]], least: int = 2) -> DataFrame:
+    """Adds es and, for each name w of columns, title_w and body_w: the weights of all words of title and body.
 
-    columns are the weights by name, over df (null where the word was never counted); the first decides the order.
-    A coded entry is one string of token and weights. As a word's weights are the same everywhere, coded entries are
-    equal exactly if their words are, so an intersection of coded arrays carries its weights. Sums are named as tw_w.
+    columns are the weights, as functions of df (0 for a word that was never counted). es lists the words that
+    `least` classes or more hold, the others can't be shared: (w, held, code, in_title), w the first of the
+    weights, heaviest first. code names the word and its df; as a word's df is the same everywhere, an intersection of
+    codes carries its weights.
     """
-    tokens = grouped.select("class_id", F.explode("body").alias("token"), "title")
-    entry = F.struct(*[c.alias(k) for k, c in columns.items()], F.col("token"))
-    listed = (
-        tokens.join(counts, "token", "left")
-        .select("class_id", entry.alias("e"), F.array_contains("title", F.col("token")).alias("in_title"))
-        .groupBy("class_id")
-        .agg(F.reverse(F.array_sort(F.collect_list(F.struct("e", "in_title")))).alias("es"))
+    # a number for each word is shorter than the word; written once, so that it stays the same
+    counts = materialize(counts.withColumn("number", F.monotonically_increasing_id()), "counts")
+    df = F.coalesce("df", F.lit(0))
+    told = (
+        grouped.select("class_id", F.explode("body").alias("token"), "title")
+        .join(counts, "token", "left")
+        .select(
+            "class_id",
+            F.array_contains("title", F.col("token")).alias("in_title"),
+            F.when(F.col("held") >= least, F.struct(df.alias("df"), "number")).alias("place"),
+            "held",
+            *[f(df).alias(k) for k, f in columns.items()],
+        )
     )
-    listed = listed.select(
-        "class_id",
-        F.transform(F.filter("es", lambda x: x["in_title"]), lambda x: x["e"]).alias("tw"),
-        F.transform("es", lambda x: x["e"]).alias("bw"),
+    first = next(iter(columns))
+    entry = F.struct(
+        "place", F.col(first).alias("w"), "held", F.concat_ws(":", "place.number", "place.df").alias("code"), "in_title"
     )
-    empty = F.lit([]).cast(listed.schema["bw"].dataType)
-    found = grouped.join(listed, "class_id", "left").withColumns(
-        {"tw": F.coalesce("tw", empty), "bw": F.coalesce("bw", empty)}
+    sums = [
+        F.coalesce(F.sum(F.when(c, F.col(k))), F.lit(0.0)).alias(f"{f}_{k}")
+        for f, c in (("title", F.col("in_title")), ("body", F.lit(True)))
+        for k in columns
+    ]
+    listed = told.groupBy("class_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), entry))),
+            lambda e: F.struct(*[e[c].alias(c) for c in ("w", "held", "code", "in_title")]),
+        ).alias("es"),
+        *sums,
+    )
+    names = [f"{f}_{k}" for f in ("title", "body") for k in columns]
+    return grouped.join(listed, "class_id", "left").withColumns(
+        {"es": F.coalesce("es", F.array().cast(listed.schema["es"].dataType)), **{c: F.coalesce(c, F.lit(0.0)) for c in names}}
     )
-    code = lambda c: F.transform(c, lambda e: F.concat_ws(":", e["token"], *[e[k].cast("string") for k in columns]))
-    sums = {f"{c}_{k}": total(F.col(c), k) for c in ("tw", "bw") for k in columns}
-    return found.withColumns({"tc": code("tw"), "bc": code("bw"), **sums})
-
-
-def coded_total(entries: Column, place: int = 1) -> Column:
-    """The sum of the weight at a place of coded entries."""
-    return F.aggregate(entries, F.lit(0.0), lambda s, e: s + F.split_part(e, F.lit(":"), F.lit(place + 1)).cast("double"))
-
-
-def total(entries: Column, name: str = "w") -> Column:
-    return F.aggregate(entries, F.lit(0.0), lambda s, e: s + e[name])
 
 
-def telling(entries: Column, threshold: float, name: str = "w") -> Column:
-    """The words of a heaviest-first list that a pair over the threshold must share one of.
+def combinations(entries: Column, need: Column, n: Column) -> Column:
+    """Hashes of the words, pairs and triples by which an article meets all that share `need` of its weight with it.
 
-    A score of at least `threshold` needs a Dice of at least t = threshold - 0.1 for titles or for bodies, hence a shared
-    weight of t / (2 - t) of the own one; the tail that weighs less than that can't bring it alone.
+    entries are heaviest first. Two articles whose shared words weigh enough for both meet on the first of these words, if
+    few classes hold it; else on the first two, if few are to be expected to hold both; else on the first three. Where
+    fewer are shared, they meet on all of them. Words are left out that come so late that what follows weighs too little.
     """
-    t = threshold - NUMBER_BONUS
-    if t <= 0:
-        raise ValueError("a threshold of 0.1 or less would pair articles that share no word")
-    need = total(entries, name) * (t / (2 - t) - 1e-9)
-    state = F.struct(F.lit(0.0).alias("tail"), F.lit(0).alias("cut"))
-    walked = F.aggregate(
+    state = F.struct(F.lit(0.0).alias("left"), F.array().cast("array<struct<w:double,held:long,code:string,left:double>>").alias("out"))
+    summed = F.aggregate(
         F.reverse(entries),
         state,
         lambda s, e: F.struct(
-            (s["tail"] + e[name]).alias("tail"),
-            F.when(s["tail"] + e[name] < need, s["cut"] + 1).otherwise(s["cut"]).alias("cut"),
+            (s["left"] + e["w"]).alias("left"),
+            F.concat(F.array(F.struct(e["w"], e["held"], e["code"], (s["left"] + e["w"]).alias("left"))), s["out"]).alias("out"),
         ),
-    )
-    return F.transform(F.slice(entries, F.lit(1), F.size(entries) - walked["cut"]), lambda e: e["token"])
+    )["out"]
+    none = F.array().cast("array<long>")
+    rest = lambda es, at: F.slice(es, at + 2, F.greatest(F.size(es) - at - 1, F.lit(0)))
+    every = lambda es, got, f: F.flatten(F.transform(F.filter(es, lambda e: got + e["left"] >= need), f))
+    alone = lambda got, key: F.when(got >= need, F.array(key)).otherwise(none)
+
+    def one(es):
+        return every(
+            es, F.lit(0.0), lambda x, i: F.when(x["held"] <= FEW, F.array(F.xxhash64(x["code"]))).otherwise(
+                F.concat(alone(x["w"], F.xxhash64(x["code"])), two(rest(es, i), x))
+            ),
+        )
+
+    def two(es, x):
+        key = lambda y: F.xxhash64(x["code"], y["code"])
+        return every(
+            es, x["w"], lambda y, i: F.when(x["held"] * y["held"] <= FEW_EXPECTED * n, F.array(key(y))).otherwise(
+                F.concat(alone(x["w"] + y["w"], key(y)), three(rest(es, i), x, y))
+            ),
+        )
+
+    def three(es, x, y):
+        return every(es, x["w"] + y["w"], lambda z, i: F.array(F.xxhash64(x["code"], y["code"], z["code"])))
+
+    # the sums are looked up many times: bound once by a transform over one element
+    return F.flatten(F.transform(F.array(summed), one))
+
+
+def _keys(sets: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(class_id, day, key) of what to join on.
+
+    A score of at least `threshold` needs a Dice of at least that for titles or for bodies, or 0.1 less if a
+    number is shared, which then is part of the key. A Dice of t needs a shared weight of t / (2 - t) of the own one.
+    """
+    if threshold <= NUMBER_BONUS:
+        raise ValueError("a threshold of 0.1 or less would pair articles that share no word")
 
+    def of(t: float) -> Column:
+        share = t / (2 - t) - 1e-9
+        fields = ((F.filter("es", lambda e: e["in_title"]), "title_w"), (F.col("es"), "body_w"))
+        return F.flatten(F.array(*[combinations(es, F.col(w) * share, F.lit(n)) for es, w in fields]))
 
-def _keys(sets: DataFrame, threshold: float) -> DataFrame:
-    """(class_id, day, field, token) of the words to join on."""
-    fields = F.array(
-        F.struct(F.lit("t").alias("field"), telling(F.col("tw"), threshold).alias("tokens")),
-        F.struct(F.lit("b").alias("field"), telling(F.col("bw"), threshold).alias("tokens")),
+    numbered = F.flatten(F.transform("nums", lambda x: F.transform("with_number", lambda k: F.xxhash64(x, k))))
+    found = sets.withColumn(
+        "with_number", F.when(F.size("nums") > 0, of(threshold - NUMBER_BONUS)).otherwise(F.array().cast("array<long>"))
     )
-    return sets.select("class_id", "day", F.explode(fields).alias("f")).select(
-        "class_id", "day", "f.field", F.explode("f.tokens").alias("token")
-    )
-
+    keys = F.explode(F.array_distinct(F.concat(of(threshold), numbered))).alias("key")
+    # written once: they are read several times
+    return materialize(found.select("class_id", "day", keys), "keys")
 
-def _near(a: DataFrame, b: DataFrame, window_days: int | None, ordered: bool) -> DataFrame:
-    """Distinct (a_id, b_id) that share a key and whose days, where both are known, lie within the window."""
-    a = a.select(F.col("class_id").alias("a_id"), F.col("day").alias("a_day"), "field", "token")
-    b = b.select(F.col("class_id").alias("b_id"), F.col("day").alias("b_day"), "field", "token")
-    keep = (F.col("a_id") < F.col("b_id")) if ordered else F.lit(True)
-    if window_days is None:
-        return a.join(b, ["field", "token"]).where(keep).select("a_id", "b_id").distinct()
-    width = window_days + 1
-    bucket = lambda c: F.floor(F.unix_date(c) / width)
-    spread = F.explode(F.sequence(bucket("a_day") - 1, bucket("a_day") + 1)).alias("bucket")
-    dated = (
-        a.where("a_day is not null").select("*", spread)
-        .join(b.where("b_day is not null").withColumn("bucket", bucket("b_day")), ["field", "token", "bucket"])
-        .where(F.abs(F.datediff("a_day", "b_day")) <= window_days)
-    )
-    free_a = a.where("a_day is null").join(b, ["field", "token"])
-    free_b = a.where("a_day is not null").join(b.where("b_day is null"), ["field", "token"])
-    ids = [x.where(keep).select("a_id", "b_id") for x in (dated, free_a, free_b)]
-    return ids[0].union(ids[1]).union(ids[2]).distinct()
 
+def _near(a: DataFrame, b: DataFrame | None, window_days: int | None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (a_id, b_id) that share a key and whose days, where both are known, lie within the window.
 
-def _dice(field: str) -> Column:
-    """The weighted Dice overlap of the sides a and b."""
-    a, b = F.col(f"a_{field}w_w"), F.col(f"b_{field}w_w")
-    shared = coded_total(F.array_intersect(f"a_{field}c", f"b_{field}c"))
-    return F.when((a == 0) | (b == 0), 0.0).otherwise(2 * shared / (a + b))
+    Without b the pairs of a, a_id < b_id. `by` names further columns that must be equal.
+    """
+    on = ["key", *by]
+    own = b is None
+    a = a.select(F.col("class_id").alias("a_id"), F.col("day").alias("a_day"), *on)
+    b = a.withColumnsRenamed({"a_id": "b_id", "a_day": "b_day"}) if own else b.select(
+        F.col("class_id").alias("b_id"), F.col("day").alias("b_day"), *on
+    )
+    least = F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")
+    if window_days is None:
+        pairs = a.join(b, on)
+        return pairs.where("a_id < b_id" if own else "true").select("a_id", "b_id").distinct()
+    bucket = lambda c: F.floor(F.unix_date(c) / (window_days + 1)).cast("int")
+    a_dated, b_dated = a.where("a_day is not null"), b.where("b_day is not null")
+    # a row stays in its own stretch of days; the other side shows up in those around it, too
+    home = a_dated.withColumn("bucket", bucket("a_day"))
+    steps = (0, 1) if own else (-1, 0, 1)
+    seen = b_dated.select("*", F.explode(F.array(*[F.lit(i) for i in steps])).alias("step"))
+    seen = seen.withColumn("bucket", bucket("b_day") + F.col("step"))
+    once = F.expr("step <> 0 or a_id < b_id") if own else F.lit(True)
+    found = [home.join(seen, [*on, "bucket"]).where((F.abs(F.datediff("a_day", "b_day")) <= window_days) & once)]
+    dayless = a.where("a_day is null")
+    found.append(dayless.join(b, on).where("b_day is not null or a_id < b_id" if own else "true"))
+    if not own:
+        found.append(a_dated.join(b.where("b_day is null"), on))
+    ids = [x.select(*least) if own else x.select("a_id", "b_id") for x in found]
+    return reduce(DataFrame.union, ids).distinct()
+
+
+def _shared(codes: Column, weight_of: Callable[[Column], Column]) -> Column:
+    """The weight of all words of an intersection of codes."""
+    df = lambda e: F.split_part(e, F.lit(":"), F.lit(2)).cast("long")
+    return F.aggregate(codes, F.lit(0.0), lambda s, e: s + weight_of(df(e)))
+
+
+def _codes(in_title: bool) -> Column:
+    es = F.filter("es", lambda e: e["in_title"]) if in_title else F.col("es")
+    return F.transform(es, lambda e: e["code"])
 
 
 def _bonus(a_nums: Column, b_nums: Column) -> Column:
@@ -183,13 +243,40 @@ def own_score(title: Column, body: Column, nums: Column) -> Column:
 
 def corpus(grouped: DataFrame, context: DataFrame | None = None) -> tuple[int, DataFrame]:
     """(number of articles, word counts) of the classes, and of the context's fingerprints, which only count."""
-    counted = grouped.select("body", "size")
+    counted = grouped.select("body", "size", F.lit(True).alias("own"))
     if context is not None:
-        counted = counted.union(context.select("body", F.lit(1).cast("long").alias("size")))
+        counted = counted.union(context.select("body", F.lit(1).cast("long"), F.lit(False)))
     n = counted.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     return n, word_counts(counted)
 
 
+def weighted_classes(grouped: DataFrame, context: DataFrame | None = None) -> tuple[int, DataFrame]:
+    """(number of articles, classes with their weights), written once."""
+    n, counts = corpus(grouped, context)
+    return n, materialize(weighted(grouped, counts, {"w": lambda df: weight(F.lit(n), df)}), "weighted")
+
+
+def scored(pairs: DataFrame, sets: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a_id, b_id, score) of the pairs (a_id, b_id) of classes that score the threshold or more."""
+    side = lambda p: sets.select(
+        F.col("class_id").alias(f"{p}_id"), F.col("nums").alias(f"{p}_nums"), F.col("title_w").alias(f"{p}_title_w"),
+        F.col("body_w").alias(f"{p}_body_w"), _codes(True).alias(f"{p}_title"), _codes(False).alias(f"{p}_body"),
+    )
+
+    def dice(f: str) -> Column:
+        a, b = F.col(f"a_{f}_w"), F.col(f"b_{f}_w")
+        shared = _shared(F.array_intersect(f"a_{f}", f"b_{f}"), lambda df: weight(F.lit(n), df))
+        return F.when((a == 0) | (b == 0), 0.0).otherwise(2 * shared / (a + b))
+
+    score = (dice("title") + dice("body")) / 2 + _bonus(F.col("a_nums"), F.col("b_nums"))
+    return (
+        pairs.join(side("a"), "a_id")
+        .join(side("b"), "b_id")
+        .select("a_id", "b_id", F.round(score, DIGITS).alias("score"))
+        .where(F.col("score") >= threshold)
+    )
+
+
 def similar_classes(
     grouped: DataFrame,
     window_days: int | None = 7,
@@ -200,20 +287,20 @@ def similar_classes(
 
     The days of a pair may differ by window_days at most if both are known; None sets no window.
     """
-    n, counts = corpus(grouped, context)
-    sets = materialize(weighted(grouped, counts, {"w": weight(F.lit(n), F.coalesce("df", F.lit(0)))}), "weighted")
-    keys = _keys(sets, threshold)
-    pairs = _near(keys, keys, window_days, ordered=True)
-    side = lambda p: sets.select(
-        F.col("class_id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in ("tc", "bc", "tw_w", "bw_w", "nums")]
-    )
-    score = (_dice("t") + _dice("b")) / 2 + _bonus(F.col("a_nums"), F.col("b_nums"))
-    return (
-        pairs.join(side("a"), "a_id")
-        .join(side("b"), "b_id")
-        .select("a_id", "b_id", F.round(score, DIGITS).alias("score"))
-        .where(F.col("score") >= threshold)
-    )
+    n, sets = weighted_classes(grouped, context)
+    return scored(_near(_keys(sets, threshold, n), None, window_days), sets, n, threshold)
+
+
+def similar_within(told: DataFrame, grouped: DataFrame, threshold: float, context: DataFrame | None = None) -> DataFrame:
+    """(g, a_id, b_id, score) of the classes of each group of told (g, class_id) that score the threshold or more.
+
+    Pairs are looked for within the groups only, and there by shared words, whatever the days.
+    """
+    n, sets = weighted_classes(grouped, context)
+    keys = _keys(sets.join(told.select("class_id").distinct(), "class_id", "left_semi"), threshold, n)
+    found = scored(_near(keys.join(told.distinct(), "class_id"), None, None, ("g",)), sets, n, threshold)
+    first, second = (told.select("g", F.col("class_id").alias(f"{p}_id")).distinct() for p in "ab")
+    return found.join(first, "a_id").join(second, ["g", "b_id"]).select("g", "a_id", "b_id", "score")
 
 
 def members(prints: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -243,30 +330,31 @@ def best_published(
         "published",
     )
     n, counts = corpus(old)
-    df = F.coalesce("df", F.lit(0))
-    w_in, w_out = F.log(F.lit(n + 2) / (df + 2)) + 1, F.log(F.lit(n + 2) / (df + 1)) + 1
+    w_in, w_out = (lambda df: F.log(F.lit(n + 2) / (df + 2)) + 1), (lambda df: F.log(F.lit(n + 2) / (df + 1)) + 1)
     both = {"w": w_in, "o": w_out}
-    mine = materialize(weighted(grouped, counts, both), "weighted")
-    theirs = materialize(weighted(old, counts, both), "weighted")
+    mine = materialize(weighted(grouped, counts, both, least=1), "weighted")
+    theirs = materialize(weighted(old, counts, both, least=1), "weighted")
     # an old article weighs at least its w_in, so the bound holds for its side too
-    pairs = _near(_keys(mine, threshold), _keys(theirs, threshold), window_days, ordered=False)
-    a = mine.select(F.col("class_id").alias("a_id"), "tc", "bc", "tw_w", "bw_w", F.col("nums").alias("a_nums"))
-    b = theirs.select(
-        F.col("class_id").alias("b_id"), "pos", F.col("nums").alias("b_nums"),
-        *[F.col(c).alias(f"o{c}") for c in ("tc", "bc", "tw_o", "bw_o")],
+    pairs = _near(_keys(mine, threshold, n), _keys(theirs, threshold, n), window_days)
+    a, b = (
+        x.select(
+            F.col("class_id").alias(f"{p}_id"), F.col("nums").alias(f"{p}_nums"), _codes(True).alias(f"{p}_title"),
+            _codes(False).alias(f"{p}_body"), F.size("title").alias(f"{p}_titled"), *more,
+        )
+        for p, x, more in (("a", mine, ("title_w", "body_w")), ("b", theirs, ("pos", "title_o", "body_o")))
     )
 
-    def dice(f: str) -> Column:
-        in_mine = F.array_intersect(f"o{f}c", "bc")
-        weight_theirs = F.col(f"o{f}w_o") - coded_total(in_mine, 2) + coded_total(in_mine)
-        some = (F.size(f"{f}c") > 0) & (F.size(f"o{f}c") > 0)
-        shared = coded_total(F.array_intersect(f"{f}c", f"o{f}c"))
-        return F.when(some, 2 * shared / (F.col(f"{f}w_w") + weight_theirs)).otherwise(0.0)
-
-    score = (dice("t") + dice("b")) / 2 + _bonus(F.col("a_nums"), F.col("b_nums"))
-    scored = (
+    def dice(f: str, some: Column) -> Column:
+        in_mine = F.array_intersect(f"b_{f}", "a_body")
+        weight_theirs = F.col(f"{f}_o") + _shared(in_mine, lambda df: w_in(df) - w_out(df))
+        shared = _shared(F.array_intersect(f"a_{f}", f"b_{f}"), w_in)
+        return F.when(some, 2 * shared / (F.col(f"{f}_w") + weight_theirs)).otherwise(0.0)
+
+    titled = (F.col("a_titled") > 0) & (F.col("b_titled") > 0)
+    score = (dice("title", titled) + dice("body", F.lit(True))) / 2 + _bonus(F.col("a_nums"), F.col("b_nums"))
+    found = (
         pairs.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "pos", F.round(score, DIGITS).alias("score"))
     ).where(F.col("score") >= threshold)
-    return scored.groupBy(F.col("a_id").alias("class_id")).agg(
+    return found.groupBy(F.col("a_id").alias("class_id")).agg(
         F.max_by("b_id", F.struct("score", "pos")).alias("old_id"), F.max("score").alias("score")
     )

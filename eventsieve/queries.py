@@ -99,12 +99,9 @@ def token_df_idf(spark, sf_dir):
 def doc_weights(spark, sf_dir):
     grouped = materialize(similarity.classes(_prints(spark, sf_dir)), "classes")
     n, counts = similarity.corpus(grouped)
-    sets = similarity.weighted(grouped, counts, {"w": similarity.weight(F.lit(n), F.col("df"))})
+    sets = similarity.weighted(grouped, counts, {"w": lambda df: similarity.weight(F.lit(n), df)})
     return sets.select(
-        "class_id",
-        "size",
-        F.round(similarity.total(F.col("tw")), 6).alias("title_weight"),
-        F.round(similarity.total(F.col("bw")), 6).alias("body_weight"),
+        "class_id", "size", F.round("title_w", 6).alias("title_weight"), F.round("body_w", 6).alias("body_weight")
     )
 
 
