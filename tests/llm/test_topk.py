@@ -3,22 +3,20 @@ import random
 
 from pyspark.sql import functions as F
 
-from eventsieve.llm import topk
+from eventsieve.llm import queries, topk
 
 
 def brute(rows, k):
-    whole = {}
+    whole = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        e = [math.floor(64 * x) for x in v]
-        whole[i] = min(whole[i], e) if i in whole else e
-    out = []
-    for q in whole:
+        whole.append((i, [math.floor(64 * x) for x in v]))
+    scored = {}
+    for q, own in whole:
         if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(whole[q], e)), i) for i, e in whole.items() if i != q)[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
-    return sorted(out)
+            scored.setdefault(q, []).extend((-sum(a * b for a, b in zip(own, e)), i) for i, e in whole if i != q)
+    return sorted((q, n, i, -s) for q, found in scored.items() for n, (s, i) in enumerate(sorted(found)[:k], 1))
 
 
 def check(spark, rows, k=20, **sizes):
@@ -47,6 +45,33 @@ def test_odd_vectors(spark):
     check(spark, [(0, [1.0])], k=2)
 
 
+def test_repeated_ids_match_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    draw = random.Random(4)
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 2.0]), (1, [3.0, 3.0]), (2, [0.5, 0.5]), (20, [1.0, 0.0]), (20, [0.0, 2.0])]
+    rows += [(draw.randrange(60), [draw.gauss(0, 1), draw.gauss(0, 1)]) for _ in range(200)]
+    rows += [(draw.randrange(60), [0.5, -0.5]) for _ in range(100)]
+    check(spark, rows[:5])
+    check(spark, rows, shard_rows=16, block_queries=7)
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = queries.op9_topk(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, found)) == sorted(db.execute(queries.OP9_SQL).fetchall())
+
+
+def test_cells_far_below_the_kth_score_get_no_query(spark):
+    """Clusters apart: after the first round most cells are pruned by their bound, and results stay exact."""
+    draw = random.Random(6)
+    rows = []
+    for i in range(600):
+        c = i % 6
+        rows.append((i, [(50.0 if d == c else 0.0) + draw.gauss(0, 0.5) for d in range(6)]))
+    rows += [(1000 + i, [0.0] * 5 + [60.0]) for i in range(300)]  # one vector in a third of the rows
+    check(spark, rows, k=5, shard_rows=70, block_queries=9)
+
+
 def test_tree_prunes_and_stays_exact():
     import numpy as np
 
@@ -61,3 +86,16 @@ def test_tree_prunes_and_stays_exact():
     for q in range(50):
         best = sorted((-exact[q, i], i) for i in range(4000))[:5]
         assert [(-s, r) for s, r in zip(score[query == q], row[query == q])] == best
+
+
+def test_a_written_tree_is_the_same_tree():
+    import numpy as np
+
+    rows = np.floor(np.random.default_rng(3).normal(size=(1000, 8)) * 50)
+    tree = topk.BallTree(rows, leaf=64)
+    centres, radii = (np.concatenate(x) for x in zip(*tree.levels))
+    again = topk.BallTree.restored(1000, centres, radii, leaf=64)
+    assert again.leaves == tree.leaves and all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(again.levels, tree.levels))
+    for a, b in tree.leaves:
+        centre, radius = rows[tree.order[a:b]].mean(axis=0), tree.levels[-1][1][tree.leaves.index((a, b))]
+        assert np.sqrt(((rows[tree.order[a:b]] - centre) ** 2).sum(axis=1)).max() <= radius + 1e-9
