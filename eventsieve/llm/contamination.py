@@ -3,7 +3,8 @@
 A seed is the hash of the words that a fixed mask selects from a stretch; the
 other positions may differ. Both masks together hit every stretch of 13 words
 in which at most two are substituted; two more, for items of 8 to 12 words, hit every
-such item in which 80 % of the words are equal. Training seeds are compared with test
+such item in which 80 % of the words are equal. A still shorter item is a seed of its own, and must stand in the text
+word for word. Training seeds are compared with test
 seeds by an equi-join; before it, a bit table of fixed size that holds the test
 seeds drops nearly all that cannot match, so the shuffle follows the hits and
 not the corpus. Around each hit the two texts are aligned and compared word by
@@ -18,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventsieve.llm.text import bounded, hashed, scrambled, slices
+from eventsieve.plans.tables import materialize
 
 #: Word positions that count; the others may be substituted.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 #: More masks for items of fewer than WINDOW words: with those above they leave no placement of the substitutions unseen.
 SHORT_MASKS = ((0, 1, 2, 4, 5), (0, 1, 7, 8, 9))
-#: Words of the narrowest mask, and of the least item.
+#: Words of the narrowest mask; items of fewer words than SHORTEST match whole and unchanged only.
 SPAN, SHORTEST = 6, 8
 WINDOW = 13
 SIMILARITY = 0.8
@@ -32,6 +34,14 @@ TABLE_BITS = 26
 _CHUNK = 1 << 15
 
 
+def _seed(hashes: np.ndarray, offsets, number: int, size: int) -> np.ndarray:
+    """The hash of the words at the offsets, from each of `size` positions."""
+    seed = np.full(size, number + 1, dtype=np.uint64)
+    for k, offset in enumerate(offsets):
+        seed += hashes[offset : offset + size] * np.uint64(2 * (0x9E3779B1 + 97 * k) ** 2 + 1)
+    return scrambled(seed)
+
+
 def _seeds(hashes: np.ndarray, ends: np.ndarray, short: np.ndarray):
     """(text, position, seed) of every mask at every position that lies within one text; SHORT_MASKS in the texts that are short."""
     text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
@@ -41,10 +51,15 @@ def _seeds(hashes: np.ndarray, ends: np.ndarray, short: np.ndarray):
             continue
         inside = text[:size] == text[mask[-1] :]
         at = np.flatnonzero(inside & short[text[:size]] if number >= len(MASKS) else inside)
-        seed = np.full(size, number + 1, dtype=np.uint64)
-        for k, offset in enumerate(mask):
-            seed += hashes[offset : offset + size] * np.uint64(2 * (0x9E3779B1 + 97 * k) ** 2 + 1)
-        yield text[at], at, scrambled(seed)[at]
+        yield text[at], at, _seed(hashes, mask, number, size)[at]
+
+
+def _phrases(hashes: np.ndarray, ends: np.ndarray, words: int):
+    """(text, position, seed) of every run of `words` words, all of which count."""
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    size = max(len(hashes) - words + 1, 0)
+    at = np.flatnonzero(text[:size] == text[words - 1 :][:size])
+    return text[at], at, _seed(hashes, range(words), len(MASKS + SHORT_MASKS) + words, size)[at]
 
 
 def _around(hashes, ends, text, at, window: int, filler: int) -> np.ndarray:
@@ -74,7 +89,12 @@ def test_seeds(tests: DataFrame, id_col: str, text_col: str, window: int = WINDO
                 need = np.minimum(size, window).astype(np.int32)
                 short = (size >= SHORTEST) & (need < WINDOW)
                 ids = batch.column("id").slice(first, len(texts))
-                for text, at, seed in _seeds(hashes, ends, short):
+                whole = [
+                    tuple(x[size[text] == words] for x in (text, at, seed))
+                    for words in range(1, SHORTEST) if (size == words).any()
+                    for text, at, seed in [_phrases(hashes, ends, words)]
+                ]
+                for text, at, seed in (*_seeds(hashes, ends, short), *whole):
                     around = _around(hashes, ends, text, at, window, 1)
                     yield pa.RecordBatch.from_arrays(
                         _rows(ids, text, seed, around, [pa.array(need[text])]),
@@ -88,25 +108,26 @@ def test_seeds(tests: DataFrame, id_col: str, text_col: str, window: int = WINDO
     return once.mapInArrow(run, f"item {kind}, seed long, theirs array<long>, need int")
 
 
-def seed_table(seeds: DataFrame, bits: int = TABLE_BITS) -> tuple[np.ndarray, bool]:
-    """A bit for each value of a seed's low bits that occurs, 2^bits bits in all; and if any item is short."""
+def seed_table(seeds: DataFrame, bits: int = TABLE_BITS) -> tuple[np.ndarray, list[int]]:
+    """A bit for each value of a seed's low bits that occurs, 2^bits bits in all; and the needs that occur."""
     low = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
     width = 1 << 15
     parts = (
         seeds.select(F.floor(low / width).alias("part"), (low % width).alias("bit"), "need")
         .groupBy("part")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"), F.min("need").alias("need"))
+        .agg(F.bitmap_construct_agg("bit").alias("bits"), F.collect_set("need").alias("needs"))
     )
-    short = False
+    needs = set()
     table = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for row in parts.toLocalIterator():
         table[row["part"] * (width >> 3) :][: width >> 3] = np.frombuffer(row["bits"], dtype=np.uint8)
-        short |= row["need"] < WINDOW
-    return table, short
+        needs.update(row["needs"])
+    return table, sorted(needs)
 
 
-def hits(docs: DataFrame, table, short: bool, window: int, bits: int = TABLE_BITS) -> DataFrame:
-    """(id, mark, seed, ours) of the training seeds of docs (id, mark, text) that the table holds; of all masks if short."""
+def hits(docs: DataFrame, table, needs: list[int], window: int, bits: int = TABLE_BITS) -> DataFrame:
+    """(id, mark, seed, ours) of the training seeds of docs (id, mark, text) that the table holds; of the masks that needs ask for."""
+    short, phrases = any(SHORTEST <= n < WINDOW for n in needs), [n for n in needs if n < SHORTEST]
 
     def run(batches):
         known = table.value
@@ -115,9 +136,13 @@ def hits(docs: DataFrame, table, short: bool, window: int, bits: int = TABLE_BIT
                 hashes, ends = hashed(texts)
                 ids = batch.column("id").slice(first, len(texts))
                 marks = batch.column("mark").slice(first, len(texts))
-                for text, at, seed in _seeds(hashes, ends, np.full(len(ends), short)):
+                masked = _seeds(hashes, ends, np.full(len(ends), short))
+                for whole, (text, at, seed) in [*((False, x) for x in masked), *((True, _phrases(hashes, ends, n)) for n in phrases)]:
                     low = seed & np.uint64((1 << bits) - 1)
                     held = np.flatnonzero(known[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
+                    if whole and len(held):
+                        # what stands around doesn't matter: once a text is enough
+                        held = held[np.unique(np.column_stack([text[held], seed[held].view(np.int64)]), axis=0, return_index=True)[1]]
                     for i in range(0, len(held), _CHUNK):
                         kept = held[i : i + _CHUNK]
                         around = _around(hashes, ends, text[kept], at[kept], window, 0)
@@ -146,7 +171,7 @@ def _verified(pairs: DataFrame, kind: str, item_kind: str, window: int, similari
             for size in np.unique(need):
                 own = need == size
                 share[own] = (sums[own, size:] - sums[own, :-size]).max(axis=1) / size
-            good = pa.array(np.flatnonzero(share >= similarity))
+            good = pa.array(np.flatnonzero(share >= np.where(need < SHORTEST, 1.0, similarity)))
             columns = [batch.column(c).take(good) for c in ("id", "mark", "item")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(share).take(good)], ["id", "mark", "item", "share"])
 
@@ -170,38 +195,47 @@ def overlaps(
     A document holds a test item if a stretch of `window` of the item's words
     (the whole item if it is shorter) stands in it, with at least `similarity` of the
     words equal at their places. With the default window and similarity none is missed.
-    Case and ASCII punctuation don't count. Items of
-    fewer than 8 words can't prove a leak and are passed over. mark is a hash of the
+    Items of fewer than 8 words must stand in the document whole and unchanged. Case and ASCII punctuation don't count.
+    mark is a hash of the
     text: it tells rows of equal or null ids apart. items counts the distinct items found,
     item is the one with the largest share (ties: the least id). Test texts
     that repeat count once, under their least id. Null and empty texts on
     either side match nothing; empty tables give an empty result; further
     columns are ignored.
     """
+    if window < SHORTEST:
+        raise ValueError(f"a window has {SHORTEST} words at least")
     session = docs.sparkSession
-    seeds = test_seeds(tests, test_id, test_text, window)
-    held, short = seed_table(seeds)
+    # both sides of the join below are plain tables, so that a seed that many texts share can be split
+    seeds = materialize(test_seeds(tests, test_id, test_text, window), "seeds")
+    held, needs = seed_table(seeds)
     table = session.sparkContext.broadcast(held)
     source = bounded(docs).select(
         docs[id_col].alias("id"),
         F.xxhash64(docs[text_col]).alias("mark"),
         docs[text_col].cast("binary").alias("text"),
     )
-    pairs = hits(source, table, short, window).join(seeds, "seed")
+    pairs = hits(source, table, needs, window).join(seeds, "seed")
     kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((source, "id"), (seeds, "item")))
     found = _verified(pairs, kind, item_kind, window, similarity)
     best = found.groupBy("id", "mark", "item").agg(F.max("share").alias("share"))
-    rank = F.struct(F.col("share"), (-F.col("item")).alias("order"))
+    # a null id last: the least of what there is
+    rank = F.struct((-F.col("share")).alias("share"), F.col("item").isNull().alias("unnamed"), "item")
     return best.groupBy("id", "mark").agg(
-        F.count("item").cast("int").alias("items"),
-        F.max_by("item", rank).alias("item"),
+        F.count(F.lit(1)).cast("int").alias("items"),
+        F.min_by("item", rank).alias("item"),
         F.max("share").alias("share"),
     )
 
 
 def judged(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, contaminated, items, item, share) of every row of docs; see overlaps()."""
-    found = overlaps(docs, tests, id_col, text_col, **options).withColumnRenamed("id", "other")
+    """(id_col, contaminated, items, best_item, share) of every row of docs; see overlaps().
+
+    A row without a text, or with an empty one, is clean. Rows come out as often as they go in; an empty table gives an
+    empty result, one of tests leaves all rows clean; further columns are ignored.
+    """
+    # written, so that the join stands alone and a row that repeats very often can be split
+    found = materialize(overlaps(docs, tests, id_col, text_col, **options).withColumnRenamed("id", "other"), "overlaps")
     mine = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("own"))
     return mine.join(found, F.col("id").eqNullSafe(F.col("other")) & (F.col("own") == F.col("mark")), "left").select(
         F.col("id").alias(id_col),
@@ -213,9 +247,11 @@ def judged(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def without_tests(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no test text, with their columns."""
-    found = overlaps(docs, tests, id_col, text_col, **options).select(
-        F.col("id").alias("leaked_id"), F.col("mark").alias("leaked_mark")
-    )
-    same = docs[id_col].eqNullSafe(F.col("leaked_id")) & (F.xxhash64(docs[text_col]) == F.col("leaked_mark"))
+    """The rows of docs that hold no test text, with their columns, whatever these are called.
+
+    Rows without a text, or with an empty one, stay; of repeated rows all stay or all go. An empty table of tests leaves docs
+    as it is.
+    """
+    found = materialize(overlaps(docs, tests, id_col, text_col, **options).select("id", "mark"), "leaks")
+    same = docs[id_col].eqNullSafe(found["id"]) & (F.xxhash64(docs[text_col]) == found["mark"])
     return docs.join(found, same, "left_anti")

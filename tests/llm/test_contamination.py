@@ -9,8 +9,8 @@ def brute(doc, item, window=13, similarity=0.8):
     ours, theirs = plain((doc or "").encode()).split(), plain((item or "").encode()).split()
     need = min(window, len(theirs))
     if need < 8:
-        return False
-    for i in range(len(ours) - need + 1):
+        similarity = 1
+    for i in range(len(ours) - need + 1 if need else 0):
         for j in range(len(theirs) - need + 1):
             if sum(a == b for a, b in zip(ours[i : i + need], theirs[j : j + need])) >= similarity * need:
                 return True
@@ -44,14 +44,17 @@ def test_matches_brute_force(spark, prose):
     found = {r.doc_id: r for r in contamination.judged(d, t).collect()}
     assert len(found) == len(docs)
     missed = 0
+    docs_hit = 0
     for key, text in docs:
         hit = [i for i, item in items if brute(text, item)]
         # up to two substitutions in 13 words are sure to be hit, which is what similarity 0.8 allows
-        assert found[key].contaminated == bool(hit), (key, text, hit)
-        if hit:
+        missed += bool(hit) and not found[key].contaminated
+        docs_hit += bool(hit)
+        assert bool(hit) or not found[key].contaminated, (key, text)
+        if hit and found[key].contaminated:
             distinct = {min(i for i, x in items if x == item) for i, item in items if i in hit}
             assert found[key].items == len(distinct) and found[key].best_item in distinct
-    assert missed == 0
+    assert missed == 0 and docs_hit > 30
     kept = contamination.without_tests(d, t)
     assert kept.columns == d.columns
     assert {r.doc_id for r in kept.collect()} == {k for k, r in found.items() if not r.contaminated}
@@ -62,13 +65,13 @@ def test_every_placement_of_substitutions(spark):
     items = {n: [f"item{n}word{i}" for i in range(n)] for n in allowed}
     docs, expected = [], []
     for n, most in allowed.items():
-        # one change more than allowed is no leak; nor is anything in seven words
+        # one change more than allowed is no leak, nor is any in seven words
         for k in range(most + 2):
             for changed in itertools.combinations(range(n), k):
                 words = [f"other{i}" if i in changed else w for i, w in enumerate(items[n])]
                 front = "so " * (len(docs) % 9)
                 docs.append((len(docs), f"{front}{' '.join(words)}{' and on' * (len(docs) % 4)}"))
-                expected.append(n >= 8 and k <= most)
+                expected.append(k <= most if n >= 8 else k == 0)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     t = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     found = {r.doc_id: r.contaminated for r in contamination.judged(d, t).collect()}
@@ -76,6 +79,36 @@ def test_every_placement_of_substitutions(spark):
     assert len(found) == len(docs) and not missed, (len(missed), missed[:5])
 
 
+def test_items_of_few_words_match_word_for_word(spark):
+    items = [(n, " ".join(f"item{n}word{i}" for i in range(n))) for n in range(1, 8)]
+    docs = []
+    for n, item in items:
+        words = item.split()
+        docs += [(10 * n, f"so it is: {item.upper()}! and on"), (10 * n + 1, item), (10 * n + 2, " ".join(["x", *words[:-1], "other", "y"]))]
+        docs += [(10 * n + 3, f"{' '.join(words[:-1])} x {words[-1]}" if n > 1 else "item1 word0"), (10 * n + 4, f"{item} {item} {item}")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r for r in contamination.judged(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(found[k].contaminated == (k % 10 in (0, 1, 4)) for k in found)
+    assert all(r.items == 1 and r.best_item == k // 10 and r.share == 1 for k, r in found.items() if r.contaminated)
+
+
+def test_ties_and_text_ids(spark, prose):
+    item = prose(15, 5)
+    tests = spark.createDataFrame([("b", f"{item} one"), ("a", f"{item} two"), (None, f"{item} three")], "item_id string, text string")
+    docs = spark.createDataFrame([("x", f"start {item} end"), ("y", prose(40, 6))], "doc_id string, text string")
+    found = {r.doc_id: tuple(r)[1:] for r in contamination.judged(docs, tests).collect()}
+    assert found == {"x": (True, 3, "a", 1.0), "y": (False, 0, None, 0.0)}
+
+
+def test_clashing_names(spark, awkward):
+    tests = spark.createDataFrame([(1, LAZY)], "item_id long, text string")
+    for name in ("id", "mark", "leaked_id", "leaked_mark", "item", "items", "share", "own", "other"):
+        clash = awkward.withColumnRenamed("mark", name)
+        assert contamination.judged(clash, tests).where("contaminated").count() == 3
+        kept = contamination.without_tests(clash, tests)
+        assert kept.columns == clash.columns and kept.count() == awkward.count() - 3
+
+
 def test_awkward_rows(spark, awkward, empty, prose):
     tests = spark.createDataFrame([(1, LAZY), (None, LAZY), (2, None)], "item_id long, text string")
     found = contamination.judged(awkward, tests)
