@@ -5,8 +5,7 @@ source the documents stand in order of size; their expected copies are summed
 up along that order, one random offset is added, and a document is emitted
 once for each integer that its step crosses. As neighbours have about the same
 size, the words taken differ from the target by less than the source's longest
-document. The offset is the best of 32 that lie evenly from a random one, which
-matters for sources of a few dozen documents.
+document.
 
 The sum along the order runs without gathering a source in one task: rows are
 dealt by ranges of (source, size, id), counted by range and source, and a row's place is
@@ -22,7 +21,8 @@ from eventsieve.llm.text import WORD
 from eventsieve.plans.tables import materialize
 
 MOST_COPIES = 3.0
-OFFSETS = 32
+#: Offsets are multiples of 1 / GRAINS, a power of two, so that whole steps stay whole.
+GRAINS = 1 << 20
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -130,34 +130,12 @@ def mix(
         (F.col("d.part") == F.col("k.part")) & F.col("d.source").eqNullSafe(F.col("k.source")),
     )
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    placed = materialize(
-        placed.select(
-            "d.id", "mark", "d.source", "size", "source_size", "target",
-            step.alias("step"), (F.col("before") + F.col("place")).alias("at"),
-        ),
-        "mix",
-    )
-    # multiples of 2^-20 in [0, 1), so that whole steps stay whole
-    offsets = [
-        F.pmod(F.xxhash64(F.lit(seed), "source") + F.lit(i * (1 << 20) // OFFSETS), F.lit(1 << 20))
-        / F.lit(float(1 << 20))
-        for i in range(OFFSETS)
-    ]
-    copies = lambda u: (
-        F.floor(F.col("at") * F.col("step") + u) - F.floor((F.col("at") - 1) * F.col("step") + u)
-    ).cast("int")
-    tried = placed.groupBy("source").agg(
-        F.max("target").alias("target"),
-        F.array(*[F.sum(F.col("size") * copies(u)) for u in offsets]).alias("words"),
-        F.first(F.array(*offsets)).alias("offsets"),
-    )
-    off = F.transform("words", lambda w, i: F.struct(F.abs(w - F.col("target")), i.alias("i")))
-    chosen = tried.select(
-        F.col("source").alias("name"),
-        F.get("offsets", F.array_min(off)["i"]).alias("offset"),
+    placed = placed.select(
+        "d.id", "mark", "d.source", "size", "source_size", "target", step.alias("step"), (F.col("before") + F.col("place")).alias("at")
     )
-    placed = placed.join(chosen, F.col("source").eqNullSafe(F.col("name")))
-    taken = copies(F.col("offset"))
+    offset = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(GRAINS)) / F.lit(float(GRAINS))
+    crossed = lambda at: F.floor(at * F.col("step") + offset)
+    taken = (crossed(F.col("at")) - crossed(F.col("at") - 1)).cast("int")
     return placed.select(
         F.col("id").alias(id_col),
         "mark",
@@ -173,7 +151,15 @@ def mix(
 def emitted(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
 ) -> DataFrame:
-    """The mix itself: each row of docs as often as mix() takes it, numbered from 1 in the column copy."""
+    """The mix itself: each row of docs as often as mix() takes it, numbered from 1 in the column copy.
+
+    If docs has a column copy, the number's name gets underscores until it is free. Null and empty texts have no words and
+    are taken like others of their source; a source without words is left out. Rows of equal id, text and source
+    are emitted as one row, as often as they are taken together. An empty table gives an empty result.
+    """
+    number = "copy"
+    while number in docs.columns:
+        number += "_"
     mixed = mix(docs, id_col, text_col, source_col, **options)
     taken = materialize(
         mixed.groupBy(F.col(id_col).alias("mix_id"), F.col("mark").alias("mix_mark"), F.col("source").alias("mix_source"))
@@ -184,10 +170,10 @@ def emitted(
     # repeated rows are emitted together: the second shuffle of texts is for tables that hold some
     rows = docs if taken.where("rows > 1").isEmpty() else docs.dropDuplicates([id_col, text_col, source_col])
     same = (
-        rows[id_col].eqNullSafe(F.col("mix_id"))
-        & (F.xxhash64(rows[text_col]) == F.col("mix_mark"))
-        & rows[source_col].eqNullSafe(F.col("mix_source"))
+        rows[id_col].eqNullSafe(taken["mix_id"])
+        & (F.xxhash64(rows[text_col]) == taken["mix_mark"])
+        & rows[source_col].eqNullSafe(taken["mix_source"])
     )
-    return rows.join(taken.drop("rows"), same).select(
-        *[rows[c] for c in rows.columns], F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("copy")
+    return rows.join(taken, same).select(
+        *[rows[c] for c in rows.columns], F.explode(F.sequence(F.lit(1), taken["mix_copies"])).alias(number)
     )

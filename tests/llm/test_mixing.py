@@ -1,6 +1,10 @@
+import math
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from eventsieve.llm import mixing
 
 
@@ -21,6 +25,20 @@ def brute_targets(sizes):
             left -= full[s]
 
 
+def brute_copies(spark, rows, found, seed=42):
+    """{id: copies}: prefix sums of the expected copies along the sizes of a source, with its one offset."""
+    target = {r.source: (r.target, r.source_size) for r in found}
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    out = {}
+    for source, (goal, size) in target.items():
+        offset = spark.range(1).select(F.pmod(F.xxhash64(F.lit(seed), F.lit(source).cast("string")), F.lit(1 << 20))).first()[0] / (1 << 20)
+        step = goal / size if size else 0.0
+        own = sorted((i for i, _, s in rows if s == source), key=lambda i: (words[i], i is not None, i or 0))
+        for at, i in enumerate(own, 1):
+            out[i] = math.floor(at * step + offset) - math.floor((at - 1) * step + offset)
+    return out
+
+
 def check(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = mixing.mix(docs).collect()
@@ -39,6 +57,7 @@ def check(spark, rows):
     for s in sizes:
         longest = max(words[i] for i, _, t in rows if t == s)
         assert abs(taken[s] - targets[s]) <= longest + 1e-6
+    assert {r.doc_id: r.copies for r in found} == brute_copies(spark, rows, found)
     assert sorted(map(str, found)) == sorted(map(str, mixing.mix(docs).collect()))
     return found
 
@@ -57,6 +76,14 @@ def test_all_targets_at_their_cap_and_sources_without_words(spark):
     assert {r.target for r in found if r.source == "y"} == {0.0}
 
 
+@pytest.mark.parametrize("name", ["copy", "mix_id", "mix_mark", "mix_source", "mix_copies", "rows", "size", "target", "step", "part"])
+def test_clashing_names(spark, prose, name):
+    docs = spark.createDataFrame([(i, prose(9, i), "s", "x") for i in range(12)], f"doc_id long, text string, source string, {name} string")
+    out = mixing.emitted(docs)
+    assert out.columns == [*docs.columns, "copy_" if name == "copy" else "copy"]
+    assert len(set(out.columns)) == 5 and out.count() == sum(r.copies for r in mixing.mix(docs).collect())
+
+
 def test_awkward_rows(awkward, empty):
     assert mixing.mix(awkward).count() == awkward.count()
     assert mixing.mix(empty).count() == 0
