@@ -23,6 +23,8 @@ DIMENSIONS = 1 << 13
 CENTROIDS = 4
 #: Rows of each language that the centroids are fitted on: those with the least hash of their id.
 SAMPLE = 1000
+#: Languages at most, those with the most rows: the model then has 32 MB at most, whatever stands in the column.
+LANGUAGES = 256
 #: Ids of the sample that may be broadcast: some 10 MB. More are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: A text is rejected if its cosine is below this share of what its number of different trigrams lets expect.
@@ -68,8 +70,10 @@ def _expected(grams) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, langs: list[str], idf: np.ndarray, centres: np.ndarray, level: float):
-        self.langs, self.idf, self.centres, self.level = langs, idf, centres, level
+    """Centroids with the language and the usual closeness of each."""
+
+    def __init__(self, langs: list[str], idf: np.ndarray, centres: np.ndarray, levels: np.ndarray):
+        self.langs, self.idf, self.centres, self.levels = langs, idf, centres, levels
 
     def __call__(self, text: bytes | None) -> tuple[int, float, bool]:
         """(centroid, cosine, rejected)."""
@@ -77,7 +81,7 @@ class Model:
         scores = self.centres @ _unit(np.log1p(counts) * self.idf).astype(np.float32)
         best = int(np.argmax(scores))
         score = float(min(max(scores[best], 0.0), 1.0))
-        return best, score, score < REJECT_SHARE * self.level * float(_expected(np.count_nonzero(counts)))
+        return best, score, score < REJECT_SHARE * self.levels[best] * float(_expected(np.count_nonzero(counts)))
 
 
 def fit(
@@ -87,10 +91,13 @@ def fit(
     lang_col: str,
     sample: int = SAMPLE,
     centroids: int = CENTROIDS,
+    languages: int = LANGUAGES,
 ) -> Model | None:
     """Centroids of the languages in docs, from at most `sample` rows of each; None without any row.
 
-    Fitting moves `sample` rows a language; the driver receives the centroids only.
+    Of more than `languages` values those with the most rows count (ties: the least). Rows without a language or a
+    text are passed over, and so are texts without letters; of rows that share language and id one counts. Fitting moves `sample`
+    rows a language; the driver receives the centroids only.
     """
     known = bounded(docs).where(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(
         docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].cast("binary").alias("text")
@@ -98,10 +105,10 @@ def fit(
     # hashes are even, so twice the share leaves enough rows of each language and few to rank
     place = F.shiftrightunsigned(F.xxhash64("id"), 1) / float(1 << 63)
     sizes = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "languages")
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes
+    sizes = F.broadcast(sizes.orderBy(F.desc("size"), "lang").limit(languages))
     near = known.select("id", "lang", place.alias("place")).join(sizes, "lang").where(
         F.col("place") * F.col("size") < 2.0 * sample
-    )
+    ).select("id", "lang", "place").distinct()
     order = Window.partitionBy("lang").orderBy("place", "id")
     picked = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
     picked = materialize(picked.select("id", "lang").distinct(), "picked")
@@ -115,18 +122,22 @@ def fit(
                 places = [np.flatnonzero(c).astype(np.int32) for c in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("lang").slice(first, len(texts)),
+                        *(batch.column(c).slice(first, len(texts)) for c in ("id", "lang", "mark")),
                         pa.array(places, pa.list_(pa.int32())),
                         pa.array([c[p] for c, p in zip(found, places)], pa.list_(pa.int64())),
                     ],
-                    ["lang", "places", "counts"],
+                    ["id", "lang", "mark", "places", "counts"],
                 )
 
+    kind = known.schema["id"].dataType.simpleString()
     rows = materialize(
         known.join(few, ["id", "lang"], "left_semi")
-        .select("lang", "text")
-        .mapInArrow(count, "lang string, places array<int>, counts array<long>")
-        .where("size(places) > 0"),
+        .select("id", "lang", F.xxhash64("text").alias("mark"), "text")
+        .mapInArrow(count, f"id {kind}, lang string, mark long, places array<int>, counts array<long>")
+        .where("size(places) > 0")
+        .groupBy("lang", "id")
+        .agg(F.min_by(F.struct("places", "counts"), "mark").alias("first"))
+        .select("lang", "id", "first.places", "first.counts"),
         "trigrams",
     )
     size = rows.count()
@@ -137,7 +148,8 @@ def fit(
         idf[row["place"]] = np.log((size + 1) / (row["count"] + 1)) + 1
 
     def cluster(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.head(sample)
+        # the order in which rows arrive may differ between runs
+        group = group.sort_values("id", key=lambda ids: ids.astype(str)).reset_index(drop=True)
         vectors = np.zeros((len(group), DIMENSIONS), dtype=np.float32)
         for i, (places, counts) in enumerate(zip(group["places"], group["counts"])):
             vectors[i, places] = np.log1p(counts) * idf[places]
@@ -153,7 +165,7 @@ def fit(
         [r["lang"] for r in found],
         idf,
         np.array([r["centre"] for r in found], dtype=np.float32),
-        min(r["level"] for r in found),
+        np.array([r["level"] for r in found]),
     )
 
 
@@ -173,7 +185,7 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
         F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("letters"),
         docs[text_col].cast("binary").alias("text"),
     )
-    parts = model and (model.langs, model.idf, model.centres, model.level)
+    parts = model and (model.langs, model.idf, model.centres, model.levels)
     sent = docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches):
@@ -201,11 +213,15 @@ def predicted(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text
 
 
 def without_rejected(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text the model does not reject, with their columns; see predicted()."""
+    """The rows of docs whose text the model does not reject, with their columns; see predicted().
+
+    Texts that are null, empty or without a letter go, and without a model all. Repeated rows stay as often as they are there;
+    an empty table gives an empty result; columns may have any name.
+    """
     schema, flag = docs.schema, "letters"
     while flag in docs.columns:
         flag += "_"
-    parts = model and (model.langs, model.idf, model.centres, model.level)
+    parts = model and (model.langs, model.idf, model.centres, model.levels)
     sent = docs.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches):
