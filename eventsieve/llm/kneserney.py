@@ -30,7 +30,7 @@ from eventsieve.plans.tables import shared_path
 #: Pairs that a shard may hold on average, and entries that a task gathers before it sends them.
 SHARD = 1 << 20
 GATHER = 1 << 22
-_MOST_WORD_SHARDS, _MOST_PAIR_SHARDS = 1 << 12, 1 << 16
+_MOST_WORD_SHARDS, _MOST_PAIR_SHARDS = 1 << 12, 1 << 18
 
 
 # -- arrays that travel and arrays on disk
@@ -81,15 +81,14 @@ def _save(path: str, array: np.ndarray) -> None:
 
 
 class Files:
-    """Arrays of one folder, each mapped into memory when first asked for; None if absent."""
+    """Arrays of one folder, each mapped into memory when first asked for. A file that isn't there is an error: it was lost."""
 
     def __init__(self, folder: str):
         self.folder, self.known = folder, {}
 
-    def __call__(self, name: str) -> np.ndarray | None:
+    def __call__(self, name: str) -> np.ndarray:
         if name not in self.known:
-            path = f"{self.folder}/{name}.npy"
-            self.known[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            self.known[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
         return self.known[name]
 
 
@@ -261,26 +260,27 @@ GAINS = ("continues", "once", "twice", "often")
 
 
 def _count_gains(gains: DataFrame, folder: str, parts: tuple) -> list:
-    """Writes the arrays named in GAINS, by rank; count-of-count rows."""
+    """Writes the arrays named in GAINS by rank, one file a range of ranks; rows of count-of-counts and of the shards there are."""
     span, ranges = parts[3] + 2, _ranges(parts)
-    for name in GAINS:
-        np.lib.format.open_memmap(f"{folder}/{name}.npy", mode="w+", dtype=np.uint32, shape=(span,)).flush()
 
     def merge(rows: pa.Table) -> pa.Table:
         shard, blobs = rows["shard"][0].as_py(), rows["blob"].to_pylist()
         if shard < 0:
             sums = [int(x) for x in _merged([_unpacked(b, 2) for b in blobs])[1]]
+            held = [-1 - s for s in rows["shard"].to_pylist()]
         else:
+            held = [shard]
             keys, *sums = _merged([_unpacked(b, 5) for b in blobs])
             first = shard * ranges
             for name, values in zip(GAINS, sums):
-                whole = np.zeros(min(ranges, span - first), dtype=np.uint32)
+                whole = np.zeros(min(ranges, span - first), dtype=np.uint32 if values.max() < 1 << 32 else np.uint64)
                 whole[keys.astype(np.int64) - first] = values
-                np.load(f"{folder}/{name}.npy", mmap_mode="r+")[first : first + len(whole)] = whole
+                _save(f"{folder}/{name}-{shard}.npy", whole)
             sums = [int((sums[0] == i).sum()) for i in range(1, 5)] + [int((sums[0] > 0).sum())]
-        return pa.table({"pairs": [shard < 0], **{f"c{i}": [v] for i, v in enumerate(sums, 1)}})
+        table = {"pairs": [shard < 0], "held": pa.array([held], pa.list_(pa.int64()))}
+        return pa.table(table | {f"c{i}": [v] for i, v in enumerate(sums, 1)})
 
-    schema = "pairs boolean, c1 long, c2 long, c3 long, c4 long, c5 long"
+    schema = "pairs boolean, held array<long>, c1 long, c2 long, c3 long, c4 long, c5 long"
     tagged = gains.withColumn("to", F.when(F.col("shard") < 0, F.lit(-1)).otherwise(F.col("shard")))
     return tagged.groupBy("to").applyInArrow(merge, schema).collect()
 
@@ -318,6 +318,8 @@ def fit(training: DataFrame, text_col: str = "text") -> dict:
             begins[row["shard"]] = size
             size += row["words"]
             tokens += row["tokens"]
+    if size + 2 > 1 << 32:
+        raise ValueError("pairs of ranks are packed in 64 bits: 2^32 different words at most")
     parts = (folder, word_shards, begins, size)
     pair_shards = _power(tokens / SHARD, _MOST_PAIR_SHARDS)
     rows = _count_gains(_count_pairs(source, folder, parts, pair_shards), folder, parts) if texts else []
@@ -328,6 +330,8 @@ def fit(training: DataFrame, text_col: str = "text") -> dict:
         "texts": texts,
         "tokens": tokens,
         "words": size + bool(texts),
+        "held": {s for r in rows if r["pairs"] for s in r["held"]},
+        "ranges": _ranges(parts),
         "pairs": total(True),
         "continued": total(False),
     }
@@ -352,15 +356,23 @@ class Scorer:
         names, starts = np.unique(shard[order], return_index=True)
         counts = np.zeros(len(keys), dtype=np.int64)
         for name, own in zip(names, np.split(order, starts[1:]) if len(names) else []):
-            known = self.files(f"pairs-{name}")
-            if known is None:
+            if name not in self.model["held"]:
                 continue
+            known = self.files(f"pairs-{name}")
             place = np.searchsorted(known, keys[own])
             place[place == len(known)] = 0
             hit = known[place] == keys[own]
             counts[own[hit]] = self.files(f"seen-{name}")[place[hit]]
         return counts
 
+    def _gained(self, name: str, ranks: np.ndarray) -> np.ndarray:
+        """The values of ascending ranks in an array named in GAINS."""
+        part = ranks // self.model["ranges"]
+        shards, starts = np.unique(part, return_index=True)
+        cut = np.split(ranks, starts[1:]) if len(shards) else []
+        found = [self.files(f"{name}-{s}")[own - s * self.model["ranges"]].astype(np.float64) for s, own in zip(shards, cut)]
+        return np.concatenate(found) if found else np.empty(0)
+
     def __call__(self, texts: list) -> list[np.ndarray]:
         """(tokens, known tokens, base score, score) of each text."""
         model, words = self.model, self.words
@@ -376,10 +388,9 @@ class Scorer:
         chance = np.full(len(token), self.unseen)
         if model["texts"]:
             known = token >= 0
-            gained = {name: self.files(name) for name in GAINS}
             # words repeat: look each one up once
             mine, at = np.unique(np.concatenate([token[known], before[before >= 0]]), return_inverse=True)
-            own = {name: a[mine].astype(np.float64) for name, a in gained.items()}
+            own = {name: self._gained(name, mine) for name in GAINS}
             at = at.reshape(-1)
             follows = own["continues"][at[: known.sum()]]
             cut = self.word_cut[np.minimum(follows, 3).astype(np.int64)]

@@ -87,6 +87,26 @@ def test_tiny_and_empty_training(spark):
     check(spark, [(1, "a b"), (2, None)], [])
 
 
+def test_a_lost_file_is_an_error_and_no_silent_zero(spark, prose):
+    import os
+
+    import pytest
+
+    model = kneserney.fit(spark.createDataFrame([(i, prose(60, i)) for i in range(20)], "doc_id long, text string"))
+    folder = model["parts"][0]
+    texts = [prose(60, i).encode() for i in range(20)]
+    for name in ("pairs-", "seen-", "words-", "uses-", "continues-", "once-", "twice-", "often-"):
+        files = [f for f in os.listdir(folder) if f.startswith(name)]
+        moved = [(f"{folder}/{f}", f"{folder}/gone-{f}") for f in files]
+        for a, b in moved:
+            os.rename(a, b)
+        with pytest.raises(FileNotFoundError):
+            kneserney.Scorer(model)(texts)
+        for a, b in moved:
+            os.rename(b, a)
+    assert len(kneserney.Scorer(model)(texts)[3]) == 20
+
+
 def test_awkward_rows(awkward, empty):
     model = kneserney.fit(awkward)
     rows = kneserney.scored(awkward, model).collect()
