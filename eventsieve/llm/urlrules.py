@@ -108,12 +108,14 @@ def judged(
         .withColumn("prefix", F.substring("path", F.lit(1), F.col("size")))
     )
     rank = F.struct(F.length("rule_host") + F.col("size"), F.length("rule_host"))
-    decided = (
+    # written, so that the join below stands alone and a url that very many pages share can be split
+    decided = materialize(
         asked.join(known, ["node", "prefix"])
         .groupBy("host", "path")
         .agg(
             F.max_by(F.struct(F.concat("rule_host", "prefix").alias("rule"), "verdict"), rank).alias("best")
-        )
+        ),
+        "decided",
     )
     return parsed.join(decided, ["host", "path"], "left").select(
         F.col("id").alias(id_col),

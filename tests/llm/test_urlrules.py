@@ -48,6 +48,11 @@ def test_empty_and_null_rules(spark):
     assert urlrules.judged(pages.limit(0), twice).count() == 0
 
 
+def test_a_url_that_most_pages_share(spark):
+    urls = ["http://www.example.com/en/a"] * 3000 + [None] * 2000 + [f"http://a{i}.net/es/{i}" for i in range(500)]
+    check(spark, urls, RULES)
+
+
 def test_main_path_has_no_python(spark, capsys):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     rules = spark.createDataFrame([("a.com", "/", "allow")], "host string, path string, verdict string")
