@@ -293,7 +293,8 @@ def licensed(
         "folder",
         F.explode(F.sequence(F.lit(0), F.when(F.col("folder") == "", 0).otherwise(F.size(names)))).alias("depth"),
     ).withColumn("ancestor", F.concat_ws("/", F.slice(names, F.lit(1), F.col("depth"))))
-    nearest = up.join(given, "ancestor").groupBy("folder").agg(F.max_by("given", "depth").alias("given"))
+    # written, so that the join below stands alone and a folder that holds very many files can be split
+    nearest = materialize(up.join(given, "ancestor").groupBy("folder").agg(F.max_by("given", "depth").alias("given")), "nearest")
     mine = F.col("licence").isNotNull()
     return own.join(nearest, "folder", "left").select(
         F.col("id").alias(id_col),

@@ -1,4 +1,7 @@
+import numpy as np
+
 from eventsieve.llm import licences
+from eventsieve.llm.text import hashed
 
 APACHE = "Licensed under the Apache License, Version 2.0."
 GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public\nLicense as published by the Free Software Foundation; either version 2 of the License, or (at your option) any\nlater version."
@@ -62,6 +65,41 @@ def test_a_notice_in_a_third_of_the_files(spark, prose):
         assert all(found[i] == (name if i % 3 == 0 else None) for i in range(1000)), name
 
 
+def test_notices_in_few_and_many_of_few_and_many_files(spark, prose):
+    """Every planted notice is found whatever its share of the files: recall 1."""
+    for total in (10, 2000):
+        for share in (0.01, 0.05, 0.3, 1.0):
+            count = max(1, int(total * share))
+            texts = [f"{prose(12, i)}\n{APACHE}" if i < count else prose(15, i) for i in range(total)]
+            found = detected(spark, texts)
+            assert {i for i, name in found.items() if name == "Apache-2.0"} == set(range(count)), (total, share)
+            assert all(found[i] is None for i in range(count, total))
+
+
+def test_no_stretch_of_whole_lines_scores_above_what_is_found(spark, prose):
+    """Cosines of all runs of whole words against all templates, one by one, on a few short files."""
+    known = licences.Templates()
+    texts = [f"{prose(6, i)} {t}" for i, (_, t) in enumerate(licences.TEMPLATES) if len(t.split()) < 12] + [prose(12, 90), ""]
+    encoded = [t.encode() for t in texts]
+    hashes = [hashed([t])[0] for t in encoded]
+    places = [licences._places(known.words, h) for h in hashes]
+    files = np.array([sum((p == w).any() for p in places) for w in range(len(known.words))])
+    match = licences.Matcher(known, files, len(texts))
+    best, _ = match(encoded, licences.SIMILARITY)
+    for i, place in enumerate(places):
+        top = (0.0, None)
+        for a in range(len(place)):
+            for b in range(a + 1, len(place) + 1):
+                run = place[a:b]
+                vector = np.bincount(run[run >= 0], minlength=len(known.words)) * match.idf
+                if not vector.any():
+                    continue
+                length = np.sqrt((vector**2).sum() + (run < 0).sum() * vector.max() ** 2 / max(1, 1))
+                cosine = match.templates @ vector / length
+                top = max(top, (float(cosine.max()), known.names[int(np.argmax(cosine))]), key=lambda x: x[0])
+        assert (top[1] if top[0] >= licences.SIMILARITY else None) == (known.names[best[i]] if best[i] >= 0 else None), texts[i]
+
+
 def test_awkward_rows(awkward, empty):
     from pyspark.sql import functions as F
 
