@@ -122,7 +122,7 @@ def fit(
     """(weights, bias) learned from at most `sample` labelled rows; all 0 without any.
 
     Rows whose label is neither 0 nor 1, or whose id is null, are passed over; of an id's
-    labels the least counts. The sample is one bounded task's work; the driver receives the weights.
+    labels the least counts, of its texts the one with the least hash. The sample is one bounded task's work; the driver receives the weights.
     """
     known = (
         labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label"))
@@ -132,8 +132,9 @@ def fit(
         .orderBy(F.xxhash64("id"), "id")
         .limit(sample)
     )
-    rows = bounded(docs).select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text")).join(
-        F.broadcast(known), "id"
+    text = docs[text_col].cast("binary")
+    rows = bounded(docs).select(docs[id_col].alias("id"), text.alias("text")).join(F.broadcast(known), "id").select(
+        "*", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark")
     )
 
     def extract(batches):
@@ -144,10 +145,11 @@ def fit(
                     [
                         batch.column("id").slice(first, len(texts)),
                         batch.column("label").slice(first, len(texts)),
+                        batch.column("mark").slice(first, len(texts)),
                         pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())),
                         pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32())),
                     ],
-                    ["id", "label", "slots", "shares"],
+                    ["id", "label", "mark", "slots", "shares"],
                 )
 
     def learn(batches):
@@ -159,7 +161,7 @@ def fit(
                 (np.asarray(x.values) for x in batch.column("slots")),
                 (np.asarray(x.values) for x in batch.column("shares")),
             ):
-                seen.setdefault(key, (label, np.append(slots, SLOTS), np.append(shares, np.float32(1))))
+                seen[key] = (label, np.append(slots, SLOTS), np.append(shares, np.float32(1)))
         leader = Leader()
         keys = sorted(seen, key=str)
         for turn in range(passes):
@@ -172,7 +174,11 @@ def fit(
 
     kind = rows.schema["id"].dataType.simpleString()
     learned = (
-        rows.mapInArrow(extract, f"id {kind}, label int, slots array<int>, shares array<float>")
+        rows.mapInArrow(extract, f"id {kind}, label int, mark long, slots array<int>, shares array<float>")
+        # one row an id, the same in each run
+        .groupBy("id")
+        .agg(F.min_by(F.struct("label", "slots", "shares"), "mark").alias("first"))
+        .select("id", "first.*")
         .repartition(1)
         .mapInArrow(learn, "slot long, weight double")
     )
