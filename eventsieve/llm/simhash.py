@@ -170,7 +170,8 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of docs that stand first in their component, with their columns.
 
-    First is the least id, rows without one last. Of rows that repeat both id and text one stays.
+    First is the least id, rows without one last. Of rows that repeat both id and text one stays. Null and empty texts are
+    alike: one of all such rows stays. An empty table gives an empty result; columns may have any name.
     """
     found = _components(docs, id_col, text_col, bucket)
     first = found.where(
@@ -181,8 +182,6 @@ def one_of_each(
         "kept",
     )
     mark = F.xxhash64(docs[text_col])
-    rows = docs.join(
-        kept.drop("rows"), docs[id_col].eqNullSafe(F.col("kept_id")) & (mark == F.col("kept_mark")), "left_semi"
-    )
+    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]) & (mark == kept["kept_mark"]), "left_semi")
     # the second shuffle of texts is for tables with repeated rows only
     return rows if kept.where("rows > 1").isEmpty() else rows.dropDuplicates([id_col, text_col])

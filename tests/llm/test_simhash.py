@@ -62,6 +62,14 @@ def test_crowded_and_sparse_index_agree(spark):
     assert {(r.a, r.b) for r in simhash.links(fps, 10_000).collect()} == pairs
 
 
+def test_clashing_names(awkward):
+    for name in ("kept_id", "kept_mark", "rows", "id", "fp", "component_id", "first", "head"):
+        clash = awkward.withColumnRenamed("mark", name)
+        kept = simhash.one_of_each(clash)
+        assert kept.columns == clash.columns and kept.count() == 6
+        assert simhash.near_duplicates(clash).count() == clash.count()
+
+
 def test_awkward_rows(awkward, empty):
     found = simhash.near_duplicates(awkward).collect()
     assert len(found) == awkward.count()
