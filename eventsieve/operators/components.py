@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventsieve.plans.tables import materialize
+from eventsieve.plans.tables import discard, materialize
+
+#: With more edges than this, minima are written before they are joined.
+SPLIT = 1 << 20
 
 
 def _state(edges: DataFrame):
@@ -16,23 +19,28 @@ def _state(edges: DataFrame):
     return row["n"], row["x"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _joinable(least: DataFrame, split: bool) -> DataFrame:
+    """least as a table of its own: a join of plain tables can split a node that very many edges share, one with an aggregate can't."""
+    return materialize(least, "least") if split else least
+
+
+def _large_star(edges: DataFrame, split: bool) -> DataFrame:
     """Every larger neighbour of a node is hung on the least node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (
         both.where("v > u")
-        .join(least, "u")
+        .join(_joinable(least, split), "u")
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .where("u <> v")
         .distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, split: bool) -> DataFrame:
     """Every node and its smaller neighbours are hung on the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = _joinable(down.groupBy("u").agg(F.min("v").alias("m")), split)
     hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -41,10 +49,10 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """(node, component) of every node that has an edge; component is the least node.
 
     Alternates large-star and small-star steps, which end in O(log^2 n) rounds
-    with a star around the least node of each component. Each step is a
-    pre-aggregated minimum and an equi-join, so a node with very many edges is
-    never gathered in one task. Rows with a null end, and loops, are ignored;
-    repeated edges count once. An empty table gives an empty result.
+    with a star around the least node of each component; more than max_rounds
+    are an error. Each step is a pre-aggregated minimum and an equi-join. In large graphs
+    the minima are written first, so that the edges of a node that has very many are split over tasks. Rows with a null
+    end, and loops, are ignored; repeated edges count once. An empty table gives an empty result.
     """
     now = (
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
@@ -54,7 +62,10 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     now = materialize(now, "edges")
     state = _state(now)
     for _ in range(max_rounds if state[0] else 0):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        split = state[0] > SPLIT
+        large = _large_star(now, split)
+        before, now = now, materialize(_small_star(materialize(large, "stars") if split else large, split), "edges")
+        discard(before)
         after = _state(now)
         if after == state:
             break

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from eventsieve.operators import components as components_module
 from eventsieve.operators import publish, similarity
 from eventsieve.operators.components import connected_components
 
@@ -95,7 +96,7 @@ def test_best_published_matches_brute_force(spark):
         assert found == expected
 
 
-def test_components_of_random_graphs(spark):
+def test_components_of_random_graphs(spark, monkeypatch):
     draw = random.Random(1)
     edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(120)]
     edges += [(5000, 6000 + i) for i in range(300)]
@@ -104,6 +105,8 @@ def test_components_of_random_graphs(spark):
     nodes = {n for a, b in edges if a != b for n in (a, b)}
     assert found == components(sorted(nodes), [e for e in edges if e[0] != e[1]])
     assert connected_components(table.limit(0), "a", "b").count() == 0
+    monkeypatch.setattr(components_module, "SPLIT", 10)
+    assert {r.node: r.component for r in connected_components(table, "a", "b").collect()} == found
 
 
 def item(n, title, extract="", day="2026-09-17", url="https://example.com/"):
