@@ -45,6 +45,7 @@ PHRASES = (
 
 # Fixed values: (suffix, replacement); the first whose length guard holds and that matches is cut.
 SUFFIXES = (("ies", "y"), ("ing", ""), ("ed", ""), ("es", ""), ("s", ""))
+# What a word and a telling number look like.
 TOKEN = r"[a-zа-яё][a-zа-яё']*[a-zа-яё]"
 NUMBER = r"(?<![\w.])(\d+(?:\.\d+)?)\s*(%|percent|b\b|bn\b|billion|m\b|mn\b|million|k\b)?"
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventsieve.functions.lexicon import DEFAULT, Lexicon
 from eventsieve.functions.text import ends_with_any
 
+# Campaign keys; below, the links that count as goals.
 UTM_KEYS = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content")
 
 
@@ -55,6 +56,12 @@ def click_goal(href: Column) -> Column:
     )
 
 
+def click_file(href: Column) -> Column:
+    """The file that a click on a link downloads, or null."""
+    return F.when(click_goal(href) == "download", href)
+
+
+# What counts as a web link and as an address in a text.
 LINK = r"https?://[^\s<>\"')]+[^\s<>\"').,!?]"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
 

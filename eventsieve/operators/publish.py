@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,12 +92,27 @@ def published_matches(prints: DataFrame, published: DataFrame, window_days: int
     return similarity.members(prints, grouped).join(best, "class_id").select("id", "old_id", "score")
 
 
-def exact_repeats(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, first_id) of rows whose text stood in a row with a smaller id."""
-    digest = F.sha2(items[text_col].cast("binary"), 256)
-    rows = items.select(items[id_col].alias("id"), digest.alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("id").alias("first_id"))
-    return rows.join(first, "digest").where("id <> first_id").select("id", "first_id")
+def exact_repeats(
+    items: DataFrame, id_col: str, text_col: str, link_col: str | None = None, history: DataFrame | None = None
+) -> DataFrame:
+    """(id, first_id) of rows whose text, or link, stood in a row with a smaller id or in the history.
+
+    history has the same columns; its rows come before all others and are not returned. first_id is the first row that holds
+    the text or the link. Null texts and links repeat nothing.
+    """
+
+    def marks(rows: DataFrame, late: bool) -> DataFrame:
+        found = [F.sha2(rows[text_col].cast("binary"), 256)]
+        if link_col:
+            found.append(F.concat(F.lit("link "), rows[link_col]))
+        return rows.select(F.lit(late).alias("late"), rows[id_col].alias("id"), F.explode(F.array(*found)).alias("mark"))
+
+    mine = marks(items, True).where("mark is not null")
+    known = mine if history is None else mine.union(marks(history, False).where("mark is not null"))
+    # written, so that the join stands alone and a text that repeats very often can be split
+    first = materialize(known.groupBy("mark").agg(F.min(F.struct("late", "id")).alias("first")), "firsts")
+    repeats = mine.join(first, "mark").where("not first.late or first.id <> id")
+    return repeats.groupBy("id").agg(F.min("first").alias("first")).select("id", F.col("first.id").alias("first_id"))
 
 
 # -- verdicts of an outside model
@@ -147,11 +164,30 @@ def merged_components(heads: DataFrame, head_prints: DataFrame, groups: DataFram
     )
 
 
-def prompt_lines(heads: DataFrame, number: str, title: str, extract: str, day: str) -> DataFrame:
-    """(number, line): one numbered line per head, as a labelling batch shows it."""
+def prompt_lines(heads: DataFrame, number: str, title: str, extract: str, day: str, *more: str) -> DataFrame:
+    """(number, line) and the columns `more`: one numbered line per head, as a labelling batch shows it."""
     stamp = F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit("no date"))
     line = F.format_string("%d. [%s] %s :: %s", F.col(number), stamp, F.coalesce(title, F.lit("")), lead(F.col(extract), 40))
-    return heads.select(number, line.alias("line"))
+    return heads.select(number, *more, line.alias("line"))
+
+
+def pair_quality(clusters: DataFrame, label: Column) -> DataFrame:
+    """(clustered, labelled, both, precision, recall): pairs in one component, of one label, and both.
+
+    Pairs are counted from the sizes of the groups, not listed. Rows without a label are left out.
+    """
+    cells = clusters.select("component", label.alias("label")).where("label is not null").groupBy("component", "label").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    count = lambda by: F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias(by)
+    sums = [
+        (cells.groupBy(*keys).agg(F.sum("n").alias("n")) if keys else cells).agg(count(name))
+        for name, keys in (("clustered", ["component"]), ("labelled", ["label"]), ("both", []))
+    ]
+    # three tables of one row each
+    joined = sums[0].withColumn("one", F.lit(1)).join(sums[1].withColumn("one", F.lit(1)), "one").join(sums[2].withColumn("one", F.lit(1)), "one")
+    share = lambda of: F.when(F.col(of) > 0, F.col("both") / F.col(of))
+    return joined.select("clustered", "labelled", "both", share("clustered").alias("precision"), share("labelled").alias("recall"))
 
 
 def audit(clusters: DataFrame, label: Column) -> DataFrame:
@@ -166,10 +202,18 @@ def audit(clusters: DataFrame, label: Column) -> DataFrame:
 # -- issues
 
 
-def assemble_issue(items: DataFrame, history: DataFrame | None, rank: list[Column], look_back_days: int | None = None) -> DataFrame:
+def assemble_issue(
+    items: DataFrame,
+    history: DataFrame | None,
+    rank: list[Column],
+    look_back_days: int | None = None,
+    verdicts: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The primaries that one issue publishes, given fingerprints with pos and rank columns, and those published so far.
 
-    look_back_days keeps history near the issue's first day: that filter is the state's time to live.
+    look_back_days keeps history near the issue's first day: that filter is the state's time to live. verdicts, if given, gets
+    the first item of each cluster (component, id, pos and fingerprint) and returns groups of their pos in a column group; see
+    merged_components().
     """
     if history is not None and look_back_days is not None:
         since = items.agg(F.date_sub(F.min("day"), look_back_days)).first()[0]
@@ -177,6 +221,14 @@ def assemble_issue(items: DataFrame, history: DataFrame | None, rank: list[Colum
             history = history.where(F.col("day").isNull() | (F.col("day") >= F.lit(since)))
     found = cluster(items.select("id", "title", "body", "nums", "day"), context=history).withColumnRenamed("id", "own")
     joined = materialize(items.join(found, F.col("id") == F.col("own")).drop("own"), "issue")
+    if verdicts is not None:
+        print_of = ("title", "body", "nums", "day")
+        heads = joined.groupBy("component").agg(F.min_by(F.struct("id", "pos", *print_of), "pos").alias("head"))
+        heads = materialize(heads.select("component", "head.*"), "heads")
+        merged = merged_components(
+            heads.select(F.col("pos").alias("n"), "component"), heads.select(F.col("pos").alias("id"), *print_of), verdicts(heads), history
+        )
+        joined = materialize(joined.join(merged, "component").drop("component").withColumnRenamed("merged", "component"), "merged")
     fresh = joined
     if history is not None:
         matches = published_matches(joined.select("id", "title", "body", "nums", "day"), history)
@@ -185,7 +237,13 @@ def assemble_issue(items: DataFrame, history: DataFrame | None, rank: list[Colum
     return primaries(fresh, rank).drop("size").select(*joined.columns)
 
 
-def publish_issues(items: DataFrame, issue: str, rank: list[Column], look_back_days: int | None = None) -> DataFrame:
+def publish_issues(
+    items: DataFrame,
+    issue: str,
+    rank: list[Column],
+    look_back_days: int | None = None,
+    verdicts: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """All published primaries, issue by issue in ascending order.
 
     Each issue needs what those before it published, so issues run one after the other; the work within one is distributed. The
@@ -193,6 +251,6 @@ def publish_issues(items: DataFrame, issue: str, rank: list[Column], look_back_d
     """
     history = None
     for (number,) in sorted(items.select(issue).where(F.col(issue).isNotNull()).distinct().collect()):
-        out = materialize(assemble_issue(items.where(F.col(issue) == number), history, rank, look_back_days), "published")
+        out = materialize(assemble_issue(items.where(F.col(issue) == number), history, rank, look_back_days, verdicts), "published")
         history = out if history is None else history.unionByName(out)
     return history if history is not None else items.limit(0).withColumn("component", F.col("id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventsieve.functions.urls import language, links, without_fragment
 
+# Shapes of addresses and session ids, lengths of sessions and logs.
 EMAIL_SHAPE = r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"
 SESSION_ID = r"^[a-f0-9]{24}$"
 IDLE_HOURS, CLOSED_IDLE_HOURS = 30 * 24, 12
@@ -55,12 +56,13 @@ def checked_leads(leads: DataFrame, errors: Column, honeypot: str) -> tuple[Data
 
 def lead_records(
     leads: DataFrame, fields: str, labels: dict[str, str], form_type: str, page: str, lang: str, referrer: str, campaign: str,
-    prefix: Column | None = None,
+    prefix: Column | None = None, texts: str | None = None,
 ) -> DataFrame:
     """Adds raw and display maps and the subject.
 
     raw has every field trimmed; display has labels as keys, without empty
-    values and without consent. Metadata overwrite fields of the same name.
+    values and without consent. texts is a map column of what is shown for a field instead of its value, as the choices of a
+    list are. Metadata overwrite fields of the same name.
     """
     raw = F.transform_values(fields, lambda k, v: F.btrim(F.coalesce(v, F.lit(""))))
     label_of = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]) if labels else None
@@ -70,7 +72,8 @@ def lead_records(
         F.array(without_fragment(F.col(page)), language(F.col(lang)), F.coalesce(referrer, F.lit(""))),
     )
     extra = _over(base, F.coalesce(F.col(campaign), F.create_map().cast("map<string,string>")))
-    kept = F.map_filter(raw, lambda k, v: (v != "") & (k != "consent"))
+    told = raw if texts is None else F.transform_values(raw, lambda k, v: F.btrim(F.coalesce(F.try_element_at(texts, k), v)))
+    kept = F.map_filter(told, lambda k, v: (v != "") & (k != "consent"))
     shown = F.transform_keys(kept, lambda k, v: named(k))
     typed = F.create_map(F.lit("form_type"), F.col(form_type))
     one = lambda k: F.nullif(F.try_element_at(raw, F.lit(k)), F.lit(""))

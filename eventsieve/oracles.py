@@ -73,8 +73,12 @@ def _classes(name: str, where: str = "TRUE") -> str:
 
 
 def _pairs(where: str = "TRUE", context: str = "FALSE") -> str:
+    return f"{_ARTICLES}, {_edges(where, context)}"
+
+
+def _edges(where: str = "TRUE", context: str = "FALSE") -> str:
     """Scores of all classes that share a word, then those of 0.34 or more."""
-    return f"""{_ARTICLES}, {_classes('classes', where)},
+    return f"""{_classes('classes', where)},
     total AS (SELECT count(*) AS n FROM prints WHERE ({where}) OR ({context})),
     df AS (SELECT token, count(*) AS df FROM (
         SELECT unnest(body) AS token FROM prints WHERE ({where}) OR ({context})) GROUP BY token),
@@ -99,7 +103,11 @@ def _pairs(where: str = "TRUE", context: str = "FALSE") -> str:
 
 
 def _components(where: str = "TRUE") -> str:
-    return f"""{_pairs(where)},
+    return f"{_ARTICLES}, {_clusters(where)}"
+
+
+def _clusters(where: str = "TRUE", context: str = "FALSE") -> str:
+    return f"""{_edges(where, context)},
     linked AS (SELECT a_id AS u, b_id AS v FROM edges UNION ALL SELECT b_id, a_id FROM edges),
     reach(u, v) AS (SELECT cid, cid FROM classes UNION SELECT r.u, l.v FROM reach r JOIN linked l ON r.v = l.u),
     named AS (SELECT u AS cid, min(v) AS component, count(*) AS reached FROM reach GROUP BY u),
@@ -160,6 +168,32 @@ def _published(old_prints: str, fresh: str) -> str:
         FROM matched WHERE score >= 0.34) WHERE k = 1)"""
 
 
+def _issue_loop(issue: str, numbers: range, look_back: int | None) -> str:
+    """pub_<number>: what each issue publishes, one after the other."""
+    stages = []
+    for k in numbers:
+        history = " UNION ALL ".join(
+            ["SELECT id, day, title, body, nums, n_chars FROM pub_none"] + [f"SELECT id, day, title, body, nums, n_chars FROM pub_{i}" for i in numbers if i < k]
+        )
+        seen = f"WHERE day >= (SELECT min(day) FROM dated WHERE issue = {k}) - {look_back}" if look_back is not None else ""
+        stages.append(f"""
+    pub_{k} AS MATERIALIZED (
+      WITH RECURSIVE prints AS MATERIALIZED (
+        SELECT id, day, title, body, nums, n_chars, TRUE AS cur FROM dated WHERE issue = {k}
+        UNION ALL SELECT id, day, title, body, nums, n_chars, FALSE FROM ({history}) {seen}),
+      {_clusters('cur', 'NOT cur')},
+      {_published('SELECT id, day, title, body, nums FROM prints WHERE NOT cur', 'SELECT id, day, title, body, nums FROM prints WHERE cur')},
+      fresh AS (
+        SELECT c.component, p.*, row_number() OVER (PARTITION BY c.component ORDER BY p.n_chars DESC, p.id) AS ord
+        FROM clusters c JOIN prints p ON p.id = c.id AND p.cur
+        WHERE c.component NOT IN (SELECT component FROM clusters JOIN best USING (id)))
+      SELECT id, day, title, body, nums, n_chars FROM fresh WHERE ord = 1)""")
+    return f"""{_ARTICLES},
+    dated AS MATERIALIZED (
+      SELECT p.id, {issue} AS issue, p.day, title, body, nums, n_chars FROM prints p JOIN articles a USING (id)),
+    pub_none AS (SELECT * FROM dated WHERE FALSE), {', '.join(stages)}"""
+
+
 _OLD = "SELECT id, day, title, body, nums FROM prints WHERE id % 5 = 0"
 _FRESH = "SELECT id, day, title, body, nums FROM prints WHERE id % 5 <> 0"
 
@@ -257,6 +291,87 @@ SQL: dict[str, str] = {
     "exact_repeats": """
         SELECT id, first_id FROM (
           SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE id <> first_id""",
+    "exact_repeats_links": r"""
+        WITH p AS (SELECT page_id AS id, html, regexp_extract(url, '^[^?#]*/') AS link FROM pages),
+        marks AS (
+          SELECT id, id % 5 <> 0 AS late, html AS mark FROM p
+          UNION ALL SELECT id, id % 5 <> 0, 'link ' || link FROM p),
+        firsts AS (
+          SELECT id, late, first_value(id) OVER w AS first_id, first_value(late) OVER w AS first_late FROM marks
+          WINDOW w AS (PARTITION BY mark ORDER BY late, id)),
+        ranked AS (
+          SELECT id, first_id, row_number() OVER (PARTITION BY id ORDER BY first_late, first_id) AS k FROM firsts
+          WHERE late AND (NOT first_late OR first_id <> id))
+        SELECT id, first_id FROM ranked WHERE k = 1""",
+    "issue_loop_shown": f"""
+        WITH RECURSIVE {_issue_loop('p.issue', range(5), None)}
+        {' UNION ALL '.join(f'SELECT {k}::BIGINT AS issue, count(*) AS shown FROM pub_{k} HAVING count(*) > 0' for k in range(5))}""",
+    "issue_loop_look_back": f"""
+        WITH RECURSIVE {_issue_loop('(p.id % 30) // 6', range(5), 3)}
+        {' UNION ALL '.join(f'SELECT {k}::BIGINT AS issue, id FROM pub_{k}' for k in range(5))}""",
+    "prompt_lines": f"""
+        WITH RECURSIVE {_components()},
+        heads AS (SELECT min(id) AS id FROM clusters GROUP BY component)
+        SELECT batch, number, number || '. [' || day || '] ' || headline || ' :: ' || lead40 AS line
+        FROM (
+          SELECT a.id // 10 AS batch, row_number() OVER (PARTITION BY a.id // 10 ORDER BY a.id)::INTEGER AS number,
+            strftime(a.day, '%Y-%m-%d') AS day, headline, {_lead('d.text', 40)} AS lead40
+          FROM heads JOIN articles a USING (id) JOIN documents d ON d.doc_id = a.id)""",
+    "verdict_merge": f"""
+        WITH RECURSIVE {_components()},
+        heads AS MATERIALIZED (
+          SELECT h.component, p.id, p.id // 10 AS ten, title, body, nums
+          FROM (SELECT component, min(id) AS id FROM clusters GROUP BY component) h JOIN prints p USING (id)),
+        hdf AS (SELECT token, count(*) AS df FROM (SELECT unnest(body) AS token FROM heads) GROUP BY token),
+        htokens AS MATERIALIZED (
+          SELECT id, ten, token, list_contains(title, token) AS in_title, ln(((SELECT count(*) FROM heads) + 1) / (df + 1)) + 1 AS w
+          FROM (SELECT id, ten, title, unnest(body) AS token FROM heads) JOIN hdf USING (token)),
+        hsums AS (SELECT id, coalesce(sum(w) FILTER (in_title), 0) AS tw, sum(w) AS bw FROM htokens GROUP BY id),
+        hshared AS (
+          SELECT a.id AS a_id, b.id AS b_id, coalesce(sum(a.w) FILTER (a.in_title AND b.in_title), 0) AS t, sum(a.w) AS b
+          FROM htokens a JOIN htokens b ON a.token = b.token AND a.ten = b.ten AND a.id < b.id GROUP BY ALL),
+        told AS (
+          SELECT a.component AS u, b.component AS v FROM hshared JOIN hsums x ON x.id = a_id JOIN hsums y ON y.id = b_id
+            JOIN heads a ON a.id = a_id JOIN heads b ON b.id = b_id
+          WHERE round((CASE WHEN x.tw > 0 AND y.tw > 0 THEN 2 * t / (x.tw + y.tw) ELSE 0 END + 2 * b / (x.bw + y.bw)) / 2
+            + CASE WHEN list_has_any(a.nums, b.nums) THEN 0.1 ELSE 0 END, 12) >= 0.12),
+        both_ways AS (SELECT u, v FROM told UNION ALL SELECT v, u FROM told),
+        met(u, v) AS (SELECT component, component FROM heads UNION SELECT m.u, l.v FROM met m JOIN both_ways l ON m.v = l.u)
+        SELECT u AS component, min(v) AS merged FROM met GROUP BY u""",
+    "cluster_pair_quality": f"""
+        WITH RECURSIVE {_components()},
+        cells AS (SELECT component, source, count(*) AS n FROM clusters JOIN articles USING (id) WHERE source IS NOT NULL GROUP BY ALL),
+        totals AS (
+          SELECT (SELECT sum(n * (n - 1) // 2) FROM (SELECT sum(n) AS n FROM cells GROUP BY component))::BIGINT AS clustered,
+            (SELECT sum(n * (n - 1) // 2) FROM (SELECT sum(n) AS n FROM cells GROUP BY source))::BIGINT AS labelled,
+            (SELECT sum(n * (n - 1) // 2) FROM cells)::BIGINT AS both)
+        SELECT clustered, labelled, "both", round("both" / clustered, 9) AS precision, round("both" / labelled, 9) AS recall FROM totals""",
+    "page_urls": r"""
+        SELECT page_id, 'https://site.example/' || regexp_extract(url, '://[^/]+/([^?#]*)', 1) || '/' AS page_url FROM pages""",
+    "catalogue_urls": """
+        SELECT p_partkey AS slug, p_name AS title,
+          CASE WHEN p_partkey % 3 <> 0 THEN 'https://site.example/parts/' || p_partkey || '/#top' ELSE '' END AS page_url FROM part""",
+    "knowledge_lines": f"""
+        WITH p AS (
+          SELECT 'https://site.example/' || regexp_extract(url, '://[^/]+/([^?#]*)', 1) || '/' AS url, md5({_facts('html')}) AS facts
+          FROM pages WHERE NOT contains(html, 'name="robots" content="noindex')),
+        c AS (
+          SELECT p_partkey AS slug, p_name AS title,
+            CASE WHEN p_partkey % 3 <> 0 THEN 'https://site.example/parts/' || p_partkey || '/#top' ELSE '' END AS page_url FROM part),
+        entries AS (
+          SELECT 1 AS part, to_json({{'slug': slug, 'title': title, 'page_url': page_url}})::VARCHAR AS line FROM c
+          UNION ALL SELECT 3, to_json({{'url': url, 'facts': facts}})::VARCHAR FROM p)
+        SELECT part, string_agg(line, ',') AS line FROM entries GROUP BY part, line
+        UNION ALL SELECT 0, '{{"about":"About","rules":["Rule"],"directions":['
+        UNION ALL SELECT 2, '],"pages":[' UNION ALL SELECT 4, ']}}'""",
+    "click_files": r"""
+        SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'email_click' WHEN 1 THEN 'whatsapp_click' ELSE 'download' END AS goal,
+          CASE WHEN page_id % 5 = 2 THEN url || '.pdf' END AS file
+        FROM pages WHERE page_id % 5 < 3""",
+    "lead_display_texts": f"""
+        WITH {_LEADS}
+        SELECT lead_id, left(segment, 3) AS raw_segment, (SELECT c_mktsegment FROM customer WHERE c_custkey = lead_id) AS shown_segment,
+          nullif(email, '') AS shown_email FROM leads""",
     "verdict_parse": """
         SELECT doc_id, CASE doc_id % 4
           WHEN 0 THEN CASE WHEN doc_id % 7 + 1 = 2 THEN '1' ELSE least(doc_id % 7, 1) || '+' || greatest(doc_id % 7, 1) END || ';2+3'

@@ -6,7 +6,7 @@ the extract, the day is 2024-01-01 plus doc_id mod 30, the issue is doc_id mod 5
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventsieve.functions import lexicon, text, urls
@@ -186,12 +186,28 @@ def exact_repeats(spark, sf_dir):
     return publish.exact_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def exact_repeats_links(spark, sf_dir):
+    """Pages whose folder, as the link, or whose text was there before; each fifth page is the history."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", F.regexp_extract("url", "^[^?#]*/", 0).alias("link"))
+    fresh, old = pages.where("page_id % 5 <> 0"), pages.where("page_id % 5 = 0")
+    return publish.exact_repeats(fresh, "page_id", "html", "link", old)
+
+
+def _issues(spark, sf_dir, issue, look_back_days=None):
+    """What each issue publishes; of a cluster the longest text."""
+    ranked = _articles(spark, sf_dir).select("id", "pos", issue.alias("issue"), (-F.length("extract")).alias("longest"))
+    items = materialize(_prints(spark, sf_dir).join(ranked, "id"), "items")
+    return publish.publish_issues(items, "issue", [F.col("longest")], look_back_days)
+
+
 def issue_loop_shown(spark, sf_dir):
-    items = _prints(spark, sf_dir).join(
-        _articles(spark, sf_dir).select("id", "pos", "issue", (-F.length("extract")).alias("longest")), "id"
-    )
-    out = publish.publish_issues(materialize(items, "items"), "issue", [F.col("longest")])
-    return out.groupBy("issue").agg(F.count_distinct("component").alias("shown"))
+    return _issues(spark, sf_dir, F.col("issue")).groupBy("issue").agg(F.count_distinct("component").alias("shown"))
+
+
+def issue_loop_look_back(spark, sf_dir):
+    """Issues of six days, which see the history of the three days before only."""
+    issue = F.expr("(id % 30) div 6")
+    return _issues(spark, sf_dir, issue, 3).select("issue", "id")
 
 
 def verdict_parse(spark, sf_dir):
@@ -208,13 +224,26 @@ def verdict_parse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", shown.alias("groups"))
 
 
+def _heads(prints: DataFrame) -> DataFrame:
+    """(n, component): the first article of each cluster."""
+    return materialize(publish.cluster(prints).groupBy("component").agg(F.min("id").alias("n")).select("n", "component"), "heads")
+
+
+def prompt_lines(spark, sf_dir):
+    """Lines of batches of ten neighbours among the first articles of the clusters."""
+    heads = _heads(_prints(spark, sf_dir)).select(F.col("n").alias("own"))
+    batch = F.floor(F.col("id") / 10)
+    items = _articles(spark, sf_dir).join(heads, F.col("id") == F.col("own"))
+    numbered = items.withColumn("number", F.row_number().over(Window.partitionBy(batch).orderBy("id")))
+    keys = F.struct(batch.alias("batch"), "number").alias("place")
+    lines = publish.prompt_lines(numbered.withColumn("place", keys), "place.number", "headline", "extract", "date", "place.batch")
+    return lines.select("batch", "number", "line")
+
+
 def verdict_merge(spark, sf_dir):
     """Components after verdicts that group each ten neighbours among the primaries."""
     prints = _prints(spark, sf_dir)
-    found = publish.cluster(prints)
-    heads = materialize(
-        found.groupBy("component").agg(F.min("id").alias("n")).select("n", "component"), "heads"
-    )
+    heads = _heads(prints)
     groups = heads.groupBy(F.floor(F.col("n") / 10).alias("ten")).agg(F.array_sort(F.collect_list("n")).alias("group"))
     return publish.merged_components(heads, prints.join(heads.select(F.col("n").alias("id")), "id"), groups)
 
@@ -224,6 +253,13 @@ def cluster_audit(spark, sf_dir):
     return publish.audit(near_dup_components(spark, sf_dir).join(labels, "id"), F.col("quality"))
 
 
+def cluster_pair_quality(spark, sf_dir):
+    clusters = near_dup_components(spark, sf_dir)
+    source = _articles(spark, sf_dir).select("id", "source")
+    found = publish.pair_quality(clusters.join(source, "id"), F.col("source"))
+    return found.select("clustered", "labelled", "both", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
 def benchmark_overlap(spark, sf_dir):
     tests = table(spark, sf_dir, "benchmark")
     none = F.lit(None).cast("date")
@@ -262,8 +298,7 @@ def page_faq(spark, sf_dir):
 
 def page_knowledge(spark, sf_dir):
     """Facts by language and host, of pages whose path the skip list passes."""
-    site = F.concat(F.regexp_extract("url", r"://[^/]+/([^?#]*)", 1), F.lit("/index.html"))
-    pages = table(spark, sf_dir, "pages").withColumn("path", site)
+    pages = table(spark, sf_dir, "pages").withColumn("path", _site_path())
     kept = knowledge.kept_paths(pages, "path", skipped=("en/1", "de/2"))
     found = knowledge.page_records(kept, F.col("html"), "page_id")
     return found.groupBy("lang").agg(
@@ -271,6 +306,33 @@ def page_knowledge(spark, sf_dir):
     )
 
 
+def _site_path() -> Column:
+    return F.concat(F.regexp_extract("url", r"://[^/]+/([^?#]*)", 1), F.lit("/index.html"))
+
+
+def page_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", knowledge.page_url(_site_path(), "https://site.example").alias("page_url"))
+
+
+def _catalogue(spark, sf_dir) -> DataFrame:
+    """Parts as products, each third without a page."""
+    page = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("/parts/"), F.col("p_partkey").cast("string"), F.lit("/#top")))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("slug"), F.col("p_name").alias("title"), page.alias("page_url"))
+    return knowledge.enriched_catalogue(parts.withColumn("meta_html", F.lit("<meta>")), "https://site.example")
+
+
+def catalogue_urls(spark, sf_dir):
+    return _catalogue(spark, sf_dir)
+
+
+def knowledge_lines(spark, sf_dir):
+    """The lines of the document of all pages and products: parts, keys, and what their text digests to."""
+    pages = table(spark, sf_dir, "pages").withColumn("url", knowledge.page_url(_site_path(), "https://site.example"))
+    found = knowledge.page_records(pages, F.col("html"), "url").select("url", F.md5(F.col("facts").cast("binary")).alias("facts"))
+    lines = knowledge.knowledge_lines(found, _catalogue(spark, sf_dir), "About", ("Rule",))
+    return lines.select("part", F.regexp_replace("line", "^,", "").alias("line"))
+
+
 def utm_extract(spark, sf_dir):
     found = urls.utm(F.col("url"))
     return table(spark, sf_dir, "pages").select(
@@ -304,14 +366,24 @@ def first_referrer(spark, sf_dir):
     return _attributed(spark, sf_dir).select("event_id", "first_referrer")
 
 
-def click_goals(spark, sf_dir):
+def _hrefs() -> Column:
     n, url = F.col("page_id"), F.col("url")
-    href = (
+    return (
         F.when(n % 5 == 0, F.concat(F.lit("MAILTO:a@"), urls.bare_host(url)))
         .when(n % 5 == 1, F.concat(F.lit("https://wa.me/"), n.cast("string")))
         .when(n % 5 == 2, F.concat(url, F.lit(".pdf")))
         .otherwise(url)
     )
+
+
+def click_files(spark, sf_dir):
+    href = _hrefs()
+    found = table(spark, sf_dir, "pages").select("page_id", urls.click_goal(href).alias("goal"), urls.click_file(href).alias("file"))
+    return found.where("goal is not null")
+
+
+def click_goals(spark, sf_dir):
+    href = _hrefs()
     goals = table(spark, sf_dir, "pages").select(urls.click_goal(href).alias("goal"))
     return goals.groupBy(F.coalesce("goal", F.lit("none")).alias("goal")).agg(F.count(F.lit(1)).alias("clicks"))
 
@@ -365,6 +437,24 @@ def lead_records(spark, sf_dir):
     return out.select("lead_id", shown("raw").alias("raw"), shown("display").alias("display"), "subject")
 
 
+def lead_display_texts(spark, sf_dir):
+    """The segment is a choice from a list: its code is kept raw, its text is shown."""
+    leads = _leads(spark, sf_dir).select(
+        "lead_id",
+        F.create_map(F.lit("segment"), F.lower(F.left("segment", F.lit(3))), F.lit("email"), F.col("email")).alias("fields"),
+        F.create_map(F.lit("segment"), F.concat("segment", F.lit(" "))).alias("texts"),
+        F.lit("inquiry").alias("form_type"), F.lit("https://example.com/p").alias("page"), F.lit("en").alias("lang"),
+        F.lit("").alias("referrer"), F.create_map().cast("map<string,string>").alias("campaign"),
+    )
+    out = visitors.lead_records(leads, "fields", {"segment": "Segment"}, "form_type", "page", "lang", "referrer", "campaign", texts="texts")
+    return out.select(
+        "lead_id",
+        F.try_element_at("raw", F.lit("segment")).alias("raw_segment"),
+        F.try_element_at("display", F.lit("Segment")).alias("shown_segment"),
+        F.try_element_at("display", F.lit("email")).alias("shown_email"),
+    )
+
+
 def sessions_ttl(spark, sf_dir):
     closed = F.col("event_type") == "purchase"
     rows = visitors.sessions(table(spark, sf_dir, "events"), "user_id", "ts", closed, "event_id", idle_hours=24, closed_idle_hours=2)
@@ -419,9 +509,10 @@ def link_extract(spark, sf_dir):
 NAMES = (
     fold_words, stem_tokens, phrase_canon, anchors_numbers, parse_dates, source_rank_hosts, token_df_idf, doc_weights,
     similar_pairs, similar_pairs_context, near_dup_components, cluster_primary, also_reported, already_published_best,
-    drop_repeats_fresh, drop_repeats_repeats, exact_repeats, issue_loop_shown, verdict_parse, verdict_merge, cluster_audit,
-    benchmark_overlap, page_fields, page_text, page_faq, page_knowledge, utm_extract, last_touch, first_referrer,
-    click_goals, lead_validation, lead_records, sessions_ttl, capped_log, history_context, retry_dedup, error_rollup,
+    drop_repeats_fresh, drop_repeats_repeats, exact_repeats, exact_repeats_links, issue_loop_shown, issue_loop_look_back,
+    prompt_lines, verdict_parse, verdict_merge, cluster_audit, cluster_pair_quality, benchmark_overlap, page_fields, page_text,
+    page_faq, page_knowledge, page_urls, catalogue_urls, knowledge_lines, utm_extract, last_touch, first_referrer, click_goals,
+    click_files, lead_validation, lead_records, lead_display_texts, sessions_ttl, capped_log, history_context, retry_dedup, error_rollup,
     delivery_status, session_ids, link_extract,
 )
 

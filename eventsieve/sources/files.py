@@ -63,8 +63,9 @@ def unlisted_pages(pages: DataFrame, sitemap: DataFrame, url: str = "url") -> Da
     return pages.join(sitemap.select(F.col("loc").alias(url)).distinct(), url, "left_anti")
 
 
-def write_document(document: DataFrame, path: str) -> None:
-    document.coalesce(1).write.mode("overwrite").text(path)
+def write_document(lines: DataFrame, path: str) -> None:
+    """Lines (part, key, line) as text files, which are the document when put together in order of their names."""
+    lines.orderBy("part", "key").select("line").write.mode("overwrite").text(path)
 
 
 def write_knowledge(pages: DataFrame, path: str) -> None:

@@ -43,7 +43,13 @@ def test_knowledge_from_a_tree_of_pages(spark, tmp_path):
     listed = knowledge.enriched_catalogue(files.read_catalogue(spark, str(tmp_path / "directions.json")), "https://s.example")
     assert [(r.slug, r.page_url) for r in listed.collect()] == [("pollock", "https://s.example/fish/"), ("y", "")]
     records = knowledge.page_records(kept, F.col("html"), "path").withColumn("url", knowledge.page_url(F.col("path"), "https://s.example"))
-    document = json.loads(knowledge.knowledge_document(records, listed, "About", ("Rule",)).first().document)
+    lines = knowledge.knowledge_lines(records, listed, "About", ("Rule",))
+    files.write_document(lines, str(tmp_path / "document"))
+    document = json.loads("".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "document").glob("part-*"))))
+    nothing = knowledge.knowledge_lines(records.limit(0), listed.limit(0), "A", ()).orderBy("part", "key").collect()
+    assert json.loads("".join(r.line for r in nothing)) == {"about": "A", "rules": [], "directions": [], "pages": []}
+    twice = knowledge.knowledge_lines(records.union(records), listed, "A", ()).orderBy("part", "key").collect()
+    assert len(json.loads("".join(r.line for r in twice))["pages"]) == 4
     assert document["about"] == "About" and document["rules"] == ["Rule"]
     assert [p["url"] for p in document["pages"]] == ["https://s.example/bare/", "https://s.example/fish/"]
     assert document["directions"][0]["slug"] == "pollock" and "meta_html" not in document["directions"][0]
