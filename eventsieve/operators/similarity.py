@@ -32,7 +32,7 @@ LEAD_WORDS = 30
 DIGITS = 12
 #: A word that more classes hold, or a pair of words that more are expected to hold, is joined on with a further word. Both
 #: ways are exact.
-FEW, FEW_EXPECTED = 32, 8
+FEW, FEW_EXPECTED = 64, 32
 
 
 def fingerprints(
@@ -122,86 +122,107 @@ def weighted(grouped: DataFrame, counts: DataFrame, columns: dict[str, Callable[
     )
 
 
-def combinations(entries: Column, need: Column, n: Column) -> Column:
-    """Hashes of the words, pairs and triples by which an article meets all that share `need` of its weight with it.
+def combinations(entries: Column, need: Column, n: Column, kind: str, body_most: Column | None = None) -> Column:
+    """array<struct<key, title, body>>: hashes of the words, pairs and triples by which an article meets all that share `need` of
+    its weight with it; and what weight of title and body can be shared at most, if these are the first words that are.
 
     entries are heaviest first. Two articles whose shared words weigh enough for both meet on the first of these words, if
     few classes hold it; else on the first two, if few are to be expected to hold both; else on the first three. Where
     fewer are shared, they meet on all of them. Words are left out that come so late that what follows weighs too little.
+    body_most is given for entries that are only those of the title.
     """
-    state = F.struct(F.lit(0.0).alias("left"), F.array().cast("array<struct<w:double,held:long,code:string,left:double>>").alias("out"))
-    summed = F.aggregate(
-        F.reverse(entries),
-        state,
-        lambda s, e: F.struct(
-            (s["left"] + e["w"]).alias("left"),
-            F.concat(F.array(F.struct(e["w"], e["held"], e["code"], (s["left"] + e["w"]).alias("left"))), s["out"]).alias("out"),
-        ),
-    )["out"]
-    none = F.array().cast("array<long>")
+    entry = "struct<w:double,t:double,held:long,code:string,left:double,left_t:double>"
+    state = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("left_t"), F.array().cast(f"array<{entry}>").alias("out"))
+    own_title = lambda e: F.when(e["in_title"], e["w"]).otherwise(0.0)
+
+    def add(s, e):
+        left, left_t = s["left"] + e["w"], s["left_t"] + own_title(e)
+        row = F.struct(e["w"], own_title(e).alias("t"), e["held"], e["code"], left.alias("left"), left_t.alias("left_t"))
+        return F.struct(left.alias("left"), left_t.alias("left_t"), F.concat(F.array(row), s["out"]).alias("out"))
+
+    summed = F.aggregate(F.reverse(entries), state, add)["out"]
+    none = F.array().cast("array<struct<key:long,title:float,body:float>>")
     rest = lambda es, at: F.slice(es, at + 2, F.greatest(F.size(es) - at - 1, F.lit(0)))
     every = lambda es, got, f: F.flatten(F.transform(F.filter(es, lambda e: got + e["left"] >= need), f))
-    alone = lambda got, key: F.when(got >= need, F.array(key)).otherwise(none)
+    # a little more than the bounds, as floats are rounded
+    up = lambda c: (c * (1 + 1e-6)).cast("float")
+
+    def made(*chosen):
+        *before, last = chosen
+        sum_of = lambda name, end: reduce(lambda x, e: x + e[name], before, last[end])
+        body = sum_of("w", "left") if body_most is None else body_most
+        key = F.xxhash64(F.lit(kind), *[e["code"] for e in chosen])
+        return F.array(F.struct(key.alias("key"), up(sum_of("t", "left_t")).alias("title"), up(body).alias("body")))
+
+    alone = lambda got, *chosen: F.when(got >= need, made(*chosen)).otherwise(none)
 
     def one(es):
         return every(
-            es, F.lit(0.0), lambda x, i: F.when(x["held"] <= FEW, F.array(F.xxhash64(x["code"]))).otherwise(
-                F.concat(alone(x["w"], F.xxhash64(x["code"])), two(rest(es, i), x))
-            ),
-        )
+            es, F.lit(0.0), lambda x, i: F.when(x["held"] <= FEW, made(x)).otherwise(F.concat(alone(x["w"], x), two(rest(es, i), x)))
+        )
 
     def two(es, x):
-        key = lambda y: F.xxhash64(x["code"], y["code"])
         return every(
-            es, x["w"], lambda y, i: F.when(x["held"] * y["held"] <= FEW_EXPECTED * n, F.array(key(y))).otherwise(
-                F.concat(alone(x["w"] + y["w"], key(y)), three(rest(es, i), x, y))
+            es, x["w"], lambda y, i: F.when(x["held"] * y["held"] <= FEW_EXPECTED * n, made(x, y)).otherwise(
+                F.concat(alone(x["w"] + y["w"], x, y), three(rest(es, i), x, y))
             ),
         )
 
     def three(es, x, y):
-        return every(es, x["w"] + y["w"], lambda z, i: F.array(F.xxhash64(x["code"], y["code"], z["code"])))
+        return every(es, x["w"] + y["w"], lambda z, i: made(x, y, z))
 
     # the sums are looked up many times: bound once by a transform over one element
     return F.flatten(F.transform(F.array(summed), one))
 
 
 def _keys(sets: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(class_id, day, key) of what to join on.
+    """(class_id, day, title_w, body_w, key, title, body, least) of what to join on; see combinations().
 
     A score of at least `threshold` needs a Dice of at least that for titles or for bodies, or 0.1 less if a
-    number is shared, which then is part of the key. A Dice of t needs a shared weight of t / (2 - t) of the own one.
+    number is shared, which then is part of the key. A Dice of t needs a shared weight of t / (2 - t) of the own one. least is
+    what both Dice must sum up to.
     """
     if threshold <= NUMBER_BONUS:
         raise ValueError("a threshold of 0.1 or less would pair articles that share no word")
+    shared_most = F.aggregate("es", F.lit(0.0), lambda s, e: s + e["w"])
 
     def of(t: float) -> Column:
         share = t / (2 - t) - 1e-9
-        fields = ((F.filter("es", lambda e: e["in_title"]), "title_w"), (F.col("es"), "body_w"))
-        return F.flatten(F.array(*[combinations(es, F.col(w) * share, F.lit(n)) for es, w in fields]))
+        titles = combinations(F.filter("es", lambda e: e["in_title"]), F.col("title_w") * share, F.lit(n), "title", shared_most)
+        return F.concat(titles, combinations(F.col("es"), F.col("body_w") * share, F.lit(n), "body"))
 
-    numbered = F.flatten(F.transform("nums", lambda x: F.transform("with_number", lambda k: F.xxhash64(x, k))))
-    found = sets.withColumn(
-        "with_number", F.when(F.size("nums") > 0, of(threshold - NUMBER_BONUS)).otherwise(F.array().cast("array<long>"))
+    named = lambda key, k, t: F.struct(
+        key.alias("key"), k["title"].alias("title"), k["body"].alias("body"), F.lit(2 * t - 1e-9).cast("float").alias("least")
     )
-    keys = F.explode(F.array_distinct(F.concat(of(threshold), numbered))).alias("key")
+    low = threshold - NUMBER_BONUS
+    numbered = F.flatten(F.transform("nums", lambda x: F.transform("with_number", lambda k: named(F.xxhash64(x, k["key"]), k, low))))
+    plain = F.transform(of(threshold), lambda k: named(k["key"], k, threshold))
+    found = sets.withColumn("with_number", F.when(F.size("nums") > 0, of(low)).otherwise(F.array().cast("array<struct<key:long,title:float,body:float>>")))
+    keys = found.select("class_id", "day", "title_w", "body_w", F.explode(F.concat(plain, numbered)).alias("k"))
+    weights = [F.col(c).cast("float").alias(c) for c in ("title_w", "body_w")]
     # written once: they are read several times
-    return materialize(found.select("class_id", "day", keys), "keys")
+    return materialize(keys.select("class_id", "day", *weights, "k.*"), "keys")
 
 
 def _near(a: DataFrame, b: DataFrame | None, window_days: int | None, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct (a_id, b_id) that share a key and whose days, where both are known, lie within the window.
 
-    Without b the pairs of a, a_id < b_id. `by` names further columns that must be equal.
+    Pairs that can't reach their least sum by what they share at most are left out. Without b the pairs of a, a_id < b_id.
+    `by` names further columns that must be equal.
     """
     on = ["key", *by]
     own = b is None
-    a = a.select(F.col("class_id").alias("a_id"), F.col("day").alias("a_day"), *on)
-    b = a.withColumnsRenamed({"a_id": "b_id", "a_day": "b_day"}) if own else b.select(
-        F.col("class_id").alias("b_id"), F.col("day").alias("b_day"), *on
-    )
+    names = {"class_id": "id", "day": "day", "title_w": "title_w", "body_w": "body_w", "title": "title", "body": "body"}
+    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{name}") for c, name in names.items()], *on)
+    a, b = a.select(*[F.col(c).alias(f"a_{name}") for c, name in names.items()], "least", *on), side(a if own else b, "b")
+    dice = lambda f: F.when(
+        (F.col(f"a_{f}_w") > 0) & (F.col(f"b_{f}_w") > 0),
+        2.0 * F.least(f"a_{f}", f"b_{f}") / ((F.col(f"a_{f}_w") + F.col(f"b_{f}_w")) * (1 - 1e-6)),
+    ).otherwise(0.0)
+    reach = dice("title") + dice("body") >= F.col("least")
     least = F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")
     if window_days is None:
-        pairs = a.join(b, on)
+        pairs = a.join(b, on).where(reach)
         return pairs.where("a_id < b_id" if own else "true").select("a_id", "b_id").distinct()
     bucket = lambda c: F.floor(F.unix_date(c) / (window_days + 1)).cast("int")
     a_dated, b_dated = a.where("a_day is not null"), b.where("b_day is not null")
@@ -216,7 +237,7 @@ def _near(a: DataFrame, b: DataFrame | None, window_days: int | None, by: tuple[
     found.append(dayless.join(b, on).where("b_day is not null or a_id < b_id" if own else "true"))
     if not own:
         found.append(a_dated.join(b.where("b_day is null"), on))
-    ids = [x.select(*least) if own else x.select("a_id", "b_id") for x in found]
+    ids = [x.where(reach).select(*least) if own else x.where(reach).select("a_id", "b_id") for x in found]
     return reduce(DataFrame.union, ids).distinct()
 
 
