@@ -41,9 +41,19 @@ def cluster(
 
 
 def ranked(items: DataFrame, rank: list[Column], pos: str = "pos") -> DataFrame:
-    """Adds ord (1 for the primary) within each component: by rank, then by place in the input."""
-    order = Window.partitionBy("component").orderBy(*rank, pos)
-    return items.withColumn("ord", F.row_number().over(order))
+    """Adds ord (1 for the primary) within each component: by rank, then by place in the input.
+
+    Items are dealt by ranges of (component, rank, place), so that a crowded component is numbered in parts: an item's number
+    is its place within its part and the size of the parts before it.
+    """
+    columns = items.columns
+    dealt = items.repartitionByRange("component", *rank, pos).withColumn("part", F.spark_partition_id())
+    dealt = materialize(dealt, "ranked")
+    cells = dealt.groupBy("component", "part").agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("component").orderBy("part")
+    cells = cells.select("component", "part", (F.sum("n").over(along) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("component", "part").orderBy(*rank, pos))
+    return dealt.withColumn("place", place).join(cells, ["component", "part"]).select(*columns, (F.col("before") + F.col("place")).alias("ord"))
 
 
 def primaries(items: DataFrame, rank: list[Column], pos: str = "pos") -> DataFrame:
@@ -55,20 +65,8 @@ def primaries(items: DataFrame, rank: list[Column], pos: str = "pos") -> DataFra
 
 
 def also_reported(items: DataFrame, rank: list[Column], value: str, pos: str = "pos") -> DataFrame:
-    """(component, also): all that stands behind the primary, in order.
-
-    Items are dealt by ranges of (component, rank, place), so that a crowded component is sorted in parts, which are
-    then put one behind the other.
-    """
-    dealt = items.repartitionByRange("component", *rank, pos).withColumn("part", F.spark_partition_id())
-    parts = dealt.groupBy("component", "part").agg(
-        F.array_sort(F.collect_list(F.struct(F.struct(*rank, F.col(pos)).alias("place"), F.col(value).alias("value")))).alias("rows")
-    )
-    parts = parts.select("component", "part", F.col("rows.value").alias("values"))
-    behind = parts.groupBy("component").agg(
-        F.flatten(F.array_sort(F.collect_list(F.struct("part", "values")))["values"]).alias("all")
-    )
-    return behind.where(F.size("all") > 1).select("component", F.slice("all", F.lit(2), F.size("all") - 1).alias("also"))
+    """(component, ord, value): all that stands behind the primaries, one row each, numbered from 2."""
+    return ranked(items, rank, pos).where("ord > 1").select("component", "ord", value)
 
 
 def split_repeats(items: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:

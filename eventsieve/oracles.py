@@ -276,7 +276,7 @@ SQL: dict[str, str] = {
         SELECT component, size, id AS primary_id, source_rank, url FROM ranked WHERE ord = 1""",
     "also_reported": f"""
         WITH RECURSIVE {_components()}, {_RANKED}
-        SELECT component, string_agg(id, ',' ORDER BY ord) AS also FROM ranked WHERE ord > 1 GROUP BY component""",
+        SELECT component, ord, id FROM ranked WHERE ord > 1""",
     "already_published_best": f"""
         WITH {_ARTICLES}, {_published(_OLD, _FRESH)} SELECT id, old_id, round(score, 6) AS score FROM best""",
     "drop_repeats_fresh": f"""
@@ -364,6 +364,8 @@ SQL: dict[str, str] = {
         SELECT part, string_agg(line, ',') AS line FROM entries GROUP BY part, line
         UNION ALL SELECT 0, '{{"about":"About","rules":["Rule"],"directions":['
         UNION ALL SELECT 2, '],"pages":[' UNION ALL SELECT 4, ']}}'""",
+    "knowledge_counts": """
+        SELECT 'pages' AS kind, count(*) AS entries FROM pages UNION ALL SELECT 'directions', count(*) FROM part""",
     "click_files": r"""
         SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'email_click' WHEN 1 THEN 'whatsapp_click' ELSE 'download' END AS goal,
           CASE WHEN page_id % 5 = 2 THEN url || '.pdf' END AS file

@@ -152,8 +152,7 @@ def cluster_primary(spark, sf_dir):
 
 
 def also_reported(spark, sf_dir):
-    found = publish.also_reported(_clustered(spark, sf_dir), _rank(), "id")
-    return found.select("component", F.array_join("also", ",").alias("also"))
+    return publish.also_reported(_clustered(spark, sf_dir), _rank(), "id")
 
 
 def _split(spark, sf_dir):
@@ -175,7 +174,7 @@ def _repeats(spark, sf_dir):
 
 
 def drop_repeats_fresh(spark, sf_dir):
-    return _repeats(spark, sf_dir)[0].select("component", "id", "ord")
+    return _repeats(spark, sf_dir)[0].select("component", "id", F.col("ord").cast("int").alias("ord"))
 
 
 def drop_repeats_repeats(spark, sf_dir):
@@ -333,6 +332,10 @@ def knowledge_lines(spark, sf_dir):
     return lines.select("part", F.regexp_replace("line", "^,", "").alias("line"))
 
 
+def knowledge_counts(spark, sf_dir):
+    return knowledge.document_counts(table(spark, sf_dir, "pages"), _catalogue(spark, sf_dir))
+
+
 def utm_extract(spark, sf_dir):
     found = urls.utm(F.col("url"))
     return table(spark, sf_dir, "pages").select(
@@ -511,7 +514,7 @@ NAMES = (
     similar_pairs, similar_pairs_context, near_dup_components, cluster_primary, also_reported, already_published_best,
     drop_repeats_fresh, drop_repeats_repeats, exact_repeats, exact_repeats_links, issue_loop_shown, issue_loop_look_back,
     prompt_lines, verdict_parse, verdict_merge, cluster_audit, cluster_pair_quality, benchmark_overlap, page_fields, page_text,
-    page_faq, page_knowledge, page_urls, catalogue_urls, knowledge_lines, utm_extract, last_touch, first_referrer, click_goals,
+    page_faq, page_knowledge, page_urls, catalogue_urls, knowledge_lines, knowledge_counts, utm_extract, last_touch, first_referrer, click_goals,
     click_files, lead_validation, lead_records, lead_display_texts, sessions_ttl, capped_log, history_context, retry_dedup, error_rollup,
     delivery_status, session_ids, link_extract,
 )

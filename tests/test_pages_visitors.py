@@ -46,6 +46,7 @@ def test_knowledge_from_a_tree_of_pages(spark, tmp_path):
     lines = knowledge.knowledge_lines(records, listed, "About", ("Rule",))
     files.write_document(lines, str(tmp_path / "document"))
     document = json.loads("".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "document").glob("part-*"))))
+    assert {r.kind: r.entries for r in knowledge.document_counts(records, listed).collect()} == {"pages": 2, "directions": 2}
     nothing = knowledge.knowledge_lines(records.limit(0), listed.limit(0), "A", ()).orderBy("part", "key").collect()
     assert json.loads("".join(r.line for r in nothing)) == {"about": "A", "rules": [], "directions": [], "pages": []}
     twice = knowledge.knowledge_lines(records.union(records), listed, "A", ()).orderBy("part", "key").collect()
@@ -83,6 +84,22 @@ def test_attribution(spark):
     assert [r.first_referrer for r in found] == [None, "ref1", "ref1", "ref1", None]
 
 
+def test_files_and_shown_texts(spark):
+    from eventsieve.functions import urls
+
+    links = [("a.PDF?x=1",), ("mailto:a@b.c/x.pdf",), ("https://wa.me/1",), ("x.html",), (None,)]
+    table = spark.createDataFrame(links, "href string")
+    found = table.select(urls.click_goal(F.col("href")), urls.click_file(F.col("href"))).collect()
+    assert [tuple(r) for r in found] == [("download", "a.PDF?x=1"), ("email_click", None), ("whatsapp_click", None), (None, None), (None, None)]
+    rows = [({"topic": "t1", "name": " Ann "}, {"topic": " Fish and more "}), ({"topic": "t2", "name": ""}, {"topic": ""}), ({"topic": "t3"}, None)]
+    leads = spark.createDataFrame(rows, "fields map<string,string>, texts map<string,string>").withColumns(
+        {"form": F.lit("f"), "page": F.lit("p"), "lang": F.lit("en"), "ref": F.lit(""), "utm": F.create_map().cast("map<string,string>")}
+    )
+    out = visitors.lead_records(leads, "fields", {"topic": "Topic"}, "form", "page", "lang", "ref", "utm", texts="texts").collect()
+    assert [r.raw["topic"] for r in out] == ["t1", "t2", "t3"]
+    assert [r.display.get("Topic") for r in out] == ["Fish and more", None, "t3"] and out[0].display["name"] == "Ann"
+
+
 def test_leads(spark):
     rows = [
         (1, " Ann ", "a@b.co", True, ""), (2, " ", "bad", True, ""), (3, "Bob", "", False, "x"), (4, "Eve", "e@e.org", True, "bot"), (5, None, None, None, None),

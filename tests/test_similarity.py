@@ -132,7 +132,7 @@ def test_reprints_make_one_card_and_stages_stay_apart(spark):
     primary = publish.primaries(found.withColumn("rank", source_rank(F.col("url"))), [F.col("rank")])
     assert {(r.id, r["size"]) for r in primary.collect()} == {(1, 2), (2, 1), (3, 1)}
     also = publish.also_reported(found.withColumn("rank", source_rank(F.col("url"))), [F.col("rank")], "url").collect()
-    assert [r.also for r in also] == [["https://www.msn.com/a"]]
+    assert [(r.ord, r.url) for r in also] == [(2, "https://www.msn.com/a")]
 
 
 def test_also_reported_keeps_all_of_a_crowded_component(spark):
@@ -143,7 +143,7 @@ def test_also_reported_keeps_all_of_a_crowded_component(spark):
     expected = {}
     for pos, component, *_ in sorted(rows, key=lambda r: (r[2], r[3] is not None, r[3] or 0, r[0])):
         expected.setdefault(component, []).append(pos * 2)
-    expected = {c: ids[1:] for c, ids in expected.items() if len(ids) > 1}
+    expected = {(c, n, i) for c, ids in expected.items() for n, i in enumerate(ids, 1) if n > 1}
     # whether the ranges are joined again or not
     for joined in ("true", "false"):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", joined)
@@ -151,7 +151,7 @@ def test_also_reported_keeps_all_of_a_crowded_component(spark):
             found = publish.also_reported(items, [F.col("rank"), F.col("other")], "id").collect()
         finally:
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-        assert len(found) == len(expected) and {r.component: r.also for r in found} == expected
+        assert len(found) == len(expected) and {(r.component, r.ord, r.id) for r in found} == expected
 
 
 def test_same_statistic_a_month_apart_is_no_repeat(spark):
@@ -164,6 +164,39 @@ def test_same_statistic_a_month_apart_is_no_repeat(spark):
     assert publish.published_matches(prints.where("id = 1"), old, window_days=40).count() == 1
 
 
+def test_pair_quality_and_repeats_by_link(spark):
+    rows = [(0, 1, "a"), (1, 1, "a"), (2, 1, "b"), (3, 2, "b"), (4, 2, None), (5, 3, "a")]
+    found = publish.pair_quality(spark.createDataFrame(rows, "id long, component long, label string"), F.col("label")).first()
+    assert tuple(found) == (3, 4, 1, 1 / 3, 1 / 4)
+    none = publish.pair_quality(spark.createDataFrame([], "id long, component long, label string"), F.col("label")).first()
+    assert tuple(none) == (0, 0, 0, None, None)
+    shape = "id long, text string, link string"
+    old = spark.createDataFrame([(90, "old", "l9"), (91, None, None)], shape)
+    items = spark.createDataFrame(
+        [(1, "x", "l1"), (2, "x", "l2"), (3, "y", "l1"), (4, "old", None), (5, "z", "l9"), (6, None, None), (7, None, "l2"), (8, "old", "l1")], shape
+    )
+    repeats = lambda *more: {r.id: r.first_id for r in publish.exact_repeats(items, "id", "text", *more).collect()}
+    assert repeats() == {2: 1, 8: 4}
+    assert repeats("link") == {2: 1, 3: 1, 7: 2, 8: 1}
+    assert repeats("link", old) == {2: 1, 3: 1, 4: 90, 5: 90, 7: 2, 8: 90}
+
+
+def test_look_back_leaves_old_history_out(spark):
+    a = item(0, "Exports soar to record high of $9.11B in August", "Outbound shipments hit $9.11B.", "2026-09-01")
+    b = item(1, "PH exports hit 35-year high at $9.11B", "Outbound shipments reach $9.11B.", "2026-09-08")
+    _, prints = prepared(spark, [a, b])
+    items = prints.withColumn("pos", F.col("id")).withColumn("issue", F.col("id"))
+    shown = lambda days: {r.id for r in publish.publish_issues(items, "issue", [F.col("pos")], days).collect()}
+    assert shown(None) == shown(7) == {0} and shown(6) == {0, 1}
+
+
+def test_prompt_lines(spark):
+    rows = [(1, "Title", " ".join(f"w{i}" for i in range(50)), datetime.date(2026, 9, 1)), (2, None, None, None)]
+    heads = spark.createDataFrame(rows, "n int, title string, extract string, day date")
+    found = [r.line for r in publish.prompt_lines(heads, "n", "title", "extract", "day").orderBy("n").collect()]
+    assert found == [f"1. [2026-09-01] Title :: {' '.join(f'w{i}' for i in range(40))}", "2. [no date]  :: "]
+
+
 def test_verdicts(spark):
     answers = [
         "not json", '{"groups": "x"}', '{"groups": [["a", 99]]}', 'so: {"groups": [[2, 1, "2"], [3]]} end', None,
