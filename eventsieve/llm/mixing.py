@@ -1,11 +1,14 @@
 """Mixing sources to target weights by systematic sampling.
 
-Every document of a source expects target / source_size copies. Within its
-source the documents stand in order of size; their expected copies are summed
-up along that order, one random offset is added, and a document is emitted
-once for each integer that its step crosses. As neighbours have about the same
-size, the words taken differ from the target by less than the source's longest
-document.
+Within its source the documents stand in order of size, the longest first. What a
+document is expected to give is an even share: the words still to take for each word still to
+come. These expected copies are summed up along the order, one random offset is added, and a
+document is emitted once for each integer that its step crosses. As long
+documents come first, what their whole copies take too much or too little is shared out
+over all that follow, so the words taken stay near the target in sources of a few dozen documents,
+too. Only the documents that hold more than 1 / LONG of their source's words can be that
+uneven; they are fewer than LONG, and their steps are worked out one by one. All others of a source
+have the same step.
 
 The sum along the order runs without gathering a source in one task: rows are
 dealt by ranges of (source, size, id), counted by range and source, and a row's place is
@@ -23,6 +26,8 @@ from eventsieve.plans.tables import materialize
 MOST_COPIES = 3.0
 #: Offsets are multiples of 1 / GRAINS, a power of two, so that whole steps stay whole.
 GRAINS = 1 << 20
+#: Documents with more than 1 / LONG of their source's words are sampled one by one.
+LONG = 64
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -86,6 +91,31 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most: float = MOST_COP
     )
 
 
+def _long_copies(long: DataFrame, most: float, offset) -> DataFrame:
+    """(source, copies, steps, rest): the copies of each source's longest documents, the sum of their steps, and the step of all others.
+
+    long has (source, at, size, source_size, target, offset), fewer than LONG rows a source.
+    """
+    state = F.struct(
+        F.lit(0.0).alias("steps"), F.col("target").alias("left"), F.col("source_size").cast("double").alias("words"),
+        F.array().cast("array<int>").alias("copies"),
+    )
+    share = lambda left, words: F.least(F.greatest(left / words, F.lit(0.0)), F.lit(most))
+
+    def take(s, doc):
+        steps = s["steps"] + share(s["left"], s["words"])
+        copies = (F.floor(steps + offset) - F.floor(s["steps"] + offset)).cast("int")
+        return F.struct(
+            steps.alias("steps"), (s["left"] - doc["size"] * copies).alias("left"), (s["words"] - doc["size"]).alias("words"),
+            F.concat(s["copies"], F.array(copies)).alias("copies"),
+        )
+
+    grouped = long.groupBy("source", "source_size", "target").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("docs"))
+    taken = grouped.select("source", "source_size", "target", F.aggregate("docs", state, take).alias("s"))
+    rest = F.when(F.col("s.words") > 0, share(F.col("s.left"), F.col("s.words"))).otherwise(share(F.col("target"), F.col("source_size")))
+    return taken.select("source", "s.copies", "s.steps", rest.alias("rest"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -99,7 +129,7 @@ def mix(
 
     size counts the words of the whole text, 0 for null; taken is size times
     copies; mark is a hash of the text. Null sources are one source of their own.
-    Rows of equal source, id and text are interchangeable, so reruns agree. A source without words has
+    Ties in size are ordered by id, then by mark. Rows of equal source, id and text are interchangeable, so reruns agree. A source without words has
     target 0 and no copies; an empty table gives an empty result; further
     columns are ignored.
     """
@@ -109,7 +139,7 @@ def mix(
         docs[source_col].alias("source"),
         F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("id"), F.col("mark")]
+    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("id"), F.col("mark")]
     # written first: dealing by range reads its input twice, once to find the bounds
     sized = materialize(sized, "sizes")
     dealt = materialize(
@@ -124,18 +154,23 @@ def mix(
     known = cells.join(
         shares.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))
     ).drop("name")
-    place = F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "id", "mark"))
+    place = F.row_number().over(Window.partitionBy("part", "source").orderBy(F.col("size").desc(), "id", "mark"))
     placed = dealt.withColumn("place", place).alias("d").join(
         known.alias("k"),
         (F.col("d.part") == F.col("k.part")) & F.col("d.source").eqNullSafe(F.col("k.source")),
     )
-    step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    placed = placed.select(
-        "d.id", "mark", "d.source", "size", "source_size", "target", step.alias("step"), (F.col("before") + F.col("place")).alias("at")
+    placed = materialize(
+        placed.select("d.id", "mark", "d.source", "size", "source_size", "target", (F.col("before") + F.col("place")).alias("at")), "mix"
     )
     offset = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(GRAINS)) / F.lit(float(GRAINS))
-    crossed = lambda at: F.floor(at * F.col("step") + offset)
-    taken = (crossed(F.col("at")) - crossed(F.col("at") - 1)).cast("int")
+    long = _long_copies(placed.where(F.col("size") * LONG > F.col("source_size")), most, offset)
+    placed = placed.join(long.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")), "left")
+    first = F.coalesce(F.size("copies"), F.lit(0))
+    even = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    crossed = lambda at: F.floor(F.coalesce("steps", F.lit(0.0)) + (at - first) * F.coalesce("rest", even) + offset)
+    taken = F.when(F.col("at") <= first, F.get("copies", (F.col("at") - 1).cast("int"))).otherwise(
+        (crossed(F.col("at")) - crossed(F.col("at") - 1)).cast("int")
+    )
     return placed.select(
         F.col("id").alias(id_col),
         "mark",

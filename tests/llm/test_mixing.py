@@ -25,17 +25,23 @@ def brute_targets(sizes):
             left -= full[s]
 
 
-def brute_copies(spark, rows, found, seed=42):
-    """{id: copies}: prefix sums of the expected copies along the sizes of a source, with its one offset."""
+def brute_copies(spark, rows, found, seed=42, most=3.0, long=64):
+    """{id: copies}: prefix sums of the expected copies along the sizes of a source, longest first, with its one offset."""
     target = {r.source: (r.target, r.source_size) for r in found}
     words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
     out = {}
     for source, (goal, size) in target.items():
         offset = spark.range(1).select(F.pmod(F.xxhash64(F.lit(seed), F.lit(source).cast("string")), F.lit(1 << 20))).first()[0] / (1 << 20)
-        step = goal / size if size else 0.0
-        own = sorted((i for i, _, s in rows if s == source), key=lambda i: (words[i], i is not None, i or 0))
-        for at, i in enumerate(own, 1):
-            out[i] = math.floor(at * step + offset) - math.floor((at - 1) * step + offset)
+        own = sorted((i for i, _, s in rows if s == source), key=lambda i: (-words[i], i is not None, i or 0))
+        big = [i for i in own if words[i] * long > size]
+        steps, left, rest = 0.0, goal, float(size)
+        for i in big:
+            after = steps + min(max(left / rest, 0.0), most)
+            out[i] = math.floor(after + offset) - math.floor(steps + offset)
+            steps, left, rest = after, left - words[i] * out[i], rest - words[i]
+        step = min(max(left / rest, 0.0), most) if rest > 0 and big else min(goal / size, most) if size else 0.0
+        for at, i in enumerate(own[len(big) :], 1):
+            out[i] = math.floor(steps + at * step + offset) - math.floor(steps + (at - 1) * step + offset)
     return out
 
 
@@ -62,6 +68,18 @@ def check(spark, rows):
     return found
 
 
+def test_small_sources_with_long_documents_stay_near_their_target(spark, prose):
+    rows, n = [], 0
+    for source, lengths in (("a", [900, 300, *range(5, 45)]), ("b", [200] * 3 + [20] * 12), ("c", [400, *range(1, 60)]), ("d", list(range(10, 90)))):
+        for words in lengths:
+            rows.append((n, prose(words, n), source))
+            n += 1
+    found = check(spark, rows)
+    for source, shortest in (("a", 45), ("b", 20), ("c", 59), ("d", 90)):
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= shortest
+
+
 def test_targets_and_words_taken(spark, prose):
     rows, n = [], 0
     for source, count, words in (("a", 120, 9), ("b", 30, 40), ("é", 3, 2), (None, 50, 15), ("Z", 200, 30)):
