@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,15 +33,43 @@ def fold(text: Column, nfkc: bool = True) -> Column:
     return F.translate(F.lower(text), QUOTES, PLAIN_QUOTES)
 
 
+def _openings(pattern: str) -> list[str]:
+    """Plain text that each alternative of a pattern begins with, so that a text without any of them has no match; empty if unknown."""
+    found = []
+    for part in re.sub(r"\([^()]*\)", "()", pattern).split("|"):
+        opening = re.match(r"(?:\\b)?([a-z0-9 ]*)([?*{]?)", part)
+        plain = opening[1][:-1] if opening[2] else opening[1]
+        if not plain:
+            return []
+        found.append(plain)
+    return found
+
+
 def with_phrases(folded: Column, lexicon: Lexicon = DEFAULT) -> Column:
-    """The lexicon's rewrites, one after the other, each over the whole text."""
-    for pattern, replacement in lexicon.phrases:
+    """The lexicon's rewrites, one after the other, each over the whole text.
+
+    Plain text is replaced as such, and a pattern is only run over texts that hold what one of its alternatives begins with.
+    """
+
+    def rewritten(pattern: str, replacement: str):
+        if re.fullmatch(r"[\w ]+", pattern) and not re.search(r"[$\\]", replacement):
+            return lambda t: F.replace(t, F.lit(pattern), F.lit(replacement))
+        openings = _openings(pattern)
         if pattern.startswith(r"\b") and pattern.endswith(r"\b"):
             # one boundary test for all words instead of one for each
             pattern = rf"\b(?:{pattern[2:-2].replace(r'\b|\b', '|')})\b"
         wide = "(?U)" if re.search(r"\\[bsw]", pattern) else ""
-        folded = F.regexp_replace(folded, wide + pattern, replacement)
-    return folded
+        replaced = lambda t: F.regexp_replace(t, wide + pattern, replacement)
+        if not openings:
+            return replaced
+        held = lambda t: reduce(Column.__or__, [F.contains(t, F.lit(o)) for o in openings])
+        return lambda t: F.when(held(t), replaced(t)).otherwise(t)
+
+    # one element, so that each step's text is worked out once
+    texts = F.array(folded)
+    for pattern, replacement in lexicon.phrases:
+        texts = F.transform(texts, rewritten(pattern, replacement))
+    return texts[0]
 
 
 def stem(word: Column, lexicon: Lexicon = DEFAULT) -> Column:

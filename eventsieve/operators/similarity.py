@@ -111,7 +111,7 @@ def weighted(grouped: DataFrame, counts: DataFrame, columns: dict[str, Callable[
     ]
     listed = told.groupBy("class_id").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), entry))),
+            F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), entry))),
             lambda e: F.struct(*[e[c].alias(c) for c in ("w", "held", "code", "in_title")]),
         ).alias("es"),
         *sums,

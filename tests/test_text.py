@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventsieve.functions import text, urls
-from eventsieve.functions.lexicon import Lexicon
+from eventsieve.functions.lexicon import DEFAULT, Lexicon
 
 
 def values(spark, function, inputs, **options):
@@ -30,6 +30,22 @@ def test_words_traps(spark):
     assert values(spark, text.words, ["rice imports"], lexicon=own) == [["imports"]]
 
 
+def test_phrases_match_plain_rewrites(spark):
+    texts = [
+        "free - trade deals and free trade", "Tonnes of record-high shipments", "metric ton, metric tonnes", "us department of agriculture",
+        "he hikes; a hiker surges, cutback cuts slashed", "35-year high all time high highest", "bangko sentral ng pilipinas", "", "rise é hike",
+        "european unions of the european union european union",
+    ]
+    own = Lexicon(phrases=(("ab?c|d", "<$0>"), ("plain", "[$0]"), (r"(x|y)z", ""), (r"q[r|s]t", "u"), (r"\bone\b|\btwos?\b", "n")))
+    odd = ["ac abc d", "plain", "xz yz z", "qrt qst q|t", "one twos ones two"]
+    for lexicon, given in ((DEFAULT, texts), (own, odd)):
+        chain = F.col("t")
+        for pattern, replacement in lexicon.phrases:
+            chain = F.regexp_replace(chain, ("(?U)" if "\\" in pattern else "") + pattern, replacement)
+        rows = spark.createDataFrame([(t.lower(),) for t in given], "t string").select(chain.alias("plain"), text.with_phrases(F.col("t"), lexicon).alias("got"))
+        assert [r.got for r in rows.collect()] == [r.plain for r in rows.collect()]
+
+
 def test_queries_fold_compatibility_forms(spark, tmp_path):
     from eventsieve import queries
 
