@@ -123,8 +123,9 @@ def anchors(text: Column, nfkc: bool = True) -> Column:
 
 def lead(text: Column, count: int) -> Column:
     """The first words of a text, split at white space and joined by single spaces."""
-    # splitting stops after the words asked for; leading white space leaves one empty part
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", count + 2), lambda p: p != "")
+    # the start is read first, so that long texts are neither split nor copied
+    start = F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?U)^\s*+(?:\S++\s++){{0,{max(count - 1, 0)}}}+\S*+", 0)
+    parts = F.filter(F.split(start, r"(?U)\s+"), lambda p: p != "")
     return F.array_join(F.slice(parts, 1, count), " ")
 
 
