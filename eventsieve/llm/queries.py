@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsieve.llm import contamination, kneserney, language, licences, mixing, quality, secretscan, simhash, topk, urlrules
+from eventsieve.llm import contamination, kneserney, language, licences, linededup, mixing, quality, secretscan, simhash, topk, urlrules
 from eventsieve.llm.text import training_rows
 from eventsieve.plans.tables import table
 
@@ -125,9 +125,34 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.without_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+    WITH lines AS (
+      SELECT row, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
+      FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+    keyed AS (
+      SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM lines),
+    frequent AS (
+      SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+      GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+    judged AS (
+      SELECT k.*, keeper IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS dropped
+      FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+    FROM judged GROUP BY row, doc_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op5_kneserney, op6_licences, op7_urlrules, op8_simhash, op9_topk, op10_secrets)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op5_kneserney, op6_licences, op7_urlrules, op8_simhash, op9_topk, op10_secrets, op11_linededup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urlrules": OP7_SQL, "op9_topk": OP9_SQL}
+    return {"op7_urlrules": OP7_SQL, "op9_topk": OP9_SQL, "op11_linededup": OP11_SQL}
