@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsieve.llm import contamination, kneserney, language, licences, linededup, mixing, quality, secretscan, simhash, topk, urlrules
+from eventsieve.llm import contamination, kneserney, language, licences, linededup, mixing, quality, secretscan, simhash, topk, urlrules, vectorcodes
 from eventsieve.llm.text import training_rows
 from eventsieve.plans.tables import table
 
@@ -150,9 +150,62 @@ OP11_SQL = r"""
 """
 
 
+def op12_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return vectorcodes.with_label_error(coded).select(
+        F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(vectorcodes.digest(books)).alias("codebooks_sha256")
+    )
+
+
+def op12_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """The rounds one after the other, each as tables of what is nearest and of the next entries."""
+    steps = [
+        f"""kept AS (
+          SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n, vec_id, label, [floor({scale} * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x::DOUBLE)]) = 0),
+        cut AS MATERIALIZED (
+          SELECT n, vec_id, label, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x
+          FROM kept, (SELECT unnest(range({parts})) AS p)),
+        book0 AS MATERIALIZED (SELECT p, n - 1 AS e, x AS c FROM cut WHERE n <= {entries})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""near{i} AS MATERIALIZED (
+          SELECT p, n, min([far, e]) AS best
+          FROM (SELECT cut.p, n, e, list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])::BIGINT AS far
+            FROM cut JOIN book{i} AS b ON cut.p = b.p)
+          GROUP BY p, n)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""mean{i} AS (
+          SELECT p, e, list(m ORDER BY k) AS c
+          FROM (SELECT p, e, k, ((sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+            FROM (SELECT cut.p, best[2] AS e, unnest(x) AS y, unnest(range(len(x))) AS k
+              FROM cut JOIN near{i} AS near ON cut.p = near.p AND cut.n = near.n)
+            GROUP BY p, e, k)
+          GROUP BY p, e),
+        book{i + 1} AS MATERIALIZED (
+          SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{i} AS b LEFT JOIN mean{i} AS m ON b.p = m.p AND b.e = m.e)"""
+            )
+    return f"""
+        WITH {", ".join(steps)},
+        coded AS (
+          SELECT n, string_agg(format('{{:02x}}', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error
+          FROM near{rounds} GROUP BY n),
+        told AS (
+          SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, k)) AS digest
+          FROM (SELECT p, e, unnest(c) AS c, unnest(range(len(c))) AS k FROM book{rounds}))
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256
+        FROM kept JOIN coded USING (n), told
+    """
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op5_kneserney, op6_licences, op7_urlrules, op8_simhash, op9_topk, op10_secrets, op11_linededup)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op5_kneserney, op6_licences, op7_urlrules, op8_simhash, op9_topk, op10_secrets, op11_linededup, op12_vectorcodes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urlrules": OP7_SQL, "op9_topk": OP9_SQL, "op11_linededup": OP11_SQL}
+    return {"op7_urlrules": OP7_SQL, "op9_topk": OP9_SQL, "op11_linededup": OP11_SQL, "op12_vectorcodes": op12_sql()}

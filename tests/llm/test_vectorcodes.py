@@ -1,0 +1,98 @@
+import hashlib
+import random
+
+import duckdb
+import numpy as np
+import pytest
+
+from eventsieve.llm import queries, vectorcodes
+
+
+def plain(vectors, parts=4, entries=256, rounds=4):
+    """Codes and errors in plain Python: vectors are (id, list of integers), in order of id."""
+    step = len(vectors[0][1]) // parts
+    cut = lambda v, p: v[p * step : (p + 1) * step]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    books = [[cut(v, p) for _, v in vectors[:entries]] for p in range(parts)]
+    pick = lambda v, p: min(range(len(books[p])), key=lambda e: (far(cut(v, p), books[p][e]), e))
+    for _ in range(rounds):
+        chosen = [[pick(v, p) for _, v in vectors] for p in range(parts)]
+        for p in range(parts):
+            for e in range(len(books[p])):
+                mine = [cut(v, p) for (_, v), c in zip(vectors, chosen[p]) if c == e]
+                if mine:
+                    books[p][e] = [sum(x) // len(mine) for x in zip(*mine)]
+    codes = {i: [pick(v, p) for p in range(parts)] for i, v in vectors}
+    return codes, {i: sum(far(cut(v, p), books[p][codes[i][p]]) for p in range(parts)) for i, v in vectors}, books
+
+
+def told(coded):
+    return {r.id: list(r.codes) for r in coded.collect()}, {r.id: r.error for r in coded.collect()}
+
+
+@pytest.mark.parametrize("bits", [None, 1, 3, 7, 11])
+def test_limb_products_are_exact(bits):
+    draw = np.random.default_rng(2)
+    for reach in (1, 5, 1 << 10, 1 << 24):
+        a, b = draw.integers(-reach, reach + 1, (40, 16)), draw.integers(-reach, reach + 1, (9, 16))
+        assert (vectorcodes.products(a, b, bits) == a.astype(object) @ b.T.astype(object)).all()
+    edge = np.array([[-(1 << 24)] * 16, [1 << 24] * 16])
+    assert (vectorcodes.products(edge, edge, bits) == edge.astype(object) @ edge.T.astype(object)).all()
+    for values in (a, edge, np.zeros((0, 16), dtype=np.int64)):
+        assert (sum(x.astype(np.int64) << (5 * i) for i, x in enumerate(vectorcodes.limbs(values, 5))) == values).all()
+
+
+def test_limbs_stay_below_the_exact_range():
+    a = np.full((1, 16), (1 << 24) - 1)
+    found = vectorcodes.limbs(a, (53 - (16).bit_length()) // 2)
+    assert max(np.abs(x).max() for x in found) ** 2 * 16 <= 2**53
+
+
+@pytest.mark.parametrize(("count", "entries", "reach"), [(200, 16, 3), (90, 256, 1000), (300, 8, 40000)])
+def test_plain_version(spark, count, entries, reach):
+    draw = random.Random(count)
+    vectors = [(i, [draw.randint(-reach, reach) for _ in range(8)]) for i in range(count)]
+    table = spark.createDataFrame([(i, [x / 1024 for x in v], i % 3) for i, v in vectors], "vec_id long, embedding array<double>, label int")
+    coded, books = vectorcodes.compressed(table.repartition(5), entries=entries)
+    codes, errors, expected = plain(vectors, entries=entries)
+    assert told(coded) == (codes, errors)
+    assert books.tolist() == expected
+    assert vectorcodes.digest(books) == hashlib.sha256(",".join(str(x) for p in expected for e in p for x in e).encode()).hexdigest()
+
+
+def test_nulls_ties_repeats_and_odd_lengths(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, [0.5, 0.25], None, 0), (1, [0.5, 0.25], None, 0), (None, [0.5, 0.25], 1, 0), (2, None, 1, 0), (3, [None, 1.0], 1, 0), (4, [nan, 1.0], 1, 0),
+        (5, [inf, 1.0], 1, 0), (6, [1e30, -1e30], 1, 0), (7, [], 2, 0), (8, [0.1, 0.2, 0.3, 0.4, 0.5], 2, 0),
+    ]
+    for name in ("sum_label",):
+        table = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label int, {name} int")
+        out = vectorcodes.with_label_error(vectorcodes.compressed(table)[0]).collect()
+        assert sorted((r.id or 0) for r in out) == [0, 1, 1, 6, 7, 8]
+        assert all(len(r.codes) == 4 for r in out)
+        # equal rows share the first entry; with as many entries as rows nothing is lost
+        assert len({tuple(r.codes) for r in out if r.id in (None, 1)}) == 1 and {r.error for r in out} == {0} == {r.label_error for r in out}
+    coarse = vectorcodes.with_label_error(vectorcodes.compressed(table, entries=1)[0]).collect()
+    for label in (None, 1, 2):
+        assert {r.label_error for r in coarse if r.label == label} == {sum(r.error for r in coarse if r.label == label)}
+    none, books = vectorcodes.compressed(table.where("false"))
+    assert none.count() == 0 and books.shape[1] == 0
+    assert vectorcodes.with_label_error(none).count() == 0
+
+
+def test_far_components_stay_within_64_bits(spark):
+    far = 1e300
+    rows = [(i, [far if i % 2 else -far] * 8, 0) for i in range(6)]
+    out = vectorcodes.with_label_error(vectorcodes.compressed(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), entries=1)[0])
+    reach = vectorcodes._reach(8)
+    # the entry is the floored mean of as many rows on either side
+    assert {(r.error, r.label_error) for r in out.collect()} == {(8 * reach * reach, (1 << 63) - 1)}
+
+
+def test_query_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    mine = queries.op12_vectorcodes(spark, sf)
+    assert {tuple(r) for r in mine.collect()} == set(con.execute(queries.op12_sql()).fetchall())
