@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsieve.llm import contamination, kneserney, language, licences, linededup, mixing, quality, secretscan, simhash, topk, urlrules, vectorcodes
+from eventsieve.llm import contamination, importance, kneserney, language, licences, linededup, mixing, quality, secretscan, simhash, topk, urlrules, vectorcodes
 from eventsieve.llm.text import training_rows
 from eventsieve.plans.tables import table
 
@@ -203,9 +203,60 @@ def op12_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1
     """
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 of every different word and pair is worked out byte by byte from a table of 256 entries, made by its rule.
+OP13_SQL = r"""
+    WITH RECURSIVE bits(b, c, n) AS (
+      SELECT b, b, 0 FROM (SELECT unnest(range(256)) AS b)
+      UNION ALL
+      SELECT b, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n + 1 FROM bits WHERE n < 8),
+    crc AS (SELECT list(c ORDER BY b) AS steps FROM bits WHERE n = 8),
+    texts AS (
+      SELECT 'd' AS side, row_number() OVER () AS row, doc_id, text FROM documents
+      UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+    read AS MATERIALIZED (
+      SELECT side, row, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM texts),
+    features AS MATERIALIZED (
+      SELECT side, row, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS f FROM read),
+    different AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)),
+    hashed AS MATERIALIZED (
+      SELECT f, xor(4294967295, list_reduce(
+          [4294967295] || [('0x' || substr(h, i, 2))::BIGINT FOR i IN range(1, len(h), 2)],
+          lambda c, x: xor(c >> 8, steps[xor(c & 255, x) + 1]))) % 10000 AS bucket
+      FROM different, crc),
+    counted AS (
+      SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t
+      FROM features JOIN hashed USING (f) GROUP BY bucket),
+    gained AS (
+      SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+        / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM counted),
+    weights AS (
+      SELECT row, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+      FROM features JOIN hashed USING (f) JOIN gained USING (bucket) WHERE side = 'd' GROUP BY row),
+    scored AS (
+      SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+          / 4294967296)))::BIGINT AS score, len(w) >= 20 AS able
+      FROM read LEFT JOIN weights USING (row) WHERE side = 'd'),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place,
+        count(*) FILTER (WHERE able) OVER () AS n
+      FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op5_kneserney, op6_licences, op7_urlrules, op8_simhash, op9_topk, op10_secrets, op11_linededup, op12_vectorcodes)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_decontamination, op4_language, op5_kneserney, op6_licences, op7_urlrules, op8_simhash, op9_topk, op10_secrets, op11_linededup, op12_vectorcodes, op13_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_urlrules": OP7_SQL, "op9_topk": OP9_SQL, "op11_linededup": OP11_SQL, "op12_vectorcodes": op12_sql()}
+    return {"op7_urlrules": OP7_SQL, "op9_topk": OP9_SQL, "op11_linededup": OP11_SQL, "op12_vectorcodes": op12_sql(), "op13_importance": OP13_SQL}
