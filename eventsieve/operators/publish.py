@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventsieve.functions.text import lead
 from eventsieve.operators import similarity
 from eventsieve.operators.components import connected_components
+from eventsieve.operators.spanning import linked_classes
 from eventsieve.plans.tables import materialize
 
 
@@ -25,8 +26,7 @@ def cluster(
     without any word stay alone. context only adds to the word counts.
     """
     grouped = materialize(similarity.classes(prints), "classes")
-    edges = similarity.similar_classes(grouped, window_days, threshold, context)
-    reached = connected_components(edges, "a_id", "b_id")
+    reached = linked_classes(grouped, window_days, threshold, context)
     named = materialize(
         grouped.join(reached, F.col("class_id") == F.col("node"), "left").select(
             "title", "body", "nums", "day", "class_id", "component"

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,61 +123,75 @@ def weighted(grouped: DataFrame, counts: DataFrame, columns: dict[str, Callable[
     )
 
 
-def combinations(entries: Column, need: Column, n: Column, kind: str, body_most: Column | None = None) -> Column:
-    """array<struct<key, title, body>>: hashes of the words, pairs and triples by which an article meets all that share `need` of
-    its weight with it; and what weight of title and body can be shared at most, if these are the first words that are.
+#: Words that a smaller share of the articles hold are heavy ones.
+HEAVY_SHARE = 1 / 64
+HEAVY = 1 - log(HEAVY_SHARE)
+#: What a key row knows of its article; see _combinations().
+KEY = "struct<key:long,title:float,body:float,got_t:float,got:float,last:float,bits:long,after:int,after_t:int>"
+ENTRY = "struct<w:double,t:double,held:long,code:string,left:double,left_t:double,bits:long,after:int,after_t:int>"
+_BIT = "shiftleft(1L, pmod(hash(e.code), 64))"
+
+
+def _sketch(entries: str) -> str:
+    """SQL of struct<top, heavy, n_heavy, light, n_light>: the heaviest weight, bitmaps and numbers of the heavy words and of the others."""
+    parts = {"heavy": f"filter({entries}, e -> e.w >= {HEAVY})", "light": f"filter({entries}, e -> e.w < {HEAVY})"}
+    both = [f"'{name}', aggregate({es}, 0L, (s, e) -> s | {_BIT}), 'n_{name}', size({es})" for name, es in parts.items()]
+    return f"named_struct('top', float(coalesce(get({entries}, 0).w * (1 + 1e-6D), 0D)), {', '.join(both)})"
+
+
+def _ladder(entries: str) -> str:
+    """SQL of array<ENTRY>: each word with the weight from it on, in all and in the title, and bitmap and numbers of the words after it."""
+    row = (
+        "named_struct('w', e.w, 't', if(e.in_title, e.w, 0D), 'held', e.held, 'code', e.code, 'left', s.left + e.w,"
+        " 'left_t', s.left_t + if(e.in_title, e.w, 0D), 'bits', s.bits, 'after', s.after, 'after_t', s.after_t)"
+    )
+    return f"""aggregate(reverse({entries}),
+        named_struct('left', 0D, 'left_t', 0D, 'bits', 0L, 'after', 0, 'after_t', 0, 'out', cast(array() as array<{ENTRY}>)),
+        (s, e) -> named_struct('left', s.left + e.w, 'left_t', s.left_t + if(e.in_title, e.w, 0D), 'bits', s.bits | {_BIT},
+            'after', s.after + 1, 'after_t', s.after_t + int(e.in_title), 'out', concat(array({row}), s.out)),
+        s -> s.out)"""
+
+
+def _combinations(entries: str, need: str, n: int, kind: str, body_most: str | None = None) -> str:
+    """SQL of array<KEY>: hashes of the words, pairs and triples by which an article meets all that share `need` of
+    its weight with it; and what bounds the weight that is shared, if these are the first words that are.
 
     entries are heaviest first. Two articles whose shared words weigh enough for both meet on the first of these words, if
     few classes hold it; else on the first two, if few are to be expected to hold both; else on the first three. Where
     fewer are shared, they meet on all of them. Words are left out that come so late that what follows weighs too little.
+    title and body are the most that can be shared; got_t and got the weight of the key's words, last that of its last; after and after_t
+    count the words that follow, which weigh no more than last, and bits is a bitmap of them, one hashed bit a word.
     body_most is given for entries that are only those of the title.
     """
-    entry = "struct<w:double,t:double,held:long,code:string,left:double,left_t:double>"
-    state = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("left_t"), F.array().cast(f"array<{entry}>").alias("out"))
-    own_title = lambda e: F.when(e["in_title"], e["w"]).otherwise(0.0)
-
-    def add(s, e):
-        left, left_t = s["left"] + e["w"], s["left_t"] + own_title(e)
-        row = F.struct(e["w"], own_title(e).alias("t"), e["held"], e["code"], left.alias("left"), left_t.alias("left_t"))
-        return F.struct(left.alias("left"), left_t.alias("left_t"), F.concat(F.array(row), s["out"]).alias("out"))
-
-    summed = F.aggregate(F.reverse(entries), state, add)["out"]
-    none = F.array().cast("array<struct<key:long,title:float,body:float>>")
-    rest = lambda es, at: F.slice(es, at + 2, F.greatest(F.size(es) - at - 1, F.lit(0)))
-    every = lambda es, got, f: F.flatten(F.transform(F.filter(es, lambda e: got + e["left"] >= need), f))
     # a little more than the bounds, as floats are rounded
-    up = lambda c: (c * (1 + 1e-6)).cast("float")
+    up = lambda x: f"float(({x}) * (1 + 1e-6D))"
 
-    def made(*chosen):
+    def made(*chosen: str) -> str:
         *before, last = chosen
-        sum_of = lambda name, end: reduce(lambda x, e: x + e[name], before, last[end])
-        body = sum_of("w", "left") if body_most is None else body_most
-        key = F.xxhash64(F.lit(kind), *[e["code"] for e in chosen])
-        return F.array(F.struct(key.alias("key"), up(sum_of("t", "left_t")).alias("title"), up(body).alias("body")))
-
-    alone = lambda got, *chosen: F.when(got >= need, made(*chosen)).otherwise(none)
-
-    def one(es):
-        return every(
-            es, F.lit(0.0), lambda x, i: F.when(x["held"] <= FEW, made(x)).otherwise(F.concat(alone(x["w"], x), two(rest(es, i), x)))
-        )
+        sum_of = lambda name, end: " + ".join([*(f"{e}.{name}" for e in before), f"{last}.{end}"])
+        body, got = (sum_of("w", "left"), up(sum_of("w", "w"))) if body_most is None else (body_most, "float('Infinity')")
+        return f"""array(named_struct('key', xxhash64('{kind}', {", ".join(f"{e}.code" for e in chosen)}), 'title', {up(sum_of("t", "left_t"))},
+            'body', {up(body)}, 'got_t', {up(sum_of("t", "t"))}, 'got', {got}, 'last', {up(f"{last}.w")},
+            'bits', {last}.bits, 'after', {last}.after, 'after_t', {last}.after_t))"""
 
-    def two(es, x):
-        return every(
-            es, x["w"], lambda y, i: F.when(x["held"] * y["held"] <= FEW_EXPECTED * n, made(x, y)).otherwise(
-                F.concat(alone(x["w"] + y["w"], x, y), three(rest(es, i), x, y))
-            ),
-        )
+    alone = lambda got, *chosen: f"if({got} >= need, {made(*chosen)}, cast(array() as array<{KEY}>))"
+    every = lambda es, got, e, i, f: f"flatten(transform(filter({es}, {e} -> {got}{e}.left >= need), ({e}, {i}) -> {f}))"
+    rest = lambda es, i: f"slice({es}, {i} + 2, greatest(size({es}) - {i} - 1, 0))"
+    three = every(rest(rest("es", "i"), "j"), "x.w + y.w + ", "z", "k", made("x", "y", "z"))
+    pairs = f"if(x.held * y.held <= {FEW_EXPECTED * n}L, {made('x', 'y')}, concat({alone('x.w + y.w', 'x', 'y')}, {three}))"
+    two = every(rest("es", "i"), "x.w + ", "y", "j", pairs)
+    one = every("es", "", "x", "i", f"if(x.held <= {FEW}, {made('x')}, concat({alone('x.w', 'x')}, {two}))")
+    # sums and need are looked up many times: each bound once by a transform over one element
+    return f"flatten(transform(array({_ladder(entries)}), es -> flatten(transform(array({need}), need -> {one}))))"
 
-    def three(es, x, y):
-        return every(es, x["w"] + y["w"], lambda z, i: made(x, y, z))
 
-    # the sums are looked up many times: bound once by a transform over one element
-    return F.flatten(F.transform(F.array(summed), one))
+#: What of a key row bounds what a pair can share.
+SKETCH = ("top", "heavy", "n_heavy", "light", "n_light")
+BOUNDS = ("title_w", "body_w", "title", "body", "got_t", "got", "last", "bits", "after", "after_t", *SKETCH)
 
 
-def _keys(sets: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(class_id, day, title_w, body_w, key, title, body, least) of what to join on; see combinations().
+def keys(sets: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(class_id, day, least, key) and the columns BOUNDS: what to join on; see _combinations().
 
     A score of at least `threshold` needs a Dice of at least that for titles or for bodies, or 0.1 less if a
     number is shared, which then is part of the key. A Dice of t needs a shared weight of t / (2 - t) of the own one. least is
@@ -184,46 +199,73 @@ def _keys(sets: DataFrame, threshold: float, n: int) -> DataFrame:
     """
     if threshold <= NUMBER_BONUS:
         raise ValueError("a threshold of 0.1 or less would pair articles that share no word")
-    shared_most = F.aggregate("es", F.lit(0.0), lambda s, e: s + e["w"])
 
-    def of(t: float) -> Column:
+    def of(t: float) -> str:
         share = t / (2 - t) - 1e-9
-        titles = combinations(F.filter("es", lambda e: e["in_title"]), F.col("title_w") * share, F.lit(n), "title", shared_most)
-        return F.concat(titles, combinations(F.col("es"), F.col("body_w") * share, F.lit(n), "body"))
+        titles = _combinations("filter(es, e -> e.in_title)", f"title_w * {share}D", n, "title", "aggregate(es, 0D, (s, e) -> s + e.w)")
+        return f"concat({titles}, {_combinations('es', f'body_w * {share}D', n, 'body')})"
 
-    named = lambda key, k, t: F.struct(
-        key.alias("key"), k["title"].alias("title"), k["body"].alias("body"), F.lit(2 * t - 1e-9).cast("float").alias("least")
-    )
+    least = lambda t: f"float({2 * t - 1e-9}D)"
     low = threshold - NUMBER_BONUS
-    numbered = F.flatten(F.transform("nums", lambda x: F.transform("with_number", lambda k: named(F.xxhash64(x, k["key"]), k, low))))
-    plain = F.transform(of(threshold), lambda k: named(k["key"], k, threshold))
-    found = sets.withColumn("with_number", F.when(F.size("nums") > 0, of(low)).otherwise(F.array().cast("array<struct<key:long,title:float,body:float>>")))
-    keys = found.select("class_id", "day", "title_w", "body_w", F.explode(F.concat(plain, numbered)).alias("k"))
-    weights = [F.col(c).cast("float").alias(c) for c in ("title_w", "body_w")]
+    plain = f"transform({of(threshold)}, k -> named_struct('over', k.key, 'least', {least(threshold)}, 'k', k))"
+    numbered = f"""if(size(nums) > 0, flatten(transform(array({of(low)}), ks ->
+        flatten(transform(nums, x -> transform(ks, k -> named_struct('over', xxhash64(x, k.key), 'least', {least(low)}, 'k', k)))))),
+        cast(array() as array<struct<over:long,least:float,k:{KEY}>>))"""
+    weights = [F.expr(f"float(greatest({c}, 1e-6D)) AS {c}") for c in ("title_w", "body_w")]
+    rows = sets.select("class_id", "day", *weights, F.expr(f"{_sketch('es')} AS sketch"), F.expr(f"explode(concat({plain}, {numbered})) AS at"))
+    bounds = [F.col(f"at.k.{c}").alias(c) for c in BOUNDS if c not in ("title_w", "body_w", *SKETCH)]
+    of_titles = [F.expr(f"if(at.k.got = float('Infinity'), sketch.{c}, null) AS {c}") for c in SKETCH]
     # written once: they are read several times
-    return materialize(keys.select("class_id", "day", *weights, "k.*"), "keys")
+    return materialize(rows.select("class_id", "day", "title_w", "body_w", "at.least", F.col("at.over").alias("key"), *bounds, *of_titles), "keys")
+
 
+def most(a: str, b: str) -> str:
+    """SQL of what both Dice of two key rows, whose columns begin with a and b, can sum up to.
 
-def _near(a: DataFrame, b: DataFrame | None, window_days: int | None, by: tuple[str, ...] = ()) -> DataFrame:
+    A bit that only one of two bitmaps has set stands for a word that isn't shared. Of the words after a key's own, which weigh
+    `last` at most, that leaves k. Keys of titles say nothing of the other words: what bodies share is bounded by the bitmaps of
+    heavy and light words, which weigh no more than `top` and HEAVY.
+    """
+    shared = lambda bits, count: f"least({a}{count} - bit_count({a}{bits} & ~{b}{bits}), {b}{count} - bit_count({b}{bits} & ~{a}{bits}))"
+    low = lambda c: f"least({a}{c}, {b}{c})"
+    k, last = shared("bits", "after"), f"greatest({a}last, {b}last)"
+    # null for keys of bodies, which least() skips
+    by_class = f"{shared('heavy', 'n_heavy')} * {low('top')} + {shared('light', 'n_light')} * float({HEAVY * (1 + 1e-6)})"
+    title = f"least({a}title, {b}title, {low('got_t')} + least({k}, {a}after_t, {b}after_t) * {last})"
+    body = f"least({a}body, {b}body, {low('got')} + {k} * {last}, {by_class})"
+    # summed up in floats: a little more again
+    return f"2 * (1 + 1e-5D) * ({title} / ({a}title_w + {b}title_w) + {body} / ({a}body_w + {b}body_w))"
+
+
+def reach(a: str, b: str, least: str) -> Column:
+    """Whether two key rows can reach what both Dice must sum up to."""
+    return F.expr(f"{most(a, b)} >= {least}")
+
+
+def near(
+    a: DataFrame, b: DataFrame | None, window_days: int | None, by: tuple[str, ...] = (), threshold: float | None = None
+) -> DataFrame:
     """Distinct (a_id, b_id) that share a key and whose days, where both are known, lie within the window.
 
     Pairs that can't reach their least sum by what they share at most are left out. Without b the pairs of a, a_id < b_id.
-    `by` names further columns that must be equal.
+    `by` names further columns that must be equal. With a threshold, that of the keys, a column most is added: what the pair can score at most.
     """
     on = ["key", *by]
     own = b is None
-    names = {"class_id": "id", "day": "day", "title_w": "title_w", "body_w": "body_w", "title": "title", "body": "body"}
-    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{name}") for c, name in names.items()], *on)
-    a, b = a.select(*[F.col(c).alias(f"a_{name}") for c, name in names.items()], "least", *on), side(a if own else b, "b")
-    dice = lambda f: F.when(
-        (F.col(f"a_{f}_w") > 0) & (F.col(f"b_{f}_w") > 0),
-        2.0 * F.least(f"a_{f}", f"b_{f}") / ((F.col(f"a_{f}_w") + F.col(f"b_{f}_w")) * (1 - 1e-6)),
-    ).otherwise(0.0)
-    reach = dice("title") + dice("body") >= F.col("least")
+    side = lambda df, p: df.select(F.col("class_id").alias(f"{p}_id"), F.col("day").alias(f"{p}_day"), *[F.col(c).alias(f"{p}_{c}") for c in BOUNDS], *on, *(["least"] if p == "a" else []))
+    a, b = side(a, "a"), side(a if own else b, "b")
+    reached = reach("a_", "b_", "least")
     least = F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")
+    ids = least if own else (F.col("a_id"), F.col("b_id"))
+    # keys with a number ask for less by the bonus, which the number then adds
+    scores = [] if threshold is None else [F.expr(f"({most('a_', 'b_')} + {2 * threshold}D - least) / 2 AS most")]
+
+    def different(pairs: list[DataFrame]) -> DataFrame:
+        found = reduce(DataFrame.union, [x.where(reached).select(*ids, *scores) for x in pairs])
+        return found.groupBy("a_id", "b_id").agg(F.max("most").alias("most")) if scores else found.distinct()
+
     if window_days is None:
-        pairs = a.join(b, on).where(reach)
-        return pairs.where("a_id < b_id" if own else "true").select("a_id", "b_id").distinct()
+        return different([a.join(b, on).where("a_id < b_id" if own else "true")])
     bucket = lambda c: F.floor(F.unix_date(c) / (window_days + 1)).cast("int")
     a_dated, b_dated = a.where("a_day is not null"), b.where("b_day is not null")
     # a row stays in its own stretch of days; the other side shows up in those around it, too
@@ -237,8 +279,7 @@ def _near(a: DataFrame, b: DataFrame | None, window_days: int | None, by: tuple[
     found.append(dayless.join(b, on).where("b_day is not null or a_id < b_id" if own else "true"))
     if not own:
         found.append(a_dated.join(b.where("b_day is null"), on))
-    ids = [x.where(reach).select(*least) if own else x.where(reach).select("a_id", "b_id") for x in found]
-    return reduce(DataFrame.union, ids).distinct()
+    return different(found)
 
 
 def _shared(codes: Column, weight_of: Callable[[Column], Column]) -> Column:
@@ -309,7 +350,7 @@ def similar_classes(
     The days of a pair may differ by window_days at most if both are known; None sets no window.
     """
     n, sets = weighted_classes(grouped, context)
-    return scored(_near(_keys(sets, threshold, n), None, window_days), sets, n, threshold)
+    return scored(near(keys(sets, threshold, n), None, window_days), sets, n, threshold)
 
 
 def similar_within(told: DataFrame, grouped: DataFrame, threshold: float, context: DataFrame | None = None) -> DataFrame:
@@ -318,8 +359,8 @@ def similar_within(told: DataFrame, grouped: DataFrame, threshold: float, contex
     Pairs are looked for within the groups only, and there by shared words, whatever the days.
     """
     n, sets = weighted_classes(grouped, context)
-    keys = _keys(sets.join(told.select("class_id").distinct(), "class_id", "left_semi"), threshold, n)
-    found = scored(_near(keys.join(told.distinct(), "class_id"), None, None, ("g",)), sets, n, threshold)
+    held = keys(sets.join(told.select("class_id").distinct(), "class_id", "left_semi"), threshold, n)
+    found = scored(near(held.join(told.distinct(), "class_id"), None, None, ("g",)), sets, n, threshold)
     first, second = (told.select("g", F.col("class_id").alias(f"{p}_id")).distinct() for p in "ab")
     return found.join(first, "a_id").join(second, ["g", "b_id"]).select("g", "a_id", "b_id", "score")
 
@@ -356,7 +397,7 @@ def best_published(
     mine = materialize(weighted(grouped, counts, both, least=1), "weighted")
     theirs = materialize(weighted(old, counts, both, least=1), "weighted")
     # an old article weighs at least its w_in, so the bound holds for its side too
-    pairs = _near(_keys(mine, threshold, n), _keys(theirs, threshold, n), window_days)
+    pairs = materialize(near(keys(mine, threshold, n), keys(theirs, threshold, n), window_days, threshold=threshold), "pairs")
     a, b = (
         x.select(
             F.col("class_id").alias(f"{p}_id"), F.col("nums").alias(f"{p}_nums"), _codes(True).alias(f"{p}_title"),
@@ -373,9 +414,20 @@ def best_published(
 
     titled = (F.col("a_titled") > 0) & (F.col("b_titled") > 0)
     score = (dice("title", titled) + dice("body", F.lit(True))) / 2 + _bonus(F.col("a_nums"), F.col("b_nums"))
-    found = (
-        pairs.join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "pos", F.round(score, DIGITS).alias("score"))
-    ).where(F.col("score") >= threshold)
+
+    def verified(some: DataFrame) -> DataFrame:
+        told = some.select("a_id", "b_id").join(a, "a_id").join(b, "b_id").select("a_id", "b_id", "pos", F.round(score, DIGITS).alias("score"))
+        return told.where(F.col("score") >= threshold)
+
+    # first the pair that can score most; then only what may still beat its score
+    head = pairs.groupBy("a_id").agg(F.max_by("b_id", F.struct("most", "b_id")).alias("b_id"))
+    head = materialize(head, "heads")
+    first = materialize(verified(head), "first")
+    known = head.select(F.col("a_id").alias("h_a"), F.col("b_id").alias("h_b")).join(
+        first.select(F.col("a_id").alias("h_a"), F.col("score").alias("known")), "h_a", "left"
+    )
+    rest = pairs.join(known, F.col("a_id") == F.col("h_a")).where("b_id <> h_b and most >= coalesce(known, 0)")
+    found = first.unionByName(verified(rest))
     return found.groupBy(F.col("a_id").alias("class_id")).agg(
         F.max_by("b_id", F.struct("score", "pos")).alias("old_id"), F.max("score").alias("score")
     )
