@@ -33,10 +33,22 @@ def fold(text: Column, nfkc: bool = True) -> Column:
     return F.translate(F.lower(text), QUOTES, PLAIN_QUOTES)
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The parts between the bars that lie in no group and no class."""
+    parts, depth = [""], 0
+    for token in re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", pattern, re.S):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += token
+    return parts
+
+
 def _openings(pattern: str) -> list[str]:
     """Plain text that each alternative of a pattern begins with, so that a text without any of them has no match; empty if unknown."""
     found = []
-    for part in re.sub(r"\([^()]*\)", "()", pattern).split("|"):
+    for part in _alternatives(pattern):
         opening = re.match(r"(?:\\b)?([a-z0-9 ]*)([?*{]?)", part)
         plain = opening[1][:-1] if opening[2] else opening[1]
         if not plain:
@@ -45,6 +57,14 @@ def _openings(pattern: str) -> list[str]:
     return found
 
 
+def _at_bounds(pattern: str) -> str:
+    r"""One boundary test for all alternatives instead of one for each, if every one begins and ends with \b."""
+    parts = _alternatives(pattern)
+    if not all(len(p) >= 4 and p.startswith(r"\b") and re.fullmatch(r"(?:\\.|[^\\])*\\b", p, re.S) for p in parts):
+        return pattern
+    return rf"\b(?:{'|'.join(p[2:-2] for p in parts)})\b"
+
+
 def with_phrases(folded: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """The lexicon's rewrites, one after the other, each over the whole text.
 
@@ -55,9 +75,7 @@ def with_phrases(folded: Column, lexicon: Lexicon = DEFAULT) -> Column:
         if re.fullmatch(r"[\w ]+", pattern) and not re.search(r"[$\\]", replacement):
             return lambda t: F.replace(t, F.lit(pattern), F.lit(replacement))
         openings = _openings(pattern)
-        if pattern.startswith(r"\b") and pattern.endswith(r"\b"):
-            # one boundary test for all words instead of one for each
-            pattern = rf"\b(?:{pattern[2:-2].replace(r'\b|\b', '|')})\b"
+        pattern = _at_bounds(pattern)
         wide = "(?U)" if re.search(r"\\[bsw]", pattern) else ""
         replaced = lambda t: F.regexp_replace(t, wide + pattern, replacement)
         if not openings:

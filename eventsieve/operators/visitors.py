@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventsieve.functions.urls import language, links, without_fragment
+from eventsieve.plans.tables import materialize
 
 # Shapes of addresses and session ids, lengths of sessions and logs.
 EMAIL_SHAPE = r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"
@@ -14,20 +15,61 @@ IDLE_HOURS, CLOSED_IDLE_HOURS = 30 * 24, 12
 MOST_LOG, HISTORY_TURNS = 60, 12
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+class Segments:
+    """Rows dealt by ranges of (visitor, order), so that one visitor's rows may lie in many tasks.
+
+    What a row needs of those before it is read within its segment, the visitor's rows of one range, and carried from segment
+    to segment through a table of one row each. Rows of equal order lie in one range.
+    """
+
+    def __init__(self, rows: DataFrame, visitor: str, order: list[str]):
+        self.order, self.part, self.who = order, _free("part", rows.columns), _free("who", rows.columns)
+        dealt = rows.repartitionByRange(visitor, *order).withColumn(self.part, F.spark_partition_id())
+        # the ranges are drawn from a sample: written, so that all passes see the same ones
+        self.rows = materialize(dealt.withColumn(self.who, F.col(visitor)), "segments")
+        self.own = [self.who, self.part]
+        self.within = Window.partitionBy(*self.own).orderBy(*order)
+        self.upto = self.within.rowsBetween(Window.unboundedPreceding, 0)
+        self.earlier = Window.partitionBy(self.who).orderBy(self.part).rowsBetween(Window.unboundedPreceding, -1)
+
+    def carry(self, rows: DataFrame, sums: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+        """rows with the columns carried: sums of each segment, looked at over the visitor's earlier segments."""
+        cells = rows.groupBy(*self.own).agg(*[c.alias(n) for n, c in sums.items()])
+        who, part, held = (_free(n, rows.columns) for n in ("c_who", "c_part", "c_held"))
+        values = F.struct(*[c.over(self.earlier).alias(n) for n, c in carried.items()])
+        # written, so that the join stands alone and can split what is too large for a task
+        seen = materialize(cells.select(F.col(self.who).alias(who), F.col(self.part).alias(part), values.alias(held)), "carried")
+        same = rows[self.who].eqNullSafe(seen[who]) & (rows[self.part] == seen[part])
+        return rows.join(seen, same).select(*rows.columns, *[F.col(f"{held}.{n}").alias(n) for n in carried])
+
+
 def attributed(landings: DataFrame, session: str, order: list[str], campaign: str, referrer: str) -> DataFrame:
     """Adds last_touch and first_referrer.
 
     A landing with any campaign key replaces the whole campaign map from then
-    on; the first referrer that is not empty stays.
+    on; the first referrer that is not empty stays. A visitor may have any share of all landings; see Segments.
     """
-    upto = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    columns = [c for c in landings.columns if c not in ("last_touch", "first_referrer")]
+    cut = Segments(landings.select(*columns), session, order)
     set_now = F.when(F.size(campaign) > 0, F.col(campaign))
     named = F.nullif(F.col(referrer), F.lit(""))
-    return landings.withColumns(
-        {
-            "last_touch": F.last(set_now, ignorenulls=True).over(upto),
-            "first_referrer": F.first(named, ignorenulls=True).over(upto),
-        }
+    at = F.struct(*order)
+    touch, first, c_touch, c_first = (_free(n, columns) for n in ("touch_", "first_", "c_touch", "c_first"))
+    sums = {
+        touch: F.max_by(F.struct(set_now.alias("v")), F.when(set_now.isNotNull(), at))["v"],
+        first: F.min_by(named, F.when(named.isNotNull(), at)),
+    }
+    rows = cut.carry(cut.rows, sums, {c_touch: F.last(touch, ignorenulls=True), c_first: F.first(first, ignorenulls=True)})
+    return rows.select(
+        *columns,
+        F.coalesce(F.last(set_now, ignorenulls=True).over(cut.upto), c_touch).alias("last_touch"),
+        F.coalesce(c_first, F.first(named, ignorenulls=True).over(cut.upto)).alias("first_referrer"),
     )
 
 
@@ -47,11 +89,15 @@ def lead_errors(required: dict[str, Column], emails: dict[str, Column], checked:
 
 
 def checked_leads(leads: DataFrame, errors: Column, honeypot: str) -> tuple[DataFrame, DataFrame]:
-    """(valid, quarantine): any error rejects; a filled trap field drops a lead silently and is never kept."""
-    judged = leads.withColumn("errors", errors)
-    wrong = F.size("errors") > 0
+    """(valid, quarantine): any error rejects; a filled trap field drops a lead silently and is never kept.
+
+    The quarantine has a further column errors; where the leads have one, its name gets underscores until it is free.
+    """
+    name = _free("errors", leads.columns)
+    judged = leads.withColumn(name, errors)
+    wrong = F.size(name) > 0
     trapped = F.coalesce(F.col(honeypot), F.lit("")) != ""
-    return judged.where(~wrong & ~trapped).drop("errors", honeypot), judged.where(wrong).drop(honeypot)
+    return judged.where(~wrong & ~trapped).drop(name, honeypot), judged.where(wrong).drop(honeypot)
 
 
 def lead_records(
@@ -103,20 +149,29 @@ def sessions(
 ) -> DataFrame:
     """Adds session, numbered from 1 for each visitor.
 
-    A session ends after idle_hours without activity, or closed_idle_hours once it was closed; both strictly.
+    A session ends after idle_hours without activity, or closed_idle_hours once it was closed; both strictly. A visitor may have
+    any share of all events; see Segments.
     """
-    order = Window.partitionBy(visitor).orderBy(ts, tie)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(order).cast("timestamp"))
+    columns = [c for c in events.columns if c != "session"]
+    at, shut, new, before, prior, last, nth = (_free(n, columns) for n in ("at", "shut", "new", "before", "prior", "last", "nth"))
+    marked = events.select(*columns, F.unix_micros(F.col(ts).cast("timestamp")).alias(at), F.coalesce(closed, F.lit(False)).alias(shut))
+    cut = Segments(marked, visitor, [ts, tie])
+    own = F.struct(at, shut)
+    rows = cut.carry(cut.rows, {last: F.max_by(own, F.struct(ts, tie))}, {prior: F.last(last)})
+    rows = rows.withColumn(before, F.coalesce(F.lag(own).over(cut.within), F.col(prior)))
+    gap = F.col(at) - F.col(f"{before}.{at}")
     hours = lambda h: F.lit(h * 3_600_000_000)
-    was_closed = F.coalesce(F.lag(closed).over(order), F.lit(False))
-    new = gap.isNull() | (gap > hours(idle_hours)) | (was_closed & (gap > hours(closed_idle_hours)))
-    return events.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(order)).drop("_new")
+    starts = F.col(before).isNull() | gap.isNull() | (gap > hours(idle_hours)) | (F.col(f"{before}.{shut}") & (gap > hours(closed_idle_hours)))
+    rows = materialize(rows.withColumn(new, starts.cast("int")).drop(before, prior), "starts")
+    rows = cut.carry(rows, {nth: F.sum(new)}, {nth: F.sum(nth)})
+    return rows.select(*columns, (F.coalesce(nth, F.lit(0)) + F.sum(new).over(cut.upto)).cast("long").alias("session"))
 
 
 def capped_log(messages: DataFrame, chat: str, order: str, most: int = MOST_LOG) -> DataFrame:
     """The latest `most` messages of each chat."""
     latest = Window.partitionBy(chat).orderBy(F.col(order).desc())
-    return messages.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= most).drop("_n")
+    n = _free("n", messages.columns)
+    return messages.withColumn(n, F.row_number().over(latest)).where(F.col(n) <= most).drop(n)
 
 
 def with_history(messages: DataFrame, chat: str, order: str, who: Column, text: str, turns: int = HISTORY_TURNS) -> DataFrame:

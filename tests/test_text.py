@@ -1,9 +1,11 @@
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from eventsieve.functions import text, urls
+from eventsieve.functions import lexicon, text, urls
 from eventsieve.functions.lexicon import DEFAULT, Lexicon
 
 
@@ -107,3 +109,25 @@ def test_url_rules(spark):
     found = values(spark, urls.links, ["see https://a.b/c). or me@x.org!"])[0]
     assert [tuple(f) for f in found] == [("link", "https://a.b/c"), ("email", "me@x.org")]
     assert values(spark, urls.language, ["ru-RU", "en", None]) == ["ru", "en", "en"]
+
+
+def test_phrases_equal_plain_patterns(spark):
+    """Each pattern alone, against Spark's own replacement of it: guards and boundary rewrites must change nothing."""
+    draw = random.Random(8)
+    atoms = ["foo", "ba", "r", r"\b", "o?", "a*", "(?:fo|ba)", "(b|(o|a)r)", "[a|b]", "x{0,2}", "ba+", r"\|", r"\\b", r"\s", "zz", " "]
+    patterns = ["".join(draw.choices(atoms, k=draw.randint(1, 3))) for _ in range(60)]
+    patterns = [p if draw.random() < 0.4 else "|".join([p, *draw.sample(patterns, draw.randint(1, 2))]) for p in patterns]
+    patterns += [r"\bfoo|bar\b", r"\bfoo\b|bar\b", r"\bfoo\b|\bbar\b", r"\bfoo\b|\bba(?:r|z)\b", r"\bfoo\\b", r"\b", r"\b\b", "|foo", r"\bfoo\b|"]
+    texts = ["".join(draw.choices(["foo", "bar", "baz", "o", " ", "x", "|", "\\b", "b"], k=draw.randint(0, 7))) for _ in range(60)]
+    texts += ["foobaz crowbar foo bar", "foo|bar", "", "zz x foo"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    wide = lambda p: ("(?U)" if re.search(r"\\[bsw]", p) else "") + p
+    mine = [text.with_phrases(F.col("t"), lexicon.Lexicon(phrases=((p, "X"),))) for p in patterns]
+    plain = [F.regexp_replace("t", wide(p), "X") for p in patterns]
+    for row in rows.select("t", F.array(*mine).alias("mine"), F.array(*plain).alias("plain")).collect():
+        assert dict(zip(patterns, row.mine)) == dict(zip(patterns, row.plain)), row.t
+
+
+def test_lists_are_whole():
+    """Counts of the fixed lists, so that a lost or doubled entry shows."""
+    assert (len(lexicon.DEFAULT.stop_words), len(set(lexicon.DEFAULT.stop_words)), len(lexicon.DEFAULT.phrases)) == (122, 122, 17)
