@@ -19,7 +19,7 @@ from eventsieve.plans.tables import materialize
 SIMILARITY = 0.7
 #: This many words at most lie between two words that hold a stretch together.
 GAP = 4
-#: Template words of everyday texts: alone they begin no stretch. Fixed, so that it doesn't matter how many files carry a notice.
+#: Template words of everyday texts: alone they begin no stretch, unless a template has no other words. Fixed, so that it doesn't matter how many files carry a notice.
 EVERYDAY = frozenset(
     "a above all an and any anyone are as at be by can charge code com deal do either express fee file files following for"
     " form forms free general http if in including into is it kind language later law library list may met must not of on one"
@@ -29,7 +29,18 @@ EVERYDAY = frozenset(
 LICENCE_FILE = r"(?i)^(licen[cs]es?|copying|copyright|unlicense|notice)([.\-_].*)?$"
 
 # Notices and opening passages of public licences.
-TEMPLATES = (
+FSF_OPENING = (
+    "Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document,"
+    " but changing it is not allowed."
+)
+BSD_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
+    " the following conditions are met: Redistributions of source code must retain the above copyright notice,"
+    " this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the"
+    " above copyright notice, this list of conditions and the following disclaimer in the documentation and/or"
+    " other materials provided with the distribution."
+)
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
@@ -70,13 +81,28 @@ TEMPLATES = (
         " General Public License as published by the Free Software Foundation; either version 2.1 of the License, or"
         " (at your option) any later version.",
     ),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser"
+        " General Public License as published by the Free Software Foundation, either version 3 of the License, or"
+        " (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero"
+        " General Public License as published by the Free Software Foundation, either version 3 of the License, or"
+        " (at your option) any later version.",
+    ),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 {FSF_OPENING}"),
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 {FSF_OPENING}"),
+    ("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 {FSF_OPENING}"),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 {FSF_OPENING}"),
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 {FSF_OPENING}"),
+    ("BSD-2-Clause", BSD_CLAUSES),
     (
         "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
-        " the following conditions are met: Redistributions of source code must retain the above copyright notice,"
-        " this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the"
-        " above copyright notice, this list of conditions and the following disclaimer in the documentation and/or"
-        " other materials provided with the distribution.",
+        f"{BSD_CLAUSES} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or"
+        " promote products derived from this software without specific prior written permission.",
     ),
     (
         "MPL-2.0",
@@ -99,6 +125,11 @@ TEMPLATES = (
     ),
     ("Proprietary", "All rights reserved."),
 )
+#: The notices, and the tag by which a file names each of their licences.
+TEMPLATES = (
+    *NOTICES,
+    *((name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in NOTICES) if name != "Proprietary"),
+)
 
 
 class Templates:
@@ -113,6 +144,9 @@ class Templates:
         where = where.reshape(-1)
         np.add.at(self.counts, (of, where), 1)
         self.telling = ~np.isin(self.words, hashed([" ".join(EVERYDAY).encode()])[0])
+        # a template of everyday words only is told by each of them
+        dull = (self.counts[:, self.telling].sum(axis=1) == 0) if len(self.words) else np.zeros(len(templates), dtype=bool)
+        self.telling |= (self.counts[dull] > 0).any(axis=0)
         self.pairs = np.unique((where[:-1] * len(self.words) + where[1:])[of[:-1] == of[1:]])
 
 

@@ -1,3 +1,5 @@
+import textwrap
+
 import numpy as np
 
 from eventsieve.llm import licences
@@ -44,6 +46,22 @@ def test_every_template_names_itself(spark):
     assert all(found[100 + i].licence is None for i in range(200))
 
 
+def test_no_licence_is_taken_for_another(spark, prose):
+    """Every notice as it is, wrapped with comment marks, and next to other text."""
+    wrap = lambda t: "\n".join(f" * {line}" for line in textwrap.wrap(t, 60))
+    texts = [f(t, i) for i, (_, t) in enumerate(licences.TEMPLATES) for f in (lambda t, i: t, lambda t, i: wrap(t), lambda t, i: f"{prose(60, i)}\n\n{wrap(t)}\n\n{prose(60, 99 + i)}")]
+    found = detected(spark, texts)
+    wrong = {(licences.TEMPLATES[i // 3], i % 3): found[i] for i in found if found[i] != licences.TEMPLATES[i // 3][0]}
+    assert not wrong
+
+
+def test_a_template_of_everyday_words_is_found(spark, prose):
+    texts = ["Free for any use.", f"{prose(30, 1)}\nFree for any use.\n{prose(30, 2)}", prose(50, 3)]
+    files = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "concat('f', doc_id) AS path", "text")
+    found = licences.detected(files, "doc_id", "path", "text", templates=(("X", "Free for any use."),)).collect()
+    assert [r.licence for r in sorted(found, key=lambda r: r.id)] == ["X", "X", None]
+
+
 def detected(spark, texts):
     files = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = licences.licensed(files.selectExpr("doc_id", "concat('f', doc_id) AS path", "text"))
