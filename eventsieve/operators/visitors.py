@@ -143,6 +143,19 @@ def delivered(attempts: DataFrame, lead: str, ok: str) -> DataFrame:
     return attempts.groupBy(lead).agg(F.bool_or(F.coalesce(F.col(ok), F.lit(False))).alias("delivered"))
 
 
+def delivered_within(leads: DataFrame, attempts: DataFrame, lead: str, at: str, ok: str, hours: int) -> DataFrame:
+    """(lead, delivered) of each lead: whether an attempt from its own time to `hours` later, both included, was good.
+
+    A lead without attempts was not delivered, nor was one without a time. Rows that repeat a lead are one lead, delivered if any of them was.
+    """
+    own, done = F.col(lead).alias("own"), attempts.where(F.coalesce(F.col(ok), F.lit(False)))
+    good = done.select(own, F.col(at).alias("done_at"))
+    due = leads.select(F.col(lead), F.col(at).alias("sent_at"))
+    last = F.col("sent_at") + F.make_dt_interval(hours=F.lit(hours))
+    joined = due.join(good, (F.col(lead) == F.col("own")) & F.col("done_at").between(F.col("sent_at"), last), "left")
+    return joined.groupBy(lead).agg(F.bool_or(F.col("own").isNotNull()).alias("delivered"))
+
+
 def sessions(
     events: DataFrame, visitor: str, ts: str, closed: Column, tie: str,
     idle_hours: int = IDLE_HOURS, closed_idle_hours: int = CLOSED_IDLE_HOURS,

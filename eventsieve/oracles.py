@@ -468,6 +468,26 @@ SQL: dict[str, str] = {
         SELECT date_trunc('hour', ts) AS hour, CASE WHEN event_type = 'error' THEN 'timeout' ELSE event_type END AS kind,
           count(*) AS failures, round(avg(round(value)), 6) AS seconds FROM events GROUP BY ALL""",
     "delivery_status": "SELECT l_orderkey, bool_or(l_returnflag = 'R') AS delivered FROM lineitem GROUP BY l_orderkey",
+    "delivery_within": """
+        SELECT o_orderkey, coalesce(bool_or(l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 60 DAY), FALSE) AS delivered
+        FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
+    "cards_json": """
+        SELECT 'https://site.example/' || doc_id AS url, (row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1)::INTEGER AS pos,
+          (doc_id % 5)::INTEGER AS issue, strftime(DATE '2024-01-01' + (doc_id % 30)::INTEGER, '%d.%m.%Y') AS date, source AS title,
+          md5(text) AS extract_md5 FROM documents""",
+    "catalogue_json": """
+        SELECT p_partkey::VARCHAR AS slug, p_name AS title_en, p_type AS category, p_brand || '|' || p_type AS products, p_size > 25 AS show_name,
+          p_brand AS note, 'https://site.example/' || p_partkey AS note_url, TRUE AS no_moq FROM part""",
+    "page_tree": """
+        SELECT page_id % 10 || '/' || page_id || '/index.html' AS path, md5(html) AS html_md5 FROM pages""",
+    "published_history": """
+        SELECT doc_id % 5 AS issue, doc_id AS id, source, DATE '2024-01-01' + (doc_id % 30)::INTEGER AS date,
+          CASE WHEN doc_id % 5 < 2 THEN 1 ELSE 2 END::INTEGER AS run FROM documents""",
+    "feed_rss": """
+        SELECT p_partkey::VARCHAR AS guid, p_name AS title, 'https://site.example/?a=1&b=' || p_partkey AS link,
+          'Mon, 01 Jan 2024 08:00:00 +0800' AS "pubDate", p_brand || '|' || p_type AS headlines FROM part""",
+    "sitemap_unlisted": """
+        SELECT page_id, url || '#' || page_id AS url FROM pages WHERE page_id % 7 = 0""",
     "session_ids": """
         SELECT event_id, regexp_full_match(CASE WHEN event_id % 9 = 0 THEN upper(sid) ELSE sid END, '[a-f0-9]{24}') AS valid
         FROM (SELECT event_id, left(md5(user_id::VARCHAR), 24) AS sid FROM events)""",
@@ -479,6 +499,9 @@ SQL: dict[str, str] = {
           LATERAL (SELECT unnest(range(1, len(found) + 1)) AS i)""",
 }
 
+SQL["verdict_fallback"] = SQL["verdict_merge"].replace("a.ten = b.ten", "a.ten = b.ten AND a.ten % 3 = 2")
+SQL["knowledge_document"] = f"SELECT line FROM ({SQL['knowledge_lines']})"
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

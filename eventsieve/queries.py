@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from eventsieve.functions import lexicon, text, urls
 from eventsieve.operators import knowledge, publish, similarity, visitors
-from eventsieve.plans.tables import materialize, spread, table
+from eventsieve.plans.tables import materialize, shared_path, spread, table
+from eventsieve.sources import files
 
 SITE_RULES = lexicon.Lexicon(primary_domains=("example.org",), aggregator_domains=("spam", "cheap-"))
 
@@ -247,6 +248,20 @@ def verdict_merge(spark, sf_dir):
     return publish.merged_components(heads, prints.join(heads.select(F.col("n").alias("id")), "id"), groups)
 
 
+def verdict_fallback(spark, sf_dir):
+    """The same where a third of the answers is missing and a third can't be read: these leave the components as they are."""
+    prints = _prints(spark, sf_dir)
+    heads = _heads(prints)
+    ten = F.floor(F.col("n") / 10)
+    batches = heads.groupBy(ten.alias("ten")).agg(F.array_sort(F.collect_list("n")).alias("ns"))
+    # an answer numbers the heads of its batch from 1
+    all_of = F.concat(F.lit('Sure: {"groups": [['), F.array_join(F.sequence(F.lit(1), F.size("ns")), ", "), F.lit("]]}"))
+    answer = F.when(F.col("ten") % 3 == 1, F.left(all_of, F.length(all_of) - 2)).when(F.col("ten") % 3 == 2, all_of)
+    told = batches.select("ns", F.explode(publish.verdict_groups(answer, F.size("ns"))).alias("told"))
+    groups = told.select(F.transform("told", lambda i: F.get("ns", i)).alias("group"))
+    return publish.merged_components(heads, prints.join(heads.select(F.col("n").alias("id")), "id"), groups)
+
+
 def cluster_audit(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
     return publish.audit(near_dup_components(spark, sf_dir).join(labels, "id"), F.col("quality"))
@@ -324,16 +339,99 @@ def catalogue_urls(spark, sf_dir):
     return _catalogue(spark, sf_dir)
 
 
-def knowledge_lines(spark, sf_dir):
-    """The lines of the document of all pages and products: parts, keys, and what their text digests to."""
+def _document(spark, sf_dir) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("url", knowledge.page_url(_site_path(), "https://site.example"))
     found = knowledge.page_records(pages, F.col("html"), "url").select("url", F.md5(F.col("facts").cast("binary")).alias("facts"))
-    lines = knowledge.knowledge_lines(found, _catalogue(spark, sf_dir), "About", ("Rule",))
-    return lines.select("part", F.regexp_replace("line", "^,", "").alias("line"))
+    return knowledge.knowledge_lines(found, _catalogue(spark, sf_dir), "About", ("Rule",))
+
+
+def knowledge_lines(spark, sf_dir):
+    """The lines of the document of all pages and products: parts, keys, and what their text digests to."""
+    return _document(spark, sf_dir).select("part", F.regexp_replace("line", "^,", "").alias("line"))
+
+
+def knowledge_document(spark, sf_dir):
+    """The document as it stands in its files."""
+    path = shared_path(spark, "document")
+    files.write_document(_document(spark, sf_dir), path)
+    return spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("line"))
 
 
 def knowledge_counts(spark, sf_dir):
-    return knowledge.document_counts(table(spark, sf_dir, "pages"), _catalogue(spark, sf_dir))
+    """How many pages and directions the document was written with, counted while it was."""
+    pages, directions = files.write_document(_document(spark, sf_dir), shared_path(spark, "document"))
+    return spark.createDataFrame([("pages", pages), ("directions", directions)], "kind string, entries long")
+
+
+def cards_json(spark, sf_dir):
+    """All articles written as JSON arrays of cards and read back."""
+    path = shared_path(spark, "cards")
+    cards = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.col("doc_id") % 5).cast("int").alias("issue"), F.col("source").alias("title"), F.col("text").alias("extract"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")), "dd.MM.yyyy").alias("date"),
+        F.concat(F.lit("https://site.example/"), F.col("doc_id")).alias("url"),
+    )
+    files.write_arrays(cards, path, "doc_id", 100)
+    found = files.read_cards(spark, path, lines=True)
+    return found.select("url", "pos", "issue", "date", "title", F.md5(F.col("extract").cast("binary")).alias("extract_md5"))
+
+
+def catalogue_json(spark, sf_dir):
+    """All parts written as JSON arrays of catalogue entries and read back."""
+    path = shared_path(spark, "catalogue")
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_partkey").cast("string").alias("slug"), F.col("p_name").alias("title_en"), F.col("p_type").alias("category"),
+        F.array("p_brand", "p_type").alias("products"), (F.col("p_size") > 25).alias("show_name"),
+        F.array(F.struct(F.col("p_brand").alias("text"), F.concat(F.lit("https://site.example/"), F.col("p_partkey")).alias("url"))).alias("import_notes"),
+    )
+    files.write_arrays(parts, path, "p_partkey", 500)
+    note = F.col("import_notes")[0]
+    return files.read_catalogue(spark, path, lines=True).select(
+        "slug", "title_en", "category", F.array_join("products", "|").alias("products"), "show_name",
+        note["text"].alias("note"), note["url"].alias("note_url"), F.col("moq").isNull().alias("no_moq"),
+    )
+
+
+def page_tree(spark, sf_dir):
+    """All pages written as a tree of index.html files and read back."""
+    root = shared_path(spark, "tree")
+    pages = table(spark, sf_dir, "pages").select(F.format_string("%d/%d/index.html", F.col("page_id") % 10, F.col("page_id")).alias("path"), "html")
+    files.write_pages(spread(pages), root, "path", "html")
+    return files.read_pages(spark, root).select("path", F.md5(F.col("html").cast("binary")).alias("html_md5"))
+
+
+def published_history(spark, sf_dir):
+    """Articles published in two runs, the second of which replaces one issue of the first."""
+    path = shared_path(spark, "history")
+    items = _articles(spark, sf_dir).select("id", "source", "date", "issue")
+    files.append_history(items.where("issue < 3").withColumn("run", F.lit(1)), path)
+    files.append_history(items.where("issue >= 2").withColumn("run", F.lit(2)), path)
+    return files.read_history(spark, path, items.withColumn("run", F.lit(1)).schema).select("issue", "id", "source", "date", "run")
+
+
+def feed_rss(spark, sf_dir):
+    """All parts written as items of a feed and read back."""
+    path = shared_path(spark, "feed")
+    link = F.concat(F.lit("https://site.example/?a=1&b="), F.col("p_partkey"))
+    items = table(spark, sf_dir, "part").select(
+        F.col("p_name").alias("title"), link.alias("link"), F.col("p_partkey").cast("string").alias("guid"),
+        F.lit("Mon, 01 Jan 2024 08:00:00 +0800").alias("pubDate"), F.array("p_brand", "p_type").alias("headlines"),
+    )
+    files.write_feed(items, path)
+    return files.read_feed(spark, path).select(
+        F.col("guid._VALUE").alias("guid"), "title", "link", "pubDate", F.array_join("headlines", "|").alias("headlines")
+    )
+
+
+def sitemap_unlisted(spark, sf_dir):
+    """Pages that a site map of all but each seventh doesn't name."""
+    path = shared_path(spark, "sitemap")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("#"), "page_id").alias("url"))
+    listed = pages.where("page_id % 7 <> 0").select(
+        F.col("url").alias("loc"), F.lit("2024-01-01").cast("date").alias("lastmod"), F.lit("weekly").alias("changefreq"), F.lit(0.5).alias("priority")
+    )
+    files.write_sitemap(listed, path)
+    return files.unlisted_pages(pages, files.read_sitemap(spark, path)).select("page_id", "url")
 
 
 def utm_extract(spark, sf_dir):
@@ -496,6 +594,15 @@ def delivery_status(spark, sf_dir):
     return visitors.delivered(table(spark, sf_dir, "lineitem").withColumn("ok", ok), "l_orderkey", "ok")
 
 
+def delivery_within(spark, sf_dir):
+    """Orders as leads, delivered if a line item was returned within 60 days."""
+    leads = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    attempts = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("timestamp").alias("at"), (F.col("l_returnflag") == "R").alias("ok")
+    )
+    return visitors.delivered_within(leads, attempts, "o_orderkey", "at", "ok", 60 * 24)
+
+
 def session_ids(spark, sf_dir):
     sid = F.left(F.md5(F.col("user_id").cast("string").cast("binary")), F.lit(24))
     rows = table(spark, sf_dir, "events").select(
@@ -514,7 +621,8 @@ NAMES = (
     similar_pairs, similar_pairs_context, near_dup_components, cluster_primary, also_reported, already_published_best,
     drop_repeats_fresh, drop_repeats_repeats, exact_repeats, exact_repeats_links, issue_loop_shown, issue_loop_look_back,
     prompt_lines, verdict_parse, verdict_merge, cluster_audit, cluster_pair_quality, benchmark_overlap, page_fields, page_text,
-    page_faq, page_knowledge, page_urls, catalogue_urls, knowledge_lines, knowledge_counts, utm_extract, last_touch, first_referrer, click_goals,
+    page_faq, page_knowledge, page_urls, catalogue_urls, knowledge_lines, knowledge_counts, knowledge_document, cards_json, catalogue_json, page_tree,
+    published_history, feed_rss, sitemap_unlisted, verdict_fallback, delivery_within, utm_extract, last_touch, first_referrer, click_goals,
     click_files, lead_validation, lead_records, lead_display_texts, sessions_ttl, capped_log, history_context, retry_dedup, error_rollup,
     delivery_status, session_ids, link_extract,
 )
