@@ -3,8 +3,8 @@
 A seed is the hash of the words that a fixed mask selects from a stretch; the
 other positions may differ. Both masks together hit every stretch of 13 words
 in which at most two are substituted; two more, for items of 8 to 12 words, hit every
-such item in which 80 % of the words are equal. A still shorter item is a seed of its own, and must stand in the text
-word for word. Training seeds are compared with test
+such item in which 80 % of the words are equal. Items of 5 to 7 words, of which one may be substituted, have a mask for each of
+their words, which ignores that word; of still fewer words 80 % are all of them, and the item is a seed of its own. Training seeds are compared with test
 seeds by an equi-join; before it, a bit table of fixed size that holds the test
 seeds drops nearly all that cannot match, so the shuffle follows the hits and
 not the corpus. Around each hit the two texts are aligned and compared word by
@@ -25,8 +25,8 @@ from eventsieve.plans.tables import materialize
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 #: More masks for items of fewer than WINDOW words: with those above they leave no placement of the substitutions unseen.
 SHORT_MASKS = ((0, 1, 2, 4, 5), (0, 1, 7, 8, 9))
-#: Words of the narrowest mask; items of fewer words than SHORTEST match whole and unchanged only.
-SPAN, SHORTEST = 6, 8
+#: Words of the narrowest mask; items of fewer words than SHORTEST have masks of their own, which ignore one word from LOOSE words on.
+SPAN, SHORTEST, LOOSE = 6, 8, 5
 WINDOW = 13
 SIMILARITY = 0.8
 #: log2 of the bits in the table of test seeds: 8 MB whatever the benchmark's size.
@@ -55,11 +55,13 @@ def _seeds(hashes: np.ndarray, ends: np.ndarray, short: np.ndarray):
 
 
 def _phrases(hashes: np.ndarray, ends: np.ndarray, words: int):
-    """(text, position, seed) of every run of `words` words, all of which count."""
+    """(text, position, seed) of every run of `words` words: one seed of all, or from LOOSE words on one for each word that is ignored."""
     text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     size = max(len(hashes) - words + 1, 0)
     at = np.flatnonzero(text[:size] == text[words - 1 :][:size])
-    return text[at], at, _seed(hashes, range(words), len(MASKS + SHORT_MASKS) + words, size)[at]
+    for ignored in range(words) if words >= LOOSE else (words,):
+        mask = [k for k in range(words) if k != ignored]
+        yield text[at], at, _seed(hashes, mask, len(MASKS + SHORT_MASKS) + SHORTEST * words + ignored, size)[at]
 
 
 def _around(hashes, ends, text, at, window: int, filler: int) -> np.ndarray:
@@ -92,7 +94,7 @@ def test_seeds(tests: DataFrame, id_col: str, text_col: str, window: int = WINDO
                 whole = [
                     tuple(x[size[text] == words] for x in (text, at, seed))
                     for words in range(1, SHORTEST) if (size == words).any()
-                    for text, at, seed in [_phrases(hashes, ends, words)]
+                    for text, at, seed in _phrases(hashes, ends, words)
                 ]
                 for text, at, seed in (*_seeds(hashes, ends, short), *whole):
                     around = _around(hashes, ends, text, at, window, 1)
@@ -137,12 +139,13 @@ def hits(docs: DataFrame, table, needs: list[int], window: int, bits: int = TABL
                 ids = batch.column("id").slice(first, len(texts))
                 marks = batch.column("mark").slice(first, len(texts))
                 masked = _seeds(hashes, ends, np.full(len(ends), short))
-                for whole, (text, at, seed) in [*((False, x) for x in masked), *((True, _phrases(hashes, ends, n)) for n in phrases)]:
+                for words, (text, at, seed) in [*((0, x) for x in masked), *((n, x) for n in phrases for x in _phrases(hashes, ends, n))]:
                     low = seed & np.uint64((1 << bits) - 1)
                     held = np.flatnonzero(known[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
-                    if whole and len(held):
-                        # what stands around doesn't matter: once a text is enough
-                        held = held[np.unique(np.column_stack([text[held], seed[held].view(np.int64)]), axis=0, return_index=True)[1]]
+                    if words and len(held):
+                        # what stands around doesn't matter: each run of words once a text is enough
+                        runs = _seed(hashes, range(words), 0, len(hashes) - words + 1)[at[held]]
+                        held = held[np.unique(np.column_stack([text[held], runs.view(np.int64)]), axis=0, return_index=True)[1]]
                     for i in range(0, len(held), _CHUNK):
                         kept = held[i : i + _CHUNK]
                         around = _around(hashes, ends, text[kept], at[kept], window, 0)
@@ -171,7 +174,7 @@ def _verified(pairs: DataFrame, kind: str, item_kind: str, window: int, similari
             for size in np.unique(need):
                 own = need == size
                 share[own] = (sums[own, size:] - sums[own, :-size]).max(axis=1) / size
-            good = pa.array(np.flatnonzero(share >= np.where(need < SHORTEST, 1.0, similarity)))
+            good = pa.array(np.flatnonzero(share >= similarity))
             columns = [batch.column(c).take(good) for c in ("id", "mark", "item")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(share).take(good)], ["id", "mark", "item", "share"])
 
@@ -195,7 +198,7 @@ def overlaps(
     A document holds a test item if a stretch of `window` of the item's words
     (the whole item if it is shorter) stands in it, with at least `similarity` of the
     words equal at their places. With the default window and similarity none is missed.
-    Items of fewer than 8 words must stand in the document whole and unchanged. Case and ASCII punctuation don't count.
+    That lets items of fewer than 5 words stand there only unchanged. Case and ASCII punctuation don't count.
     mark is a hash of the
     text: it tells rows of equal or null ids apart. items counts the distinct items found,
     item is the one with the largest share (ties: the least id). Test texts

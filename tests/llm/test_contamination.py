@@ -8,8 +8,6 @@ from eventsieve.llm.text import plain
 def brute(doc, item, window=13, similarity=0.8):
     ours, theirs = plain((doc or "").encode()).split(), plain((item or "").encode()).split()
     need = min(window, len(theirs))
-    if need < 8:
-        similarity = 1
     for i in range(len(ours) - need + 1 if need else 0):
         for j in range(len(theirs) - need + 1):
             if sum(a == b for a, b in zip(ours[i : i + need], theirs[j : j + need])) >= similarity * need:
@@ -61,17 +59,17 @@ def test_matches_brute_force(spark, prose):
 
 
 def test_every_placement_of_substitutions(spark):
-    allowed = {7: 1, 8: 1, 9: 1, 10: 2, 11: 2, 12: 2, 13: 2}
+    allowed = {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 2, 11: 2, 12: 2, 13: 2}
     items = {n: [f"item{n}word{i}" for i in range(n)] for n in allowed}
     docs, expected = [], []
     for n, most in allowed.items():
-        # one change more than allowed is no leak, nor is any in seven words
+        # one change more than allowed is no leak
         for k in range(most + 2):
             for changed in itertools.combinations(range(n), k):
                 words = [f"other{i}" if i in changed else w for i, w in enumerate(items[n])]
                 front = "so " * (len(docs) % 9)
                 docs.append((len(docs), f"{front}{' '.join(words)}{' and on' * (len(docs) % 4)}"))
-                expected.append(k <= most if n >= 8 else k == 0)
+                expected.append(k <= most)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     t = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     found = {r.doc_id: r.contaminated for r in contamination.judged(d, t).collect()}
@@ -79,17 +77,34 @@ def test_every_placement_of_substitutions(spark):
     assert len(found) == len(docs) and not missed, (len(missed), missed[:5])
 
 
-def test_items_of_few_words_match_word_for_word(spark):
+def test_items_of_few_words_by_brute_force(spark):
+    draw = random.Random(4)
+    said = lambda n: " ".join(draw.choice("abcd") for _ in range(n))
+    items = [(i, said(draw.randrange(1, 9))) for i in range(40)]
+    docs = [(i, said(draw.randrange(0, 30))) for i in range(150)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for kept in ([x for x in items if len(x[1].split()) == n] for n in (4, 5, 6, 7)):
+        found = {r.doc_id: r for r in contamination.judged(d, spark.createDataFrame(kept, "item_id long, text string")).collect()}
+        for key, text in docs:
+            hit = {item for _, item in kept if brute(text, item)}
+            assert (found[key].contaminated, found[key].items) == (bool(hit), len(hit)), (text, hit)
+
+
+def test_items_of_few_words(spark):
     items = [(n, " ".join(f"item{n}word{i}" for i in range(n))) for n in range(1, 8)]
     docs = []
     for n, item in items:
         words = item.split()
         docs += [(10 * n, f"so it is: {item.upper()}! and on"), (10 * n + 1, item), (10 * n + 2, " ".join(["x", *words[:-1], "other", "y"]))]
+        docs += [(10 * n + 5, " ".join(["x", *words[:-2], "two", "others", "y"]))]
         docs += [(10 * n + 3, f"{' '.join(words[:-1])} x {words[-1]}" if n > 1 else "item1 word0"), (10 * n + 4, f"{item} {item} {item}")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     found = {r.doc_id: r for r in contamination.judged(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert all(found[k].contaminated == (k % 10 in (0, 1, 4)) for k in found)
-    assert all(r.items == 1 and r.best_item == k // 10 and r.share == 1 for k, r in found.items() if r.contaminated)
+    # a word put in or substituted at the end leaves 80 % of five words or more
+    leaks = lambda k: k % 10 in (0, 1, 4) or (k >= 50 and k % 10 in (2, 3))
+    assert all(found[k].contaminated == leaks(k) for k in found)
+    hits = {k: r for k, r in found.items() if r.contaminated}
+    assert all(r.items == 1 and r.best_item == k // 10 and round(r.share * (k // 10)) == k // 10 - (k % 10 in (2, 3)) for k, r in hits.items())
 
 
 def test_ties_and_text_ids(spark, prose):
