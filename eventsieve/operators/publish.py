@@ -11,7 +11,7 @@ from eventsieve.functions.text import lead
 from eventsieve.operators import similarity
 from eventsieve.operators.components import connected_components
 from eventsieve.operators.spanning import linked_classes
-from eventsieve.plans.tables import materialize
+from eventsieve.plans.tables import materialize, together
 
 
 def cluster(
@@ -25,8 +25,19 @@ def cluster(
     Clusters are single-link: a chain may span more days than the window. Articles
     without any word stay alone. context only adds to the word counts.
     """
-    grouped = materialize(similarity.classes(prints), "classes")
-    reached = linked_classes(grouped, window_days, threshold, context)
+    return _clustered(prints, materialize(similarity.classes(prints), "classes"), window_days, threshold, context)
+
+
+def _clustered(
+    prints: DataFrame,
+    grouped: DataFrame,
+    window_days: int | None = 7,
+    threshold: float = similarity.THRESHOLD,
+    context: DataFrame | None = None,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """cluster() with the classes of prints; counted are the day_counts() of the context, if it keeps them."""
+    reached = linked_classes(grouped, window_days, threshold, context, counted)
     named = materialize(
         grouped.join(reached, F.col("class_id") == F.col("node"), "left").select(
             "title", "body", "nums", "day", "class_id", "component"
@@ -85,8 +96,14 @@ def split_repeats(items: DataFrame, matches: DataFrame) -> tuple[DataFrame, Data
 
 def published_matches(prints: DataFrame, published: DataFrame, window_days: int = 10) -> DataFrame:
     """(id, old_id, score) of the fingerprints that have been published before; see best_published()."""
-    grouped = materialize(similarity.classes(prints), "classes")
-    best = similarity.best_published(grouped, published, window_days)
+    return _matched(prints, materialize(similarity.classes(prints), "classes"), published, window_days)
+
+
+def _matched(
+    prints: DataFrame, grouped: DataFrame, published: DataFrame, window_days: int = 10, counted: DataFrame | None = None
+) -> DataFrame:
+    """published_matches() with the classes of prints; counted are the day_counts() of published, if it keeps them."""
+    best = similarity.best_published(grouped, published, window_days, counted=counted)
     return similarity.members(prints, grouped).join(best, "class_id").select("id", "old_id", "score")
 
 
@@ -200,38 +217,56 @@ def audit(clusters: DataFrame, label: Column) -> DataFrame:
 # -- issues
 
 
+#: So many issues may add to the kept word counts until they are summed up.
+COMPACT = 16
+
+
 def assemble_issue(
     items: DataFrame,
     history: DataFrame | None,
     rank: list[Column],
     look_back_days: int | None = None,
     verdicts: Callable[[DataFrame], DataFrame] | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """The primaries that one issue publishes, given fingerprints with pos and rank columns, and those published so far.
 
     look_back_days keeps history near the issue's first day: that filter is the state's time to live. verdicts, if given, gets
     the first item of each cluster (component, id, pos and fingerprint) and returns groups of their pos in a column group; see
-    merged_components().
+    merged_components(). counted are the day_counts() of history, if they are kept; else its words are counted anew.
+
+    What was published before is looked for item by item, so that search and the clusters don't need each other and run
+    at the same time.
     """
     if history is not None and look_back_days is not None:
         since = items.agg(F.date_sub(F.min("day"), look_back_days)).first()[0]
         if since is not None:
-            history = history.where(F.col("day").isNull() | (F.col("day") >= F.lit(since)))
-    found = cluster(items.select("id", "title", "body", "nums", "day"), context=history).withColumnRenamed("id", "own")
-    joined = materialize(items.join(found, F.col("id") == F.col("own")).drop("own"), "issue")
-    if verdicts is not None:
-        print_of = ("title", "body", "nums", "day")
+            recent = F.col("day").isNull() | (F.col("day") >= F.lit(since))
+            history, counted = history.where(recent), counted if counted is None else counted.where(recent)
+    print_of = ("title", "body", "nums", "day")
+    prints = items.select("id", *print_of)
+    grouped = materialize(similarity.classes(prints), "classes")
+
+    def clustered() -> DataFrame:
+        found = _clustered(prints, grouped, context=history, counted=counted).withColumnRenamed("id", "own")
+        joined = materialize(items.join(found, F.col("id") == F.col("own")).drop("own"), "issue")
+        if verdicts is None:
+            return joined
         heads = joined.groupBy("component").agg(F.min_by(F.struct("id", "pos", *print_of), "pos").alias("head"))
         heads = materialize(heads.select("component", "head.*"), "heads")
         merged = merged_components(
             heads.select(F.col("pos").alias("n"), "component"), heads.select(F.col("pos").alias("id"), *print_of), verdicts(heads), history
         )
-        joined = materialize(joined.join(merged, "component").drop("component").withColumnRenamed("merged", "component"), "merged")
+        return materialize(joined.join(merged, "component").drop("component").withColumnRenamed("merged", "component"), "merged")
+
+    def matched() -> DataFrame | None:
+        return None if history is None else materialize(_matched(prints, grouped, history, counted=counted), "matches")
+
+    joined, matches = together(items.sparkSession, clustered, matched)
     fresh = joined
-    if history is not None:
-        matches = published_matches(joined.select("id", "title", "body", "nums", "day"), history)
+    if matches is not None:
         ordered = joined.withColumn("ord", F.struct(*rank, F.col("pos")))
-        fresh = split_repeats(ordered, materialize(matches, "matches"))[0].drop("ord")
+        fresh = split_repeats(ordered, matches)[0].drop("ord")
     return primaries(fresh, rank).drop("size").select(*joined.columns)
 
 
@@ -245,10 +280,17 @@ def publish_issues(
     """All published primaries, issue by issue in ascending order.
 
     Each issue needs what those before it published, so issues run one after the other; the work within one is distributed. The
-    history grows as written tables.
+    history grows as written tables, and so do the counts of its words by day, which each issue adds its own to.
     """
-    history = None
-    for (number,) in sorted(items.select(issue).where(F.col(issue).isNotNull()).distinct().collect()):
-        out = materialize(assemble_issue(items.where(F.col(issue) == number), history, rank, look_back_days, verdicts), "published")
+    history = counted = None
+    numbers = sorted(items.select(issue).where(F.col(issue).isNotNull()).distinct().collect())
+    for done, (number,) in enumerate(numbers, 1):
+        now = items.where(F.col(issue) == number)
+        out = materialize(assemble_issue(now, history, rank, look_back_days, verdicts, counted), "published")
         history = out if history is None else history.unionByName(out)
+        if done < len(numbers):
+            more = materialize(similarity.day_counts(out), "counted")
+            counted = more if counted is None else counted.unionByName(more)
+            if done % COMPACT == 0:
+                counted = materialize(counted.groupBy("day", "token").agg(F.sum("df").alias("df")), "counted")
     return history if history is not None else items.limit(0).withColumn("component", F.col("id"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from eventsieve.functions.lexicon import DEFAULT, Lexicon
 from eventsieve.functions.text import anchors, any_date, lead, words
-from eventsieve.plans.tables import materialize, spread
+from eventsieve.plans.tables import materialize, spread, together
 
 THRESHOLD = 0.34
 MODEL_FLOOR = 0.12
@@ -69,10 +69,29 @@ def classes(prints: DataFrame) -> DataFrame:
     )
 
 
-def word_counts(grouped: DataFrame) -> DataFrame:
-    """(token, df, held): in how many articles and in how many classes a word stands, from classes and their sizes."""
-    tokens = grouped.select(F.explode("body").alias("token"), "size", "own")
-    return tokens.groupBy("token").agg(F.sum("size").alias("df"), F.count_if("own").alias("held"))
+def _tokens() -> Column:
+    """The words of body, and a null that stands for the article itself."""
+    return F.explode(F.concat(F.array(F.lit(None).cast("string")), "body")).alias("token")
+
+
+def day_counts(prints: DataFrame) -> DataFrame:
+    """(day, token, df): in how many of a day's articles a word stands; the null token counts the articles.
+
+    What a growing history keeps of its words: counts of new articles are added to it, counts of old days left out.
+    """
+    return prints.select("day", _tokens()).groupBy("day", "token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _numbered(tokens: DataFrame) -> tuple[int, DataFrame]:
+    """(number of articles, (token, df, held, number)) from rows (token, df, held), written once.
+
+    A number for each word is shorter than the word. All who compare words must read the same written numbers: worked out a second time
+    they could differ, as rows arrive in another order.
+    """
+    sums = tokens.groupBy("token").agg(F.sum("df").alias("df"), F.sum("held").alias("held"))
+    stored = materialize(sums.withColumn("number", F.monotonically_increasing_id()), "counts")
+    n = stored.where("token is null").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    return n, stored.where("token is not null")
 
 
 def weight(n: Column, df: Column) -> Column:
@@ -85,10 +104,8 @@ def weighted(grouped: DataFrame, counts: DataFrame, columns: dict[str, Callable[
     columns are the weights, as functions of df (0 for a word that was never counted). es lists the words that
     `least` classes or more hold, the others can't be shared: (w, held, code, in_title), w the first of the
     weights, heaviest first. code names the word and its df; as a word's df is the same everywhere, an intersection of
-    codes carries its weights.
+    codes carries its weights. counts are those of corpus().
     """
-    # a number for each word is shorter than the word; written once, so that it stays the same
-    counts = materialize(counts.withColumn("number", F.monotonically_increasing_id()), "counts")
     df = F.coalesce("df", F.lit(0))
     told = (
         grouped.select("class_id", F.explode("body").alias("token"), "title")
@@ -303,18 +320,24 @@ def own_score(title: Column, body: Column, nums: Column) -> Column:
     return some(title, 0.5) + some(body, 0.5) + some(nums, NUMBER_BONUS)
 
 
-def corpus(grouped: DataFrame, context: DataFrame | None = None) -> tuple[int, DataFrame]:
-    """(number of articles, word counts) of the classes, and of the context's fingerprints, which only count."""
-    counted = grouped.select("body", "size", F.lit(True).alias("own"))
-    if context is not None:
-        counted = counted.union(context.select("body", F.lit(1).cast("long"), F.lit(False)))
-    n = counted.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return n, word_counts(counted)
-
+def corpus(grouped: DataFrame, context: DataFrame | None = None, counted: DataFrame | None = None) -> tuple[int, DataFrame]:
+    """(number of articles, (token, df, held, number)) of the classes, and of the context's fingerprints, which only count.
 
-def weighted_classes(grouped: DataFrame, context: DataFrame | None = None) -> tuple[int, DataFrame]:
-    """(number of articles, classes with their weights), written once."""
-    n, counts = corpus(grouped, context)
+    df counts articles, held classes. counted, if given, are the day_counts() of the context, which then isn't read.
+    """
+    tokens = grouped.select(_tokens(), F.col("size").alias("df"), F.lit(1).alias("held"))
+    if counted is None and context is not None:
+        counted = context.select(_tokens(), F.lit(1).cast("long").alias("df"))
+    if counted is not None:
+        tokens = tokens.unionByName(counted.select("token", "df", F.lit(0).alias("held")))
+    return _numbered(tokens)
+
+
+def weighted_classes(
+    grouped: DataFrame, context: DataFrame | None = None, counted: DataFrame | None = None
+) -> tuple[int, DataFrame]:
+    """(number of articles, classes with their weights), written once; see corpus()."""
+    n, counts = corpus(grouped, context, counted)
     return n, materialize(weighted(grouped, counts, {"w": lambda df: weight(F.lit(n), df)}), "weighted")
 
 
@@ -376,6 +399,7 @@ def best_published(
     published: DataFrame,
     window_days: int = 10,
     threshold: float = THRESHOLD,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """(class_id, old_id, score): for each class the best match among what was published before.
 
@@ -383,7 +407,8 @@ def best_published(
     matches of the threshold or more within the window count; of equal scores the later in the list wins.
     Words weigh by the published articles and the one article itself, so a
     word's weight depends on whether that article has it: w_in for its own words,
-    w_out for the others. Sums of w_out are corrected by the shared words.
+    w_out for the others. Sums of w_out are corrected by the shared words. counted, if given, are the day_counts() of
+    published, so that its words aren't counted anew.
     """
     old = materialize(
         published.groupBy("title", "body", "nums", "day").agg(
@@ -391,13 +416,18 @@ def best_published(
         ),
         "published",
     )
-    n, counts = corpus(old)
+    # an upper bound of the classes that hold a word serves as well: both sides cut by the same number
+    n, counts = corpus(old) if counted is None else _numbered(counted.select("token", "df", F.col("df").alias("held")))
     w_in, w_out = (lambda df: F.log(F.lit(n + 2) / (df + 2)) + 1), (lambda df: F.log(F.lit(n + 2) / (df + 1)) + 1)
     both = {"w": w_in, "o": w_out}
-    mine = materialize(weighted(grouped, counts, both, least=1), "weighted")
-    theirs = materialize(weighted(old, counts, both, least=1), "weighted")
+
+    def side(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sets = materialize(weighted(rows, counts, both, least=1), "weighted")
+        return sets, keys(sets, threshold, n)
+
     # an old article weighs at least its w_in, so the bound holds for its side too
-    pairs = materialize(near(keys(mine, threshold, n), keys(theirs, threshold, n), window_days, threshold=threshold), "pairs")
+    (mine, my_keys), (theirs, their_keys) = together(grouped.sparkSession, lambda: side(grouped), lambda: side(old))
+    pairs = materialize(near(my_keys, their_keys, window_days, threshold=threshold), "pairs")
     a, b = (
         x.select(
             F.col("class_id").alias(f"{p}_id"), F.col("nums").alias(f"{p}_nums"), _codes(True).alias(f"{p}_title"),
