@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventsieve.functions.text import lead
-from eventsieve.operators import similarity
+from eventsieve.operators import membership, similarity
 from eventsieve.operators.components import connected_components
 from eventsieve.operators.spanning import linked_classes
 from eventsieve.plans.tables import materialize, together
@@ -107,23 +107,57 @@ def _matched(
     return similarity.members(prints, grouped).join(best, "class_id").select("id", "old_id", "score")
 
 
+def _marks(rows: DataFrame, id_col: str, text_col: str, link_col: str | None, late: bool) -> DataFrame:
+    """(late, id, mark, h): a hash of the text, and the link, of each row; h is a short hash of the mark."""
+    found = [F.sha2(rows[text_col].cast("binary"), 256)]
+    if link_col:
+        found.append(F.concat(F.lit("link "), rows[link_col]))
+    listed = rows.select(F.lit(late).alias("late"), rows[id_col].alias("id"), F.explode(F.array(*found)).alias("mark"))
+    return listed.where("mark is not null").withColumn("h", F.xxhash64("mark"))
+
+
+def history_sketch(history: DataFrame, id_col: str, text_col: str, link_col: str | None = None, marks: int | None = None) -> DataFrame:
+    """The membership sketch of all texts, and links, of a history; see exact_repeats().
+
+    marks is the number that it is made for, by default that of the history. A history that grows keeps its sketch:
+    membership.merged() adds that of new rows, made with the same number.
+    """
+    known = (2 if link_col else 1) * history.count() if marks is None else marks
+    return membership.sketch(_marks(history, id_col, text_col, link_col, False), membership.bits_for(known))
+
+
 def exact_repeats(
-    items: DataFrame, id_col: str, text_col: str, link_col: str | None = None, history: DataFrame | None = None
+    items: DataFrame,
+    id_col: str,
+    text_col: str,
+    link_col: str | None = None,
+    history: DataFrame | None = None,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """(id, first_id) of rows whose text, or link, stood in a row with a smaller id or in the history.
 
     history has the same columns; its rows come before all others and are not returned. first_id is the first row that holds
     the text or the link. Null texts and links repeat nothing.
-    """
 
-    def marks(rows: DataFrame, late: bool) -> DataFrame:
-        found = [F.sha2(rows[text_col].cast("binary"), 256)]
-        if link_col:
-            found.append(F.concat(F.lit("link "), rows[link_col]))
-        return rows.select(F.lit(late).alias("late"), rows[id_col].alias("id"), F.explode(F.array(*found)).alias("mark"))
-
-    mine = marks(items, True).where("mark is not null")
-    known = mine if history is None else mine.union(marks(history, False).where("mark is not null"))
+    Only marks that are likely repeats are shuffled whole, and only those rows of the history that likely hold one of them: bitmaps,
+    broadcast, hold back the others. seen is the history_sketch() of the history where it is kept; without it the history is read once more to
+    make it. A sketch must cover the whole history, else repeats are missed.
+    """
+    each = 2 if link_col else 1
+    mine = _marks(items, id_col, text_col, link_col, True)
+    old = None if history is None else _marks(history, id_col, text_col, link_col, False)
+    size = seen.agg(F.max("size")).first()[0] if seen is not None else None
+    bits = size or membership.bits_for(each * (items.count() + (0 if history is None or seen is not None else history.count())))
+    twice = mine.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    likely = membership.sketch(twice, bits)
+    if seen is not None:
+        likely = membership.merged(likely, seen)
+    elif old is not None:
+        likely = membership.merged(likely, membership.sketch(old, bits))
+    known = mine = materialize(membership.likely(mine, materialize(likely, "sketch"), bits), "likely")
+    if old is not None:
+        wanted = membership.bits_for(mine.count())
+        known = mine.union(membership.likely(old, materialize(membership.sketch(mine, wanted), "sketch"), wanted))
     # written, so that the join stands alone and a text that repeats very often can be split
     first = materialize(known.groupBy("mark").agg(F.min(F.struct("late", "id")).alias("first")), "firsts")
     repeats = mine.join(first, "mark").where("not first.late or first.id <> id")
