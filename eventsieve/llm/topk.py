@@ -193,7 +193,6 @@ def top_k(
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")).where("false")
     width, most = max(facts["width"], 1), facts["peak"] or 0.0
     kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8"
-    blocks = -(-facts["q"] // block_queries)
     pivots = _pivots(rows, min(PIVOTS, -(-facts["n"] // shard_rows)), width)
     context = table.sparkSession.sparkContext
     sent = context.broadcast(pivots)
@@ -288,8 +287,12 @@ def top_k(
             bounded = asked.join(kth, "query", "left")
         schema = "query long, query_id long, vector binary, bound double, cell int, piece int"
         asking = bounded.mapInArrow(routed(first, upto), schema)
-        asking = materialize(asking.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))), "asking")
-        wanted = asking.select(*[F.col(c).alias(f"to_{c}") for c in ("cell", "piece", "block")]).distinct()
+        asking = materialize(asking, "asking")
+        # a shard travels once for each block of the queries that reach it, so once if they are few
+        shards = asking.groupBy("cell", "piece").agg(F.ceil(F.count("query") / F.lit(block_queries)).alias("blocks"))
+        shards = materialize(shards, "shards")
+        asking = asking.join(shards, ["cell", "piece"]).withColumn("block", F.pmod(F.xxhash64("query"), "blocks")).drop("blocks")
+        wanted = shards.select(F.col("cell").alias("to_cell"), F.col("piece").alias("to_piece"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("to_block"))
         held = index.join(wanted, (F.col("cell") == F.col("to_cell")) & (F.col("piece") == F.col("to_piece")))
         found = (
             held.groupBy("to_cell", "to_piece", "to_block")

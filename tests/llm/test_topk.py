@@ -99,3 +99,23 @@ def test_a_written_tree_is_the_same_tree():
     for a, b in tree.leaves:
         centre, radius = rows[tree.order[a:b]].mean(axis=0), tree.levels[-1][1][tree.leaves.index((a, b))]
         assert np.sqrt(((rows[tree.order[a:b]] - centre) ** 2).sum(axis=1)).max() <= radius + 1e-9
+
+
+def test_a_shard_that_few_queries_reach_travels_once(spark, monkeypatch):
+    """Blocks are cut within a shard: one more is needed only where more queries reach it than a block holds."""
+    kept = []
+    plain = topk.materialize
+
+    def keeping(df, label):
+        out = plain(df, label)
+        if label == "shards":
+            kept.extend(r.blocks for r in out.collect())
+        return out
+
+    monkeypatch.setattr(topk, "materialize", keeping)
+    rows = vectors(600, 6, 8)
+    check(spark, rows, k=4, shard_rows=60, block_queries=30)
+    assert kept and set(kept) == {1}  # 30 queries, a block's worth
+    kept.clear()
+    check(spark, rows, k=4, shard_rows=60, block_queries=7)
+    assert max(kept) > 1 and max(kept) <= 5
