@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from eventsieve.functions.lexicon import DEFAULT, Lexicon
 from eventsieve.functions.text import anchors, any_date, lead, words
-from eventsieve.operators import membership
 from eventsieve.plans.tables import materialize, spread, together
 
 THRESHOLD = 0.34
@@ -35,8 +34,6 @@ DIGITS = 12
 #: A word that more classes hold, or a pair of words that more are expected to hold, is joined on with a further word. Both
 #: ways are exact.
 FEW, FEW_EXPECTED = 64, 32
-#: Up to so many key rows are joined as they are; more are first held against bitmaps of the other side's keys. Results are the same.
-FEW_KEYS = 1 << 20
 
 
 def fingerprints(
@@ -397,16 +394,6 @@ def members(prints: DataFrame, grouped: DataFrame) -> DataFrame:
     return prints.join(grouped, same[0] & same[1] & same[2] & same[3]).select("id", "class_id")
 
 
-def meeting(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of two tables of keys whose key likely stands in the other: the rest need not be shuffled to be joined."""
-    if a.count() + b.count() <= FEW_KEYS:
-        return a, b
-    for_b = membership.bits_for(b.count())
-    a = membership.likely(a, materialize(membership.sketch(b, for_b, "key"), "sketch"), for_b, "key")
-    for_a = membership.bits_for(a.count())
-    return a, membership.likely(b, materialize(membership.sketch(a, for_a, "key"), "sketch"), for_a, "key")
-
-
 def best_published(
     grouped: DataFrame,
     published: DataFrame,
@@ -440,7 +427,6 @@ def best_published(
 
     # an old article weighs at least its w_in, so the bound holds for its side too
     (mine, my_keys), (theirs, their_keys) = together(grouped.sparkSession, lambda: side(grouped), lambda: side(old))
-    my_keys, their_keys = meeting(my_keys, their_keys)
     pairs = materialize(near(my_keys, their_keys, window_days, threshold=threshold), "pairs")
     a, b = (
         x.select(

@@ -69,14 +69,3 @@ def test_matches_by_kept_counts(items):
     grouped = similarity.classes(now)
     rows = lambda counted: sorted(similarity.best_published(grouped, before, counted=counted).collect())
     assert rows(similarity.day_counts(before)) == rows(None) != []
-
-
-def test_keys_held_against_bitmaps_lose_no_match(items, monkeypatch):
-    now, before = items.where("issue >= 3"), items.where("issue < 3")
-    rows = lambda: sorted(similarity.best_published(similarity.classes(now), before).collect())
-    plain = rows()
-    sizes = []
-    meeting = similarity.meeting
-    monkeypatch.setattr(similarity, "meeting", lambda a, b: (sizes.append((a.count(), b.count())), meeting(a, b))[1])
-    monkeypatch.setattr(similarity, "FEW_KEYS", 0)
-    assert rows() == plain != [] and len(sizes) == 1
