@@ -70,6 +70,20 @@ def test_pairs_match_brute_force(spark):
         assert {(r.a_id, r.b_id): round(r.score, 9) for r in found} == expected
 
 
+def test_pairs_that_meet_by_titles_may_owe_their_score_to_the_rest_of_the_body(spark):
+    rows, day = [], datetime.date(2026, 9, 1)
+    for m in range(20, 100, 4):
+        both = [f"p{m}title{i}" for i in range(5)], [f"p{m}lead{i}" for i in range(2)]
+        for side in "xy":
+            title = both[0] + [f"p{m}{side}t{i}" for i in range(3)]
+            rows.append((len(rows), sorted(title), sorted(title + both[1] + [f"p{m}{side}{i}" for i in range(m)]), [], day))
+    weigh = Weights(rows)
+    expected = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and score(a, b, weigh) >= 0.34}
+    assert 5 < len(expected) < 20
+    found = similarity.similar_classes(similarity.classes(spark.createDataFrame(rows, PRINT)), 7)
+    assert {(r.a_id, r.b_id) for r in found.collect()} == expected
+
+
 def test_clusters_match_brute_force(spark):
     rows = cards(9, 50)
     found = {r.id: r.component for r in publish.cluster(spark.createDataFrame(rows, PRINT)).collect()}
