@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,20 +49,25 @@ def pieces(text: bytes) -> Iterator[bytes]:
 
 def features(text: bytes | None, splitter: Split, buckets: int = BUCKETS, width: int = WIDTH) -> tuple[int, bytes]:
     """(words, buckets of all features as 16-bit numbers) of one text."""
-    crc, found, words, before = zlib.crc32, [], 0, []
+    crc, found, count, before = zlib.crc32, [], 0, []
     for piece in pieces((text or b"").lower()):
         piece = piece.decode("utf-8", "replace")
+        cut = splitter.pre_tokenize_str(piece)
         # offsets count characters; where all are ASCII they are places in the bytes
         raw = piece.encode() if piece.isascii() else None
-        for word, (begin, end) in splitter.pre_tokenize_str(piece):
-            now = raw[begin:end] if raw is not None else word.encode()
-            words += 1
-            found.append(crc(now) % buckets)
-            # the windows that end here: the CRC of what came before runs on over the space and the word
-            held = [crc(now, x) for x in before]
-            found += [x % buckets for x in held]
-            before = [crc(b" ", x) for x in (crc(now), *held)[: width - 1]]
-    return words, np.array(found, dtype="<u2").tobytes()
+        now = [raw[begin:end] for _, (begin, end) in cut] if raw is not None else [word.encode() for word, _ in cut]
+        count += len(now)
+        words, old = before + now, len(before)
+        run = list(map(crc, words))
+        marks = run[old:]
+        for more in range(1, width):
+            # the windows of one word more: the CRC of what came before runs on over the space and the word
+            run = list(map(crc, words[more:], map(crc, repeat(b" "), run)))
+            # those that end before this piece are known
+            marks += run[max(old - more, 0) :]
+        found.append((np.array(marks, dtype=np.uint32) % buckets).astype("<u2").tobytes())
+        before = words[len(words) - width + 1 :] if len(words) >= width else words
+    return count, b"".join(found)
 
 
 def bucketed(texts: DataFrame, text: str, columns: list[str], buckets: int, width: int) -> DataFrame:
