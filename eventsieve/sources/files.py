@@ -27,6 +27,8 @@ CATALOGUE = T.StructType(
     ]
 )
 FEED = "title string, link string, guid struct<_VALUE string, _isPermaLink boolean>, pubDate string, description string"
+#: An XML file is read by one task, as it can't be split: no file gets more rows.
+ROWS_A_FILE = 50_000
 SITEMAP = "loc string, lastmod date, changefreq string, priority double"
 
 
@@ -108,14 +110,14 @@ def write_feed(items: DataFrame, path: str) -> None:
         "title", "link", F.struct(F.col("guid").alias("_VALUE"), F.lit(False).alias("_isPermaLink")).alias("guid"), "pubDate",
         F.concat(F.lit("<ul>"), F.array_join(listed, ""), F.lit("</ul>")).alias("description"),
     )
-    described.write.mode("overwrite").format("xml").option("rootTag", 'rss version="2.0"').option("rowTag", "item").save(path)
+    described.write.mode("overwrite").option("maxRecordsPerFile", ROWS_A_FILE).format("xml").option("rootTag", 'rss version="2.0"').option("rowTag", "item").save(path)
 
 
 def write_sitemap(pages: DataFrame, path: str) -> None:
     """Pages (loc, lastmod, changefreq, priority) as sitemap files; a site map of many pages is many files anyway."""
     root = 'urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     kept = pages.select("loc", "lastmod", "changefreq", "priority")
-    kept.write.mode("overwrite").format("xml").option("rootTag", root).option("rowTag", "url").save(path)
+    kept.write.mode("overwrite").option("maxRecordsPerFile", ROWS_A_FILE).format("xml").option("rootTag", root).option("rowTag", "url").save(path)
 
 
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:

@@ -43,3 +43,14 @@ def test_feed_and_sitemap(spark, tmp_path):
     more = {"loc": F.col("url"), "lastmod": F.lit(None).cast("date"), "changefreq": F.lit("daily"), "priority": F.lit(1.0)}
     files.write_sitemap(pages.limit(3).withColumns(more), str(tmp_path / "map"))
     assert files.unlisted_pages(pages, files.read_sitemap(spark, str(tmp_path / "map"))).count() == 2
+
+
+def test_no_xml_file_holds_more_rows_than_a_task_should_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ROWS_A_FILE", 4, raising=False)
+    ids = spark.range(0, 10, 1, 1)
+    text = F.col("id").cast("string")
+    files.write_feed(ids.select(*[text.alias(c) for c in ("title", "link", "guid", "pubDate")], F.array(text).alias("headlines")), str(tmp_path / "feed"))
+    more = {"lastmod": F.lit(None).cast("date"), "changefreq": F.lit("daily"), "priority": F.lit(1.0)}
+    files.write_sitemap(ids.select(text.alias("loc")).withColumns(more), str(tmp_path / "map"))
+    for kind, found in (("feed", files.read_feed(spark, str(tmp_path / "feed"))), ("map", files.read_sitemap(spark, str(tmp_path / "map")))):
+        assert len(list((tmp_path / kind).glob("part-*"))) == 3 and found.count() == 10
