@@ -131,3 +131,13 @@ def test_phrases_equal_plain_patterns(spark):
 def test_lists_are_whole():
     """Counts of the fixed lists, so that a lost or doubled entry shows."""
     assert (len(lexicon.DEFAULT.stop_words), len(set(lexicon.DEFAULT.stop_words)), len(lexicon.DEFAULT.phrases)) == (122, 122, 17)
+
+
+def test_short_numbers_stand_as_they_are_and_foreign_digits_do_no_harm(spark):
+    from pyspark.sql import functions as F
+
+    from eventsieve.functions import text
+
+    told = "0.0% 00.50% 007.10% 0.0001% 0.00009% 1234.56% 12345.67% 999999% 1000000% 100000.0% 50 million 1950% 123456.5% ١٢.٥% 2.50 x"
+    found = spark.createDataFrame([(told,)], "t string").select(text.anchors(F.col("t"))).first()[0]
+    assert found == ["0", "0.5", "7.1", "0.0001", "9e-05", "1234.56", "12345.7", "999999", "1e+06", "100000", "50", "123457", "2.5"]
