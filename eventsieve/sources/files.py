@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventsieve.plans.tables import materialize
+
 CARDS = "issue int, date string, title string, extract string, url string"
 CATALOGUE = T.StructType(
     [
@@ -29,6 +32,8 @@ CATALOGUE = T.StructType(
 FEED = "title string, link string, guid struct<_VALUE string, _isPermaLink boolean>, pubDate string, description string"
 #: An XML file is read by one task, as it can't be split: no file gets more rows.
 ROWS_A_FILE = 50_000
+#: Names that a batch holds, and files that a task reads, at most or so.
+LISTED = 10_000
 SITEMAP = "loc string, lastmod date, changefreq string, priority double"
 
 
@@ -89,11 +94,50 @@ def _rooted(root: str) -> str:
 
 
 def read_pages(spark: SparkSession, root: str, name: str = "index.html") -> DataFrame:
-    """(path, html) of every file of that name under root; path is relative to it. Empty files give no row."""
-    pages = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
-    base = _rooted(root).rstrip("/").split("://", 1)[-1]
-    path = F.substring_index(F.col("_metadata.file_path"), f"{base}/", -1)
-    return pages.select(path.alias("path"), F.col("value").alias("html"))
+    """(path, html) of every file of that name under root; path is relative to it. Empty files give no row, hidden files and folders are left out.
+
+    Tasks list the folders, level by level, and read the files: the driver gets the number of folders of a level, not their names.
+    A store that only Spark can open is listed by Spark, and so by the driver.
+    """
+    base = _rooted(root).rstrip("/")
+    try:
+        fs.FileSystem.from_uri(base)
+    except pa.ArrowInvalid:
+        pages = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
+        path = F.substring_index(F.col("_metadata.file_path"), f"{base.split('://', 1)[-1]}/", -1)
+        return pages.select(path.alias("path"), F.col("value").alias("html"))
+
+    def listed(batches):
+        store, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                inside = store.get_file_info(fs.FileSelector(posixpath.join(top, folder)))
+                kept = [x for x in inside if not x.base_name.startswith((".", "_")) and (x.type == fs.FileType.Directory or x.base_name == name)]
+                for at in range(0, len(kept), LISTED):
+                    some = kept[at : at + LISTED]
+                    paths, leaves = [posixpath.join(folder, x.base_name) for x in some], [x.type != fs.FileType.Directory for x in some]
+                    yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "leaf": pa.array(leaves, pa.bool_())})
+
+    def read(batches):
+        store, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with store.open_input_stream(posixpath.join(top, path)) as page:
+                    html = page.read()
+                if html:
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "html": pa.array([html], pa.binary())})
+
+    def dealt(paths: DataFrame, n: int) -> DataFrame:
+        return paths.repartition(max(min(n, spark.sparkContext.defaultParallelism), n // LISTED))
+
+    folders, n, levels = spark.createDataFrame([("",)], "path string"), 1, []
+    while n:
+        levels.append(materialize(dealt(folders, n).mapInArrow(listed, "path string, leaf boolean"), "listed"))
+        folders = levels[-1].where("not leaf").select("path")
+        n = folders.count()
+    leaves = reduce(DataFrame.union, levels).where("leaf").select("path")
+    # text keeps bytes as they are, as Spark's own reader does
+    return dealt(leaves, leaves.count() or 1).mapInArrow(read, "path string, html binary").withColumn("html", F.col("html").cast("string"))
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
