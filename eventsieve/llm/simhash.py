@@ -96,7 +96,8 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     shared = (
         variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     )
-    members = materialize(variants.join(shared, "key"), "variants")
+    # Spark sizes a table by what is exploded, not by the 64 rows that come of each, and so would broadcast all of them
+    members = materialize(variants.join(shared.hint("merge"), "key"), "variants")
     cold = (
         members.where(F.col("n") <= bucket)
         .groupBy("key")
